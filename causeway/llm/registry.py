@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, packing
+from causeway.llm import archive, decontaminate, packing, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op5_warc": archive.op5_warc,
+        "op7_secrets": secret_scan.op7_secrets,
     }
 
 
