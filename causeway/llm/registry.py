@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, packing, secret_scan
+from causeway.llm import archive, decontaminate, lbl, packing, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lbl.op1_lm_scoring,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op5_warc": archive.op5_warc,
