@@ -83,6 +83,13 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    running: np.ndarray
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more than ``size`` bytes, and the hashes of their first ``size`` bytes."""
+        which = np.flatnonzero(self.ends - self.starts > size)
+        start = self.starts[which]
+        return which, salted((self.running[start + size] - self.running[start]) * _powers(0)[1][start], size)
 
     @property
     def counts(self) -> np.ndarray:
@@ -137,7 +144,7 @@ def words_of(texts: Texts, is_word: np.ndarray = NOT_SPACE) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * power[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts])
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), total)
 
 
 def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

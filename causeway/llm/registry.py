@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, language, lbl, packing, secret_scan
+from causeway.llm import archive, decontaminate, language, lbl, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": archive.op5_warc,
         "op6_language_id": language.op6_language_id,
         "op7_secrets": secret_scan.op7_secrets,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
