@@ -29,7 +29,7 @@ from causeway.plans.shipping import ship
 CAPACITY = 1024
 END_ID = 0
 #: Pieces of one length that one salted group ranks, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 #: Text bytes encoded at once, so that little is held besides the batch.
 SLICE_BYTES = 4 << 20
 
