@@ -1,0 +1,34 @@
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+No edge leaves the cluster. Each step groups edges by their end with a combinable minimum and joins it back, so a node with
+very many edges costs no task more than its share; the edges of each round are written to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from causeway.llm.storage import materialize
+
+
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
+
+
+def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
+    """(node, root) for every node of an edge that isn't a root itself; a root is the smallest node of its component."""
+    current = materialize(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges")
+    state = _state(current)
+    while state[0]:
+        both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        stepped = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
+        current = materialize(stepped, "edges")
+        before, state = state, _state(current)
+        if state == before:
+            break
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, language, lbl, packing, secret_scan, toxicity
+from causeway.llm import archive, decontaminate, language, lbl, near_dedup, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": lbl.op1_lm_scoring,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_warc": archive.op5_warc,
         "op6_language_id": language.op6_language_id,
         "op7_secrets": secret_scan.op7_secrets,
