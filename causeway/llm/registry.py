@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, language, lbl, near_dedup, packing, secret_scan, simhash, toxicity
+from causeway.llm import archive, decontaminate, language, lbl, near_dedup, packing, passages, secret_scan, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": lbl.op1_lm_scoring,
-        "op10_simhash": simhash.op10_simhash,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -20,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": language.op6_language_id,
         "op7_secrets": secret_scan.op7_secrets,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_substring_dedup": passages.op9_substring_dedup,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
