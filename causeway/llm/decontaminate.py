@@ -190,20 +190,25 @@ def _pass(docs: DataFrame, items: list, window: int) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
+    """The items, collected a bounded block at a time; one empty block if there are none."""
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL")
+    size = tests.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    blocks = max(1, math.ceil(size / block_bytes))
+    for k in range(blocks):
+        yield [tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items, matches) for every document; matches give longest verbatim matches and their places."""
     ship(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL")
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
-    blocks = max(1, math.ceil(size / block_bytes))
+    parts, blocks = None, 0
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        one = _pass(rows, block, window).withColumn("block", F.lit(blocks))
+        parts, blocks = one if parts is None else parts.unionAll(one), blocks + 1
     if blocks == 1:
-        return _pass(rows, [tuple(r) for r in tests.collect()], window).drop("text_key")
-    parts = None
-    for k in range(blocks):  # each block is bounded, so is each broadcast
-        block = [tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        one = _pass(rows, block, window).withColumn("block", F.lit(k))
-        parts = one if parts is None else parts.unionAll(one)
+        return parts.drop("text_key", "block")
     merged = parts.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -218,11 +223,23 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
     return merged.select("doc_id", "n_words", covered.alias("n_hit"), "items", "matches", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns stay. The scan is a shuffle-free pass."""
-    leaks = find_leaks(spark, docs.select("doc_id", "text"), benchmark, window=window).where("n_hit > 0").select("doc_id").distinct()
-    kept = docs.join(leaks.select(F.col("doc_id").alias("_leaked")), docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
-    return kept
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window; all columns stay, and no row is shuffled."""
+    ship(spark)
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, "item_id", "text", block_bytes):
+        shipped = spark.sparkContext.broadcast(([i for i, _ in block], [t or "" for _, t in block]))
+
+        def clean(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            tests = TestSuffixes(*shipped.value, window)
+            for batch in batches:
+                named = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" if i != at else "text" for i in range(batch.num_columns)])
+                for part, texts in pieces(named, "text", SHARD_BYTES):
+                    kept = part.filter(pa.array(scan_shard(texts, tests)[1] == 0))
+                    yield pa.RecordBatch.from_arrays(kept.columns, batch.schema.names)
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,12 +196,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; repeated rows of the one kept all stay."""
+    """``docs`` with one document of each near-duplicate group. Wordless texts are all kept; of repeated rows one is kept."""
     kept = near_duplicates(spark, docs, shingle=shingle, percent=percent).where("kept")
-    empty = kept.where("n_shingles = 0").select("doc_id", "text_key")
-    chosen = kept.where("n_shingles > 0").select("doc_id", "text_key").distinct()
-    keys = chosen.unionAll(empty.distinct()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    keys = kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("size"))
+    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), ((F.col("copies") > 1) & (F.col("size") > 0)).alias("_repeated")), "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    once = docs.join(keys.where("NOT _repeated"), same, "left_semi")
+    repeated = keys.where("_repeated")
+    if repeated.isEmpty():
+        return once
+    return once.unionAll(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
