@@ -8,7 +8,7 @@ from causeway.operators import risk
 from causeway.plans import proxy
 from causeway.plans.registry import query
 
-BRAND, COMPONENT = "Brand#12", "green"
+BRAND, COMPONENT = "Brand#12", "gear"
 
 _DIST = """
 , e AS ({entity}),
