@@ -1,34 +1,83 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table by contraction.
 
-No edge leaves the cluster. Each step groups edges by their end with a combinable minimum and joins it back, so a node with
-very many edges costs no task more than its share; the edges of each round are written to the shared folder.
+Each task reduces its edges to a forest of stars by union-find; a node that stars of several tasks share then links their
+roots. Those links are a much smaller graph, contracted in the same way until none are left, and labels are joined back
+level by level. No edge leaves the cluster, and a node with very many edges appears once for each task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.storage import materialize
+from causeway.plans.shipping import ship
+
+#: Edges that a task holds before it passes its stars on.
+HELD_EDGES = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the edges, with the least node of each component as root."""
+    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:  # hook the larger root to the smaller, then halve all paths
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return nodes, nodes[parent]
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """(node, root, others): the least root that some task gave the node, and its other roots."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            node, root = stars(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD_EDGES:
+                yield done()
+                held, size = [], 0
+        if held:
+            yield done()
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+    found = edges.mapInArrow(local, "node long, root long")
+    grouped = found.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+    return grouped.select("node", "root", F.array_remove("roots", F.col("root")).alias("others"))
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
-    """(node, root) for every node of an edge that isn't a root itself; a root is the smallest node of its component."""
-    current = materialize(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(current)
-    while state[0]:
-        both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        stepped = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).distinct()
-        current = materialize(stepped, "edges")
-        before, state = state, _state(current)
-        if state == before:
+    """(node, root) for every node of an edge; a root is the least node of its component."""
+    ship(edges.sparkSession)
+    levels = []
+    current = edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
+    while True:
+        level = materialize(_contract(current), "stars")
+        levels.append(level.select("node", "root"))
+        current = level.where(F.size("others") > 0).select(F.explode("others").alias("u"), F.col("root").alias("v"))
+        if current.isEmpty():
             break
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    labels = levels.pop()
+    while levels:
+        above = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        labels = levels.pop().join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return labels

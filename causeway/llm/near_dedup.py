@@ -4,10 +4,11 @@ A document's set holds its distinct word shingles. Sketches of ``BANDS * ROWS``
 every shingle goes to one hashed bin, and later rounds send all shingles to one bin after the other, so every coordinate is
 filled after at most twice as many rounds; a coordinate keeps the least (round, hash). Bands of coordinates make buckets.
 
-Documents with equal sets are one class from the start, so a group of copies, however large, costs one representative. Within a
-bucket, classes are not paired with each other: each is compared with one centre, links are confirmed on the full sets, and
-in further rounds, with other centres, only classes of different components are compared. What is still unresolved after
-``STAR_ROUNDS`` rounds is compared exactly, in blocks of ``BLOCK`` classes, emitting links only.
+Documents with equal sets are one class from the start, so a group of copies, however large, costs one representative. First
+each class is compared with the centres of its buckets that come first in ``ORDERS`` fixed orders, which connects the bulk of a
+group of near copies by a few pairs for each member. Then only classes that share a bucket and aren't connected yet are compared: a bucket of two gives a pair, a
+larger one is dealt into blocks of ``BLOCK`` classes whose intersections are matrix products, emitting links only. So every two
+classes that share a bucket are connected or have been compared on their full sets.
 
 Defined results: null and wordless texts have empty sets and stand alone; a text of fewer words than a shingle is one shingle;
 rows with equal sets always share a component, repeated rows and equal ids included; a component's id is its smallest id that isn't
@@ -31,8 +32,11 @@ from causeway.plans.shipping import ship
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 24, 5
-STAR_ROUNDS = 4
-BLOCK = 64
+BLOCK = 256
+#: Orders in which classes are chosen as first centres.
+ORDERS = 2
+#: Columns of an incidence matrix at once.
+COLUMNS = 1 << 13
 
 
 def fill_sketches(owner: np.ndarray, hashes: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -109,40 +113,67 @@ def _alike(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+    """(u, v): components of the pairs (a, b, comp_a, comp_b) whose full sets are alike enough."""
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+    both = pairs.join(first, "a").join(second, "b").select("comp_a", "comp_b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [_alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["u", "v"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(verify, "u long, v long")
 
 
 def _size_fits(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _blocks(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links inside each bucket of (bucket, node, comp), block against block."""
-    sizes = open_rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = open_rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("bucket", "node", "comp", "block", other.alias("with")).select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp").join(sets, "node")
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of their incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # what only one set has is in no intersection
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((int(left.sum()), int(right.sum())), np.int64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, width - a)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - a] = 1
+        out += (part[left] @ part[right].T).astype(np.int64)
+    return out
+
+
+def _blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between components inside each bucket of (bucket, node, size, comp), as (u, v).
+
+    Members of a bucket's largest component need no comparing among themselves: the other members, in blocks, meet all
+    members, in blocks.
+    """
+    largest = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("n_main"))
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(n / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(n / BLOCK) - 1).cast("int")))
+    placed = mixed.join(largest, "bucket").withColumn("rest", F.col("members") - F.col("n_main"))
+    member = placed.select("bucket", "node", "size", "comp", block(F.col("members")).alias("i"), every(F.col("rest")).alias("j"), F.lit(False).alias("outside"))
+    outside = placed.where("comp <> main").select("bucket", "node", "size", "comp", every(F.col("members")).alias("i"), block(F.col("rest")).alias("j"), F.lit(True).alias("outside"))
+    dealt = member.unionAll(outside).join(sets, "node")
 
     def compare(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        left, right, found = [r for r in rows if r["block"] == r["i"]], [r for r in rows if r["block"] == r["j"]], []
-        for r in left:
-            for s in right:
-                if r["comp"] != s["comp"] and (r["i"] != r["j"] or r["node"] < s["node"]) and _alike(r["shingles"], s["shingles"], percent):
-                    found.append((r["node"], s["node"]))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        outside = group["outside"].to_numpy(zero_copy_only=False)
+        comp, size = group["comp"].to_numpy(), group["size"].to_numpy()
+        common = overlaps([np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()], ~outside, outside)
+        m, o = np.flatnonzero(~outside), np.flatnonzero(outside)
+        alike = (100 * common >= percent * (size[m][:, None] + size[o][None, :] - common)) & (comp[m][:, None] != comp[o][None, :])
+        i, j = np.nonzero(alike)
+        links = np.unique(np.stack([comp[m][i], comp[o][j]]), axis=1)
+        return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -161,29 +192,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     buckets = materialize(exploded.join(crowded, "bucket"), "buckets")
     wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "member.doc_id", "member.text_key")
     sets = materialize(_sets(rows, wanted, shingle), "sets")
-    labels = None  # (node, root), roots left out
-    links = None
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is None:
-            placed = buckets.withColumn("comp", F.col("node"))
-        else:
-            placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-            mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            placed = materialize(placed.join(mixed, "bucket", "left_semi"), "open")
-            if placed.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            centre = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(turn))).alias("centre"))
-            pairs = placed.join(centre, "bucket").where((F.col("comp") != F.col("centre.comp")) & _size_fits("size", "centre.size", percent))
-            if turn == 0:  # one centre for each node first: the one most others in its buckets meet as well
-                pairs = pairs.groupBy("node").agg(F.max_by("centre", F.struct("crowd", "bucket")).alias("centre"))
-            found = _confirmed(pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), sets, percent)
-        else:
-            found = _blocks(placed, sets, percent)
-        found = materialize(found, "links")
-        links = found if links is None else links.unionAll(found)
-        labels = components(links, "a", "b")
-    named = nodes.join(labels, "node", "left").select(F.coalesce("root", "node").alias("comp"), "node", "member") if labels is not None else nodes.select(F.col("node").alias("comp"), "node", "member")
+    named = nodes.select("node", "member", F.col("node").alias("comp"))
+    relabel = lambda df, links: df.join(components(links).select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    # first each class meets the centres of its buckets that come first in fixed orders of all classes: members of one group
+    # agree on them, whichever buckets they share
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("place"), "node", "size")).alias(f"first{t}") for t in range(ORDERS)]
+    fits = lambda t: (F.col("node") != F.col(f"first{t}.node")) & _size_fits("size", f"first{t}.size", percent)
+    met = buckets.join(buckets.groupBy("bucket").agg(*first), "bucket").groupBy("node").agg(*[F.min(F.when(fits(t), F.col(f"first{t}"))).alias(f"first{t}") for t in range(ORDERS)])
+    met = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"first{t}.node") for t in range(ORDERS)])))).alias("b"))
+    links = materialize(_confirmed(met.select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")), sets, percent), "links")
+    placed = buckets.withColumn("comp", F.col("node"))
+    if not links.isEmpty():
+        placed, named = materialize(relabel(placed, links), "placed"), relabel(named, links)
+    # then all that share a bucket and aren't connected yet: as a pair where it holds two, else block by block
+    other = F.min_by(F.struct("node", "size", "comp"), "node").alias("centre")
+    about = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), other).where("lo <> hi").select("bucket", "centre")
+    mixed = materialize(placed.join(about, "bucket"), "mixed")
+    pairs = mixed.where((F.col("crowd") == 2) & (F.col("node") != F.col("centre.node")) & _size_fits("size", "centre.size", percent))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("comp").alias("comp_a"), F.col("centre.comp").alias("comp_b")).distinct()
+    rest = mixed.where("crowd > 2").select("bucket", "node", "size", "comp")
+    links = materialize(_confirmed(pairs, sets, percent).unionAll(_blocks(rest, sets, percent)), "links")
+    if not links.isEmpty():
+        named = relabel(named, links)
     least = named.groupBy("comp").agg(F.min(F.struct(F.col("member.doc_id").isNull().alias("none"), F.col("member.doc_id").alias("doc_id"), F.col("member.text_key").alias("text_key"))).alias("first"))
     by_node = named.join(least, "comp").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("kept_key"))
     joined = sketched.join(by_node, (F.col("key_a") == F.col("node")) & (F.col("n_shingles") > 0), "left")
