@@ -184,7 +184,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     full = sketched.where("n_shingles > 0")
     # equal sets are one node, named by the first key; a member's id and text hash lead back to a text
     nodes = materialize(
-        full.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "text_key")).alias("member"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+        full.groupBy("key_a", "key_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("member"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
         .select(F.col("key_a").alias("node"), "member", "bands", "size"), "nodes",
     )
     exploded = nodes.select("node", "size", F.explode("bands").alias("bucket"))
