@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from causeway.operators import assemble, graph, risk
+from causeway.operators import assemble, graph, retrieval, risk
 from causeway.sources import records
 from causeway.streaming import refresh
 
@@ -96,3 +96,29 @@ def test_stream_counts(spark, tmp_path):
         spark.createDataFrame([("s", "x"), ("s", "y")], schema).write.mode("append").parquet(source)
         refresh.keep_counts(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp")).awaitTermination()
         assert {(r.outcome, r.n) for r in refresh.latest_counts(spark, out, k + 1).collect()} == {("x", k + 1), ("y", k + 1)}
+
+
+def test_intents(spark, tmp_path):
+    def incident(number, plant, part, cause, code, backup):
+        identity = {"event_date": f"20{number[-1]}0-01-01", "plant_name": plant, "power_level": 90}
+        nodes = [node("l", "LER", key=number), node("s", "System", "Injection", eiis_code="BJ"), node("b", "System", "Spare", eiis_code="BN"), node("p", "Component", part), node("f", "FailureMode", "pump stuck"), node("k", "Cause", cause, category=cause, cause_code=code), node("c", "Consequence", "manual reactor trip", duration="3 hours")]
+        edges = [edge("l", "INVOLVES", "s"), edge("p", "PART_OF", "s"), edge("l", "LEADS_TO", "f"), edge("f", "CAUSED_BY", "k"), edge("f", "LEADS_TO", "c")] + [edge("c", "BACKED_UP_BY", "b")] * backup
+        return {"ler_number": number, "identity": identity, "nodes": nodes, "edges": edges}
+
+    path = write(tmp_path / "in", [incident("N1", "North", "Pump", "Personnel Error", "A", True), incident("N2", "South", "Pump", "Personnel Error", "A", False), incident("N3", "South", "Valve", "Other", "X", False)])
+    engine = retrieval.Engine.from_reports(records.validated(records.read_reports(spark, path))[0])
+    engine.nodes, engine.edges = engine.nodes.cache(), engine.edges.cache()
+    ask = lambda intent, **anchors: engine.ask(retrieval.QuerySpec(intent, anchors))
+    several = ask("failure_chain", plant="south")
+    assert isinstance(several, retrieval.Clarification) and several.total == 2 and retrieval.suggest_subgraph(several) is None
+    one = ask("failure_chain", ler_key="N1")
+    assert [(r.doc, r.hops, r.backups) for r in one.rows.collect()] == [("N1", 1, ["System:BN"])]
+    assert ask("failure_chain", plant="Nowhere").empty and ask("out_of_corpus").empty
+    assert [(r.a, r.b, r.component) for r in ask("shared_component_cause").rows.collect()] == [("N1", "N2", "Component:pump")]
+    assert {(r.component, r.event_key) for r in ask("system_components", system_code="BJ").rows.collect()} == {("Pump", "N1"), ("Pump", "N2"), ("Valve", "N3")}
+    assert [(r.name, r.n) for r in ask("system_failure_modes", system_code="BJ").rows.collect()] == [("pump stuck", 3)]
+    assert [(r.event_key, r.backups) for r in ask("mitigating_backups").rows.collect()] == [("N1", ["Spare"])]
+    assert {(r.outcome, r.n, r.p) for r in ask("likely_outcome", component="pump").rows.collect()} == {("reactor-trip-or-scram", 2, 1.0)}
+    assert [(r.cause, r.min_support) for r in ask("probable_path", system_code="BJ").rows.collect()] == [("Personnel Error", 2)]
+    assert {(r.value, r.n) for r in ask("faceted_frequency", target="plants", filters=[{"facet": "duration", "op": ">=", "value": 3}]).rows.collect()} == {("North", 1), ("South", 2)}
+    assert ask("subgraph", ler_key="N1").rows.count() > 0 and ask("weak_program_events").rows.count() == 2
