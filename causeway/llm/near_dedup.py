@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.components import components
+from causeway.llm.components import components, stars
 from causeway.llm.kernel import NOT_SPACE, distinct_by, mix, pieces, salted, shingles_of, words_of
 from causeway.llm.storage import materialize
 from causeway.plans.shipping import ship
@@ -35,6 +35,8 @@ BANDS, ROWS = 24, 5
 BLOCK = 256
 #: Orders in which classes are chosen as first centres.
 ORDERS = 2
+#: Pairs of sets unpacked at once.
+HELD_PAIRS = 256
 #: Columns of an incidence matrix at once.
 COLUMNS = 1 << 13
 
@@ -120,9 +122,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["u", "v"])
+            for k in range(0, batch.num_rows, HELD_PAIRS):  # few sets are Python objects at a time
+                some = batch.slice(k, HELD_PAIRS)
+                keep = [_alike(x, y, percent) for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)]
+                kept = some.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns[:2], ["u", "v"])
 
     return both.mapInArrow(verify, "u long, v long")
 
@@ -170,8 +174,8 @@ def _blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         m, o = np.flatnonzero(~outside), np.flatnonzero(outside)
         alike = (100 * common >= percent * (size[m][:, None] + size[o][None, :] - common)) & (comp[m][:, None] != comp[o][None, :])
         i, j = np.nonzero(alike)
-        links = np.unique(np.stack([comp[m][i], comp[o][j]]), axis=1)
-        return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
+        member, root = stars(comp[m][i], comp[o][j])  # connects the same components by fewer links than classes
+        return pa.table({"u": pa.array(member, pa.int64()), "v": pa.array(root, pa.int64())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
 
