@@ -21,6 +21,12 @@ def slug_keys(spark, sf_dir):
     return proxy.table(spark, sf_dir, "documents").select("doc_id", head.alias("input"), text.slug(head).alias("output"))
 
 
+@query("slug_whole_keys", """WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents) SELECT doc_id, length(slug) AS n_chars, md5(slug) AS digest FROM s""")
+def slug_whole_keys(spark, sf_dir):
+    slug = text.slug(F.col("text"))
+    return proxy.table(spark, sf_dir, "documents").select("doc_id", F.length(slug).cast("bigint").alias("n_chars"), F.md5(slug.cast("binary")).alias("digest"))
+
+
 NAMES = [("High Pressure Coolant Injection (HPCI) System",), ("the Reactor Core Isolation Cooling {RCIC) subsystem",), ("Unit 2 Emergency  Diesel-Generator",), ("System",), ("Standby Liquid Control (slc) and (SBLC)",), ("",)]
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(input), '[({][^)}]*[)}]', ' ', 'g'), '\b(system|subsystem|the|unit)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
