@@ -178,6 +178,14 @@ def connected_components(spark, sf_dir):
     return graph.labels(edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
+@query("whole_components")
+def whole_components(spark, sf_dir):
+    """Components of the order-part graph of all lines, of which one holds nearly all nodes."""
+    li = proxy.table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
+    edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    return graph.labels(edges).groupBy("component").agg(F.count("*").alias("size"))
+
+
 @query("synthesized_edges", """WITH n AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 40)
 SELECT o AS src, 'INVOLVES' AS rel, CAST(p AS VARCHAR) AS dst, CASE WHEN l.p IS NULL THEN 'synthesized' ELSE 'extracted' END AS kind FROM n LEFT JOIN l USING (o, p) UNION ALL SELECT o_orderkey, 'HAS_CAUSE', substr(o_orderpriority, 3), 'structural' FROM orders""")
 def synthesized_edges(spark, sf_dir):

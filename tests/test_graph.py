@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from causeway.operators import assemble, graph, retrieval, risk
+from causeway.plans import catalogue
 from causeway.sources import records
 from causeway.streaming import refresh
 
@@ -122,3 +123,22 @@ def test_intents(spark, tmp_path):
     assert [(r.cause, r.min_support) for r in ask("probable_path", system_code="BJ").rows.collect()] == [("Personnel Error", 2)]
     assert {(r.value, r.n) for r in ask("faceted_frequency", target="plants", filters=[{"facet": "duration", "op": ">=", "value": 3}]).rows.collect()} == {("North", 1), ("South", 2)}
     assert ask("subgraph", ler_key="N1").rows.count() > 0 and ask("weak_program_events").rows.count() == 2
+
+
+def test_components_of_all_lines_against_union_find(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    above = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for r in lines:
+        a, b = sorted((top(f"o{r.l_orderkey}"), top(f"p{r.l_partkey}")))
+        above[b] = a  # the least node stays on top
+    sizes = {}
+    for x in list(above):
+        sizes[top(x)] = sizes.get(top(x), 0) + 1
+    got = {r.component: r["size"] for r in catalogue.QUERIES["whole_components"](spark, sf_dir).collect()}
+    assert got == sizes and sum(got.values()) == len({r.l_orderkey for r in lines}) + len({r.l_partkey for r in lines})
