@@ -11,10 +11,12 @@ columns are ignored whatever their names.
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import math
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from causeway.llm.kernel import pieces
 from causeway.llm.storage import materialize
 from causeway.plans.shipping import ship
 
@@ -32,75 +35,130 @@ END_ID = 0
 GROUP_ROWS = 4_000
 #: Text bytes encoded at once, so that little is held besides the batch.
 SLICE_BYTES = 4 << 20
+#: Parts of texts whose ids a worker keeps, about.
+MOST_PARTS = 1 << 19
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(tokenizer_path: str):
-    """The encoding function of a vocabulary file.
+class Encoder:
+    """Ids of texts by a tokenizer file, with no options beside ``add_special_tokens=False``.
 
-    ``.json`` is read by tokenizers. For ``.tiktoken`` rank files the same byte-pair merges run in tiktoken, at several times
-    the speed (tests hold the ids of both against each other); a text it gives up on goes to the .json beside it.
+    A byte-level tokenizer starts a new word at every blank that a character other than white space follows, whatever
+    stands around. So a text is cut there and each distinct part is encoded once, its ids being kept for the next texts; new
+    parts are encoded as one text, and token lengths tell where each ends. Other tokenizers, and texts with the string of an
+    added token, are encoded whole.
     """
-    from tokenizers import Tokenizer
-
-    def slow(path: str):
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
-    if tokenizer_path.endswith(".json"):
-        return slow(tokenizer_path)
-    import public_tokenizers
-    import tiktoken
+    BLANK = re.compile(r" (?=\S)")
+    ODD = re.compile(r" (?=\s|\Z)")
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.added = [t["content"] for t in made["added_tokens"]]
+        plain = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.by_part = plain and made["model"]["type"] == "BPE" and not any(" " in t for t in self.added)
+        if self.by_part:  # a token's characters stand for its bytes
+            vocabulary = self.tokenizer.get_vocab()
+            self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.token_bytes[[*vocabulary.values()]] = [len(t) for t in vocabulary]
+        self.parts = _Parts()
+        self.sizes, self.begin, self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the parts met again since they came, half of MOST_PARTS at most."""
+        often = np.flatnonzero(self.uses > 1)
+        often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: MOST_PARTS // 2]])
+        ids, names = self.ids(often, count=False), [*self.parts]
+        self.parts = _Parts(names[k] for k in often.tolist())
+        self.sizes, self.flat, self.uses = self.sizes[often], ids, np.ones(len(often), np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self) -> None:
+        """Encodes the new parts, each after a blank."""
+        fresh, self.parts.fresh = self.parts.fresh, []
+        if fresh:
+            ids = self.whole(" " + " ".join(fresh))
+            ends = np.cumsum([len(part.encode()) + 1 for part in fresh])
+            upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
+            self.sizes = np.concatenate([self.sizes, np.diff(upto, prepend=0)])
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.append(0, upto[:-1])])
+            self.flat = np.concatenate([self.flat, ids])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.parts) > MOST_PARTS:
+            self.forget()
+        found: list = []
+        for text in texts:
+            if not self.by_part or any(t in text for t in self.added):
+                found.append(self.whole(text))
+            else:
+                first, *rest = self.BLANK.split(text) if self.ODD.search(text) else text.split(" ")
+                found.append((self.whole(first) if first else np.zeros(0, np.uint32), [*map(self.parts.__getitem__, rest)]))
+        self.learn()
+        return [f if isinstance(f, np.ndarray) else np.concatenate([f[0], self.ids(f[1])]) for f in found]
+
+    def ids(self, numbers: list[int] | np.ndarray, count: bool = True) -> np.ndarray:
+        n = np.asarray(numbers, np.int64)
+        size = self.sizes[n]
+        if count:
+            np.add.at(self.uses, n, 1)
+        shift = np.repeat(self.begin[n] - (np.cumsum(size) - size), size)
+        return self.flat[shift + np.arange(len(shift))]
+
+
+class _Parts(dict):
+    """Numbers of parts of texts; a new part gets the next number."""
+
+    def __init__(self, known: Iterable[str] = ()) -> None:
+        super().__init__((part, k) for k, part in enumerate(known))
+        self.fresh: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.fresh.append(part)
+        return number
 
-    with open(tokenizer_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    fallback = functools.lru_cache(maxsize=1)(lambda: slow(tokenizer_path.removesuffix(".tiktoken") + ".json"))
 
-    def encode(text: str) -> list[int]:
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException as gave_up:  # its regex engine panics on some very long runs
-            if isinstance(gave_up, (KeyboardInterrupt, SystemExit)):
-                raise
-            return fallback()(text)
-
-    return encode
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (id, start, length, doc_tokens, ids); ids holds little-endian unsigned 32-bit ids."""
+    """Rows (doc_id, start, length, doc_tokens, ids, ids_crc32); ids holds little-endian unsigned 32-bit ids."""
     path = tokenizer_path or default_tokenizer()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens")), T.StructField("ids", T.BinaryType())])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    names = ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"]
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in names[1:4]), T.StructField("ids", T.BinaryType()), T.StructField("ids_crc32", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
-            texts, own, held = batch.column(1), [], 0
-            start, length, total, ids = [], [], [], []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                found = np.array([*encode(text), END_ID], "<u4")
-                for at in range(0, len(found), capacity):
-                    part = found[at : at + capacity]
-                    own.append(i)
-                    start.append(at)
-                    length.append(len(part))
-                    total.append(len(found))
-                    ids.append(part.tobytes())
-                held += len(text)
-                if held >= SLICE_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
-                    own, held = [], 0
-                    start, length, total, ids = [], [], [], []
+            for part, texts in pieces(batch, "text", SLICE_BYTES):
+                found = encode([texts.raw(i).decode() for i in range(len(texts))])
+                total = np.array([len(ids) for ids in found]) + 1
+                many = -(-total // capacity)
+                own = np.repeat(np.arange(len(found)), many)
+                start = (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+                length = np.minimum(total[own] - start, capacity)
+                ended = [np.append(ids, END_ID).astype("<u4") for ids in found]
+                held = [ended[i][a : a + n].tobytes() for i, a, n in zip(own.tolist(), start.tolist(), length.tolist(), strict=True)]
+                columns = [part.column(0).take(pa.array(own)), *(pa.array(c) for c in (start, length, total[own])), pa.array(held, pa.binary()), pa.array([zlib.crc32(h) for h in held], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(cut, schema)
 
@@ -147,24 +205,24 @@ def _intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, i
 
 
 def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with its ids and its place: (doc_id, start, length, doc_tokens, ids, sequence_id, offset)."""
+    """Every piece with its ids and its place: (doc_id, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset)."""
     ship(spark)
-    pieces = materialize(token_pieces(docs, id_col, text_col, tokenizer_path, capacity), "pieces")
-    lengths = pieces.groupBy("length").count().collect()  # at most `capacity` rows
+    cut = materialize(token_pieces(docs, id_col, text_col, tokenizer_path, capacity), "pieces")
+    lengths = cut.groupBy("length").count().collect()  # at most `capacity` rows
     patterns = shortest_pack_first({r["length"]: r["count"] for r in lengths}, capacity)
     total = sum(r["count"] for r in lengths)
     salts = max(1, math.ceil(total / GROUP_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     by_salt = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(by_salt), F.lit(0)).alias("before"))
-    place = Window.partitionBy("length", "salt").orderBy("doc_id", "start", F.crc32("ids"))
+    place = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = salted.join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(place) - 1)
     slots = spark.createDataFrame(_intervals(patterns), "slot_length long, first long, past long, sequence long, slot_offset long")
     hit = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past"))
     # slots has a few rows per length whatever the input, so it is broadcast
-    return ranked.join(F.broadcast(slots), hit).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
+    return ranked.join(F.broadcast(slots), hit).select("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -14,7 +14,6 @@ from causeway.llm import packing
 
 def check(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = defaultdict(int)
     for i, t in texts:
         want[i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])] += 1
@@ -54,10 +53,49 @@ def test_little_padding(spark, sf_dir):
 
 
 def test_digest_query(spark, sf_dir):
-    row = packing.op3_packing(spark, sf_dir).where("doc_tokens <= 1024").first()
-    text = spark.read.parquet(f"{sf_dir}/documents.parquet").where(f"doc_id = {row.doc_id}").first().text
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert row.ids_crc32 == zlib.crc32(np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update({(r.doc_id, a): (min(1024, len(ids) - a), zlib.crc32(ids[a : a + 1024].tobytes()), len(ids)) for a in range(0, len(ids), 1024)})
+    rows = packing.op3_packing(spark, sf_dir).collect()
+    assert {(r.doc_id, r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in rows} == want and len(rows) == len(want)
+
+
+def test_special_tokens_are_the_tokenizers():
+    assert packing.Encoder(packing.default_tokenizer())(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+ODD_TEXT = st.text(st.sampled_from(list("ab1'! \n\t\u00a0\u0085\u2003\x1c\x1fé’s中🙂")), max_size=30)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(ODD_TEXT, st.text(max_size=20)), max_size=4))
+def test_parts_give_the_ids_of_whole_texts(texts):
+    encode = packing._encoder(packing.default_tokenizer())
+    assert [ids.tolist() for ids in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgotten_parts_change_no_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PARTS", 50)
+    encode = packing.Encoder(packing.default_tokenizer())
+    random.seed(6)
+    for _ in range(40):
+        texts = [" ".join(random.choice(["often", "word%d" % random.randrange(500)]) for _ in range(20)) for _ in range(3)]
+        assert [ids.tolist() for ids in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode.parts) < 150
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some  Words here ", "", "a\nb"]
+    assert not encode.by_part and [i.tolist() for i in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts(spark, docs):
+    random.seed(1)
+    texts = [(1, "x" * 300_000), (2, " ".join(str(random.random()) for _ in range(100_000)))]
+    check(packing.pack(spark, docs(texts)).collect(), texts)
 
 
 @settings(max_examples=60, deadline=None)
