@@ -5,7 +5,7 @@ original records, and every stored payload is hashed again on reading. Among pag
 largest id is the response, the others are revisits of it.
 
 Defined results: null html is an empty payload; a null url gives an empty target; a null id takes part like any other page
-but is never preferred as response; repeated rows give repeated records; no pages give empty tables; other columns of the
+but is never preferred as response; ids are whole numbers; repeated rows give repeated records; no pages give empty tables; other columns of the
 input are ignored whatever their names.
 """
 
@@ -59,38 +59,55 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     return path
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The record headers with their fields parsed out of the stored header text."""
-    field = lambda name, of: F.regexp_extract("header", rf"\r\n{name}: {of}\r\n", 1)
-    return spark.read.parquet(f"{path}/headers").select(
-        F.expr("try_cast(nullif(regexp_extract(header, '\\r\\nWARC-Record-ID: <urn:page:([^>]*)>', 1), 'none') AS bigint)").alias("page_id"),
-        field("WARC-Type", "([a-z]+)").alias("record_type"),
-        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
-        F.expr("try_cast(nullif(regexp_extract(header, '\\r\\nWARC-Refers-To: <urn:page:([^>]*)>', 1), '') AS bigint)").alias("refers_to"),
-        F.col("header"),
-        F.col("payload_sha256"),
-    )
-
-
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """The payload store; a payload whose bytes no longer have their digest stops the read."""
     intact = F.when(F.sha2("payload", 256) == F.col("payload_sha256"), F.col("payload_sha256")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_sha256"))))
     return spark.read.parquet(f"{path}/payloads").select(intact.alias("payload_sha256"), "payload")
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: header fields, joined to size and SHA-1 taken anew from the stored payload bytes."""
-    stored = read_payloads(spark, path).select("payload_sha256", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("stored_digest"))
-    same = F.when(F.col("payload_digest") == F.col("stored_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's digest differs from its payload's")))
-    return read_headers(spark, path).drop("header").join(stored, "payload_sha256").select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to", "payload_sha256")
-
-
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every original record rebuilt: its exact header, its WARC block as stored bytes and the payload it stands for."""
-    return read_headers(spark, path).join(read_payloads(spark, path), "payload_sha256").select(
-        "page_id", "record_type", "refers_to", "payload",
-        F.concat(F.encode("header", "UTF-8"), F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))).alias("record"),
+    """(record, payload): the exact bytes of every original record, and the payload it stands for.
+
+    Headers join payloads by content digest; a digest that very many headers share is split by the join, as the payload side has
+    one row for it.
+    """
+    headers = spark.read.parquet(f"{path}/headers")
+    block = F.when(F.col("header").contains(f"{CRLF}WARC-Type: response{CRLF}"), F.col("payload")).otherwise(F.lit(b""))
+    return headers.join(read_payloads(spark, path), "payload_sha256").select(F.concat(F.encode("header", "UTF-8"), block).alias("record"), "payload")
+
+
+def parse(rebuilt: DataFrame) -> DataFrame:
+    """Fields read out of the bytes of ``rebuilt`` (record, payload): one row per record.
+
+    The size is that of the HTTP header, the digest that of the WARC header; both are held against the payload's bytes, and for a
+    response against the bytes inside the record itself.
+    """
+    text = F.decode("record", "UTF-8")
+    warc = F.substring_index(text, CRLF + CRLF, 1)
+    heads = F.substring_index(text, CRLF + CRLF, 2)
+    body = F.expr("substring(record, octet_length(heads) + 5)")
+    named = rebuilt.withColumn("warc", warc).withColumn("heads", heads)
+    field = lambda name, of: F.regexp_extract("warc", rf"\r\n{name}: {of}(?:\r\n|$)", 1)
+    number = lambda name, none: F.expr(f"try_cast(nullif(regexp_extract(warc, '\\r\\n{name}: <urn:page:([^>]*)>', 1), '{none}') AS bigint)")
+    fields = named.select(
+        number("WARC-Record-ID", "none").alias("page_id"),
+        F.regexp_extract("heads", r"\r\n\r\n[\s\S]*\r\nContent-Length: ([0-9]+)$", 1).cast("bigint").alias("payload_bytes"),
+        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
+        field("WARC-Type", "([a-z]+)").alias("record_type"),
+        number("WARC-Refers-To", "").alias("refers_to"),
+        F.octet_length("payload").cast("bigint").alias("stored_bytes"),
+        base32_sha1(F.col("payload")).alias("stored_digest"),
+        ((field("WARC-Type", "([a-z]+)") != "response") | (body == F.col("payload"))).alias("whole"),
+        "payload",
     )
+    intact = (F.col("payload_digest") == F.col("stored_digest")) & (F.col("payload_bytes") == F.col("stored_bytes")) & F.col("whole")
+    checked = F.when(intact, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record differs from its payload")))
+    return fields.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to", "payload")
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """One row per rebuilt record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return parse(records(spark, path)).drop("payload")
 
 
 def export_warc(spark: SparkSession, path: str, target: str, gzip: bool = True) -> None:
@@ -101,7 +118,7 @@ def export_warc(spark: SparkSession, path: str, target: str, gzip: bool = True)
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "archive"))
-    return index(spark, path).drop("payload_sha256")
+    return index(spark, path)
 
 
 ORACLE = """

@@ -12,9 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of this machine, if the session is on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="causeway-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,6 +30,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or with underscores after it, such that no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors recompute nothing."""
     path = new_path(df.sparkSession, name)
