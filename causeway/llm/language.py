@@ -4,8 +4,8 @@ Each language gets a codeword; one binary classifier per bit, logistic on hashed
 per bit a loss for disagreeing with a codeword, weighted by how well the bit's classifier does in training, and takes the
 codeword of least loss. A text whose two best codewords are nearly as near is flagged as ambiguous.
 
-The classifiers are fitted on at most ``SAMPLE`` labelled texts, spread evenly over languages and picked by a hash of id and
-text. Predictions read the text alone, all of it.
+The classifiers are fitted on about ``SAMPLE`` labelled texts, spread evenly over all languages and picked by a hash of id and text
+(LEAST_EACH of each language, if that is more). Predictions read the text alone, all of it.
 
 Defined results: a null text, an empty one and one without a letter are ``und`` with score 0; so is every text when nothing
 was learned. Repeated rows give repeated results; null ids are not learned from; other columns are ignored.
@@ -28,8 +28,8 @@ from causeway.plans.shipping import ship
 
 BUCKETS = 2048
 SAMPLE = 6000
-#: Labels learned, the most frequent first; a label beyond is treated as unlabelled.
-MOST_LANGUAGES = 64
+#: Texts of each language, at least, where there are as many.
+LEAST_EACH = 20
 #: Texts whose margin between the two best codewords, as a share of the largest possible, is smaller are ambiguous.
 AMBIGUOUS = 0.02
 UNKNOWN = "und"
@@ -116,17 +116,17 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 30
 
 
 def train(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` of the labelled texts; None if there are none."""
+    """A model of about ``sample`` of the labelled texts, of every language that has one; None if there are none."""
     ship(spark)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.select("lang", "draw").distinct().groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
-    each = max(1, sample // len(languages))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    draw = F.pmod("draw", F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where(F.col("lang").isin(languages)).where(draw < share[F.col("lang")])
+    each = max(LEAST_EACH, sample // len(languages))
+    share = spark.createDataFrame([(r["lang"], 1.0 if r["count"] <= 2 * each else each / r["count"]) for r in counts], "lang string, share double")
+    draw = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).dropDuplicates(["draw", "lang"]).select("text", "lang")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,44 +136,45 @@ def train(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text
                     x = features(texts_of(some.column(0)))
                     yield pa.RecordBatch.from_arrays([some.column(1), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["lang", "x"])
 
-    # chance may carry the sample past its bound: the rest is cut here
-    got = picked.limit(2 * sample).select("text", "lang").mapInArrow(encode, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    got = picked.mapInArrow(encode, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     names = np.array(got["lang"].to_pylist(), dtype=object)
     present = [name for name in languages if (names == name).any()]
     if not present:
         return None
-    keep = np.concatenate([np.random.default_rng(3).permutation(np.flatnonzero(names == name))[:each] for name in present])
     number = {name: k for k, name in enumerate(present)}
-    return fit(x[keep], np.array([number[n] for n in names[keep]]), present)
-
-
-def identify(spark: SparkSession, rows: DataFrame, model: Model | None) -> DataFrame:
-    """``rows``, which has a column ``text``, with lang_pred, score and ambiguous."""
+    return fit(x, np.array([number[n] for n in names]), present)
+
+
+def _decoded(batch: pa.RecordBatch, at: int, model: Model | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+    """Slices of the batch, whose column ``at`` is the text, with language, score and whether that is ambiguous."""
+    named = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" if i != at else "text" for i in range(batch.num_columns)])
+    for part, _ in pieces(named):
+        for a in range(0, part.num_rows, _ROWS):
+            some = part.slice(a, _ROWS)
+            own = texts_of(some.column(at))
+            letters = has_letter(own)
+            if model is None:
+                letters[:] = False
+                best, score, margin = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own))
+            else:
+                best, score, margin = model.decode(features(own))
+            langs = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+            yield some, langs, np.where(letters, score, 0.0).astype(np.float64), ~letters | (margin < AMBIGUOUS)
+
+
+def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous) of every text."""
     ship(spark)
-    shipped = spark.sparkContext.broadcast(model)  # at most MOST_LANGUAGES codewords and 60 classifiers of BUCKETS weights
-    types = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(rows.columns, rows.schema, strict=True)]
-    at = rows.columns.index("text")
-    names = [*rows.columns, "lang_pred", "score", "ambiguous"]
+    shipped = spark.sparkContext.broadcast(model)  # grows with the languages alone
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = shipped.value
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" if i != at else "text" for i in range(batch.num_columns)])
-            for part, texts in pieces(batch):
-                for a in range(0, len(texts), _ROWS):
-                    some = part.slice(a, _ROWS)
-                    own = texts_of(some.column(at))
-                    letters = has_letter(own)
-                    if ready is None:
-                        letters[:] = False
-                        best, score, margin = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own))
-                    else:
-                        best, score, margin = ready.decode(features(own))
-                    langs = [ready.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0).astype(np.float64)), pa.array(~letters | (margin < AMBIGUOUS))], names)
+            for some, langs, score, ambiguous in _decoded(batch, 1, shipped.value):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(ambiguous)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(predict, ", ".join([*types, "lang_pred string", "score double", "ambiguous boolean"]))
+    return rows.mapInArrow(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def _split() -> Column:
@@ -183,10 +184,19 @@ def _split() -> Column:
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language is unknown or ambiguous; ``lang`` stays as it was given."""
     model = train(spark, docs.where(F.col("doc_id").isNotNull()))
-    return identify(spark, docs, model).where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    shipped = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, langs, _, ambiguous in _decoded(batch, at, shipped.value):
+                kept = some.filter(pa.array((np.array(langs, object) != UNKNOWN) & ~ambiguous))
+                yield pa.RecordBatch.from_arrays(kept.columns, batch.schema.names)
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(spark, docs.where(F.col("doc_id").isNotNull() & ~_split()))
-    return identify(spark, docs.select("doc_id", "text"), model).select("doc_id", _split().alias("held_out"), "lang_pred", "score")
+    return identify(spark, docs, model).select("doc_id", _split().alias("held_out"), "lang_pred", "score")

@@ -40,3 +40,37 @@ def test_rejects_leave(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = language.keep_identified(spark, docs)
     assert kept.columns == docs.columns and kept.count() == 40
+
+
+def test_many_languages_and_their_decoding(spark):
+    import random
+
+    random.seed(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"l%02d" % k: ["".join(random.choice(letters) for _ in range(5)) for _ in range(12)] for k in range(70)}
+    rows = [(k * 40 + j, " ".join(random.choice(words) for _ in range(30)), name) for k, (name, words) in enumerate(kinds.items()) for j in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(spark, docs.where("doc_id % 3 <> 0"))
+    assert model.languages == sorted(kinds)
+    got = {r.doc_id: r for r in language.identify(spark, docs, model).collect()}
+    held = [(i, name) for i, _, name in rows if i % 3 == 0]
+    assert sum(got[i].lang_pred == name for i, name in held) >= 0.95 * len(held)
+    for i, text, _ in rows[:40]:  # decoding by hand
+        counts = np.zeros(language.BUCKETS)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        values = [int(v) for v in language.BYTE_VALUES[raw]]
+        for a, b, c in zip(values, values[1:], values[2:], strict=False):
+            counts[(((a * int(language._STEP) + b) * int(language._STEP) + c) % 2**64) >> (64 - 11)] += 1
+        x = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+        f = x @ model.weights.astype(float) + model.bias
+        loss = [sum(np.log1p(np.exp(-word[b] * f[b])) * model.trust[b] for b in range(len(f))) for word in model.code]
+        assert got[i].lang_pred == model.languages[int(np.argmin(loss))]
+        assert abs(got[i].score - 1 / sum(np.exp(min(loss) - v) for v in loss)) < 1e-3
+
+
+def test_repeated_labelled_rows_and_clashing_names(spark):
+    rows = [(1, "the cat is here", "en")] * 20_000 + [(k, "der Hund ist nicht hier", "de") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1.5 AS score", "'x' AS lang_pred", "true AS ambiguous", "2 AS draw", "3 AS share")
+    assert language.train(spark, docs).languages == ["de", "en"]
+    kept = language.keep_identified(spark, docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count() and kept.where("score <> 1.5 OR lang_pred <> 'x'").isEmpty()
