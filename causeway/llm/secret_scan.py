@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from causeway.llm.automaton import Automaton, compile_rules
 from causeway.llm.kernel import Texts, pieces
+from causeway.llm.storage import free_name
 from causeway.plans.shipping import ship
 
 SCAN_BYTES = 2 << 20
@@ -129,8 +130,8 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scanned(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``rows``, which has a column ``text``, with ``secrets``."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("secrets", T.ArrayType(SPAN))])
+    """``rows``, which has a column ``text``, with ``secrets`` as the last column."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(free_name(rows.columns, "secrets"), T.ArrayType(SPAN))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     at = rows.columns.index("text")
     shipped = rows.sparkSession.sparkContext.broadcast(scanner(rules))  # a few hundred kB, whatever the input
@@ -150,16 +151,17 @@ def redact(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES
     """``docs`` with every secret replaced by ``[kind]`` in ``text`` and ``n_chars`` counted anew; a document without secrets is left as it is."""
     ship(spark)
     found = _scanned(docs, rules)
+    secrets = found.columns[-1]
     # overlapping spans of several rules are replaced as one
     merged = F.aggregate(
-        "secrets",
+        secrets,
         F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("text")),
         lambda s, m: F.when(m["start"] >= s["end"], F.struct(m["end"].alias("end"), F.concat(s["text"], F.substring("text", (s["end"] + 1).cast("int"), (m["start"] - s["end"]).cast("int")), F.lit("["), m["kind"], F.lit("]")).alias("text"))).otherwise(F.struct(F.greatest(s["end"], m["end"]).alias("end"), s["text"].alias("text"))),
     )
     tail = F.concat(merged["text"], F.substring(F.col("text"), (merged["end"] + 1).cast("int"), F.length("text")))
-    dirty = F.size("secrets") > 0
-    cleaned = found.withColumn("_redacted", F.when(dirty, tail).otherwise(F.col("text")))
-    columns = [F.col("_redacted").alias(c) if c == "text" else F.when(dirty, F.length("_redacted")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    dirty, redacted = F.size(secrets) > 0, free_name(found.columns, "redacted")
+    cleaned = found.withColumn(redacted, F.when(dirty, tail).otherwise(F.col("text")))
+    columns = [F.col(redacted).alias(c) if c == "text" else F.when(dirty, F.length(redacted)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cleaned.select(*columns)
 
 
