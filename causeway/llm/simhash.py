@@ -5,7 +5,10 @@ so a term weighs as often as it occurs. A fingerprint has ``BITS`` bits, written
 found through permuted block tables: the bits are cut into radius + ``SPARE`` blocks, and for every choice of ``SPARE``
 blocks a table is keyed by them; any two fingerprints within the radius agree on some choice.
 
-Defined results: a null text is empty; an empty or wordless text has the fingerprint of zeros; equal texts have equal
+The query gives the number of other fingerprints within ``RADIUS`` of those of the documents whose id is divisible by
+``QUERY_EVERY``, found through the tables over all fingerprints.
+
+Defined results: ids are whole numbers; a null text is empty; an empty or wordless text has the fingerprint of zeros; equal texts have equal
 fingerprints; repeated rows give repeated results. Next documents follow ascending (id, hash of the text); a row with a null id
 has no place in that order and is its own next document. Other columns are ignored.
 """
@@ -22,14 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.kernel import NOT_SPACE, Texts, pieces, salted, shingles_of, words_of
+from causeway.llm.storage import materialize
 from causeway.plans.shipping import ship
 
 BITS = 128
 TERM = 2
 SPARE = 2
+RADIUS = 3
+#: Documents whose ids are divisible by this are the queries of the neighbour search.
+QUERY_EVERY = 20
 #: Documents in one sorted stretch, about.
 STRETCH_ROWS = 5_000
 _TERMS = 1 << 17
+UNPACK_BYTES = 8 << 20
 
 
 def fingerprints(texts: Texts) -> np.ndarray:
@@ -54,8 +62,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, np.cos(np.pi * apart / BITS))
 
 
+def _packed(texts: pa.Array) -> pa.Array:
+    """Each text compressed, after its size in 8 bytes."""
+    codec = pa.Codec("zstd", compression_level=3)
+    raw = [t.as_buffer() for t in texts.cast(pa.large_binary())]
+    return pa.array([len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in raw], pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in packed.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) dealt into stretches of ascending ids: (stretch, role, doc_id, text).
+    """``docs`` (doc_id, text) dealt into stretches of ascending ids: (stretch, role, doc_id, key, packed), with the texts compressed.
 
     Role 0 is a document, role 1 a copy of the next stretch's first document at the end of a stretch. Only the borders, one
     id per stretch, reach the driver; each text is shuffled once.
@@ -90,10 +110,22 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
             lost = batch.filter(batch.column(0).is_null())
             for rows, stretch, role in ((known, at, 0), (known.take(pa.array(lead)), (at[lead] - 1) % max(1, len(first)), 1), (lost, -1 - np.arange(lost.num_rows) % 997, 0)):
                 if rows.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(stretch, np.int64)), pa.array(np.full(rows.num_rows, role, np.int32)), *rows.columns], ["stretch", "role", "doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(stretch, np.int64)), pa.array(np.full(rows.num_rows, role, np.int32)), rows.column(0), rows.column(2), _packed(rows.column(1))], ["stretch", "role", "doc_id", "key", "packed"])
+
+    dealt = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(deal, f"stretch long, role int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, packed binary")
+    return dealt.repartition("stretch").sortWithinPartitions("stretch", "role", "doc_id", "key")
+
 
-    dealt = docs.mapInArrow(deal, f"stretch long, role int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
-    return dealt.repartition("stretch").sortWithinPartitions("stretch", "role", "doc_id", F.xxhash64("text"))
+def _unpacked_pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Slices of a batch of ``with_next`` with its texts, a few MB of them at once."""
+    packed = batch.column(4)
+    size = np.array([int.from_bytes(p.as_buffer()[:8].to_pybytes(), "little") for p in packed], np.int64)
+    block = np.cumsum(size) // UNPACK_BYTES
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            some = batch.slice(a, b - a)
+            yield from pieces(pa.RecordBatch.from_arrays([*some.columns[:3], _unpacked(some.column(4))], ["stretch", "role", "doc_id", "text"]))
 
 
 def edit(text: str, following: str) -> str:
@@ -130,7 +162,7 @@ def compare_with_next(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
         id_type = None
         for batch in batches:
             id_type = batch.column(2).type
-            for part, own in pieces(batch, "text"):
+            for part, own in _unpacked_pieces(batch):
                 now = ([*part.column(0).to_pylist()], [*part.column(1).to_pylist()], [*part.column(2).to_pylist()], part.column(3).to_pylist(), fingerprints(own))
                 if held is not None:
                     now = tuple(h + x for h, x in zip(held[:4], now[:4], strict=True)) + (np.concatenate([held[4], now[4]]),)
@@ -156,7 +188,7 @@ def fingerprint_table(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     return rows.mapInArrow(make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFrame:
+def neighbours(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints of ``queries`` with all distinct ones of ``table`` within the radius: (query, fingerprint, apart).
 
     Equal fingerprints are one row, so a group of copies makes no pairs; members follow by a join on the fingerprint.
@@ -164,18 +196,26 @@ def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFra
     blocks = radius + SPARE
     borders = [round(k * BITS / 4 / blocks) for k in range(blocks + 1)]  # in hex digits
     choices = list(itertools.combinations(range(blocks), SPARE))
+    half = lambda c, k: F.conv(F.substring(c, 1 + 8 * k, 8), 16, 10).cast("bigint")
+    word = lambda c, k: F.shiftleft(half(c, 2 * k), 32).bitwiseOR(half(c, 2 * k + 1))
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        part = lambda b: F.substring(name, borders[b] + 1, borders[b + 1] - borders[b])
-        keys = F.array(*[F.concat(F.lit(f"{t}:"), *[part(b) for b in choice]) for t, choice in enumerate(choices)])
-        return df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(keys).alias("key"))
+        # a table's key is a hash of its number and its blocks; fingerprints travel as two numbers
+        part = lambda b: F.substring("fingerprint", borders[b] + 1, borders[b + 1] - borders[b])
+        keys = F.array(*[F.xxhash64(F.lit(t), *[part(b) for b in choice]) for t, choice in enumerate(choices)])
+        return df.select("fingerprint").distinct().select(word("fingerprint", 0).alias(f"{name}0"), word("fingerprint", 1).alias(f"{name}1"), F.explode(keys).alias("key"))
 
-    quarters = [F.bit_count(F.conv(F.substring("query", k, 8), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.substring("fingerprint", k, 8), 16, 10).cast("bigint"))) for k in range(1, BITS // 4, 8)]
-    apart = sum(quarters[1:], quarters[0])
-    pairs = keyed(queries, "query").join(keyed(table, "fingerprint"), "key").select("query", "fingerprint", apart.alias("apart"))
-    return pairs.where(F.col("apart") <= radius).distinct()
+    apart = F.bit_count(F.col("q0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("t1")))
+    pairs = keyed(queries, "q").join(keyed(table, "t"), "key").select("q0", "q1", "t0", "t1", apart.alias("apart")).where(F.col("apart") <= radius).distinct()
+    shown = lambda *c: F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in c]))
+    return pairs.select(shown("q0", "q1").alias("query"), shown("t0", "t1").alias("fingerprint"), "apart")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compare_with_next(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = materialize(found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"), "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    queries = found.where(asks)
+    near = neighbours(queries, found).where("apart > 0").groupBy("query").agg(F.count("*").alias("near"))
+    counted = queries.join(near, F.col("fingerprint") == F.col("query"), "left").withColumn("n_near", F.coalesce("near", F.lit(0)).cast("bigint")).drop("query", "near")
+    return counted.unionAll(found.where(~asks).withColumn("n_near", F.lit(None).cast("bigint")))

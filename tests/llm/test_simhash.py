@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from causeway.llm import simhash
+from causeway.llm.kernel import mix, salted, texts_of, words_of
 
 
 def check(rows, got):
@@ -53,6 +56,42 @@ def test_likeness_tells_edits_from_others(spark, sf_dir):
         assert by_text.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
 
 
+def plain_fingerprint(text):
+    """Votes term by term over the words' own hashes."""
+    words = words_of(texts_of(pa.array([text])))
+    h = [int(x) for x in words.hashes]
+    if not h:
+        return "0" * 32
+    terms = [(a * 0x9E3779B97F4A7C13 + b) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+    hashed = [int(mix(np.array([x], np.uint64))[0]) for x in terms] if terms else [int(salted(np.array(h, np.uint64), simhash.TERM)[0])]
+    votes = [0] * 128
+    for part in range(2):
+        for x in hashed:
+            raw = int(salted(np.array([x], np.uint64), part)[0]).to_bytes(8, "little")
+            for b in range(64):
+                votes[part * 64 + b] += 1 if raw[b // 8] >> (7 - b % 8) & 1 else -1
+    return "%032x" % int("".join("1" if v > 0 else "0" for v in votes), 2)
+
+
+def test_query_columns_against_brute_force(spark, sf_dir):
+    texts = dict(sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()))
+    got = {r.doc_id: r for r in simhash.op10_simhash(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    ids = list(texts)
+    prints = {i: got[i].fingerprint for i in ids}
+    cosine = lambda a, b: max(0.0, math.cos(math.pi * bin(int(a, 16) ^ int(b, 16)).count("1") / 128))
+    for k, i in enumerate(ids):
+        following = ids[(k + 1) % len(ids)]
+        if len(texts[i]) < 4000:
+            assert prints[i] == plain_fingerprint(texts[i])
+            edited = simhash.edit(texts[i], texts[following])
+            assert got[i].edited_fingerprint == plain_fingerprint(edited)
+        assert abs(got[i].near_edited - cosine(prints[i], got[i].edited_fingerprint)) < 1e-9
+        assert abs(got[i].near_next - cosine(prints[i], prints[following])) < 1e-9
+        near = {p for p in prints.values() if 0 < bin(int(p, 16) ^ int(prints[i], 16)).count("1") <= simhash.RADIUS}
+        assert got[i].n_near == (len(near) if i % 20 == 0 else None)
+
+
 def test_block_tables_find_all_neighbours(spark):
     random = np.random.default_rng(3)
     base = random.integers(0, 256, (40, 16)).astype(np.uint8)
