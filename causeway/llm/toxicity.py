@@ -1,17 +1,17 @@
 """Operator 8, toxicity by cumulative-link ordinal regression.
 
-Severity has the grades 0 (not toxic), 1 and 2. Labels only say toxic or not; a toxic training text has grade 2 if its
-features add up to more than those of the median toxic text, else 1. Features are sparse: hashed words and
-word beginnings, and of those the ones that are many times as likely in toxic training texts, each with the logarithm of its
-count. One weight per feature, never negative, is shared by all thresholds: P(grade > k) = sigmoid(w x - cut_k), with ascending cuts. The expected severity is the sum of
-these probabilities.
+Severity has the ordered grades 0, 1, ... that the labels have (a label that says toxic or not gives the grades 0 and 1). Features are
+sparse: hashed words and word beginnings, and of those the ones that are many times as likely in toxic training texts, each
+with the logarithm of its count. One weight per feature, never negative, is shared by all thresholds: P(grade >= k) =
+sigmoid(w x - cut_k), with ascending cuts. The expected severity is the sum of these probabilities.
 
-The regression is fitted on at most ``SAMPLE`` labelled texts, picked by a hash of their id, half of them toxic where there are
-enough. Predictions read the whole text.
+The regression is fitted on about ``SAMPLE`` labelled texts, picked by a hash of id and text, half of them toxic where there are
+enough. How often the features occur in the sample is counted by an aggregation; what reaches the driver are the features that
+qualify and their counts in each sampled text. Predictions read the whole text.
 
 Defined results: null and empty texts have no features and get the intercept's severity; so does every text when there are no
-labels of both kinds (then 0). Labels with a null id or null toxic are left out; if an id has several labels the largest
-counts. Repeated rows give repeated results; other columns are ignored.
+labels of two grades (then 0). Labels with a null id or null grade are left out; if an id has several labels the largest
+counts. Repeated rows are learned from once and give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.kernel import WORD_LIKE, pieces, words_of
+from causeway.llm.storage import materialize
 from causeway.plans.shipping import ship
 
 BITS = 20
 SAMPLE = 4000
-FEATURES = 4096
 #: Bytes of the word beginnings that are features beside the words, so that inflected forms count together.
 PREFIXES = (4, 5, 6, 7)
-GRADES = 3
 #: A feature must be in so many toxic texts, so many times as likely there as elsewhere (half a text added to both), and by so
 #: many standard errors of the difference.
 LEAST_TEXTS, LEAST_RATIO, LEAST_Z = 4, 12.0, 5.0
@@ -86,80 +85,77 @@ class Model:
         return 1 / (1 + np.exp(-(total[:, None] - self.cuts).clip(-30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: float, steps: int = 800, ridge: float = 3e-6) -> Model:
-    """``rows``: features of each text with their counts; ``prior``: the share of toxic texts that the sample was drawn from."""
-    n = len(rows)
-    owner = np.repeat(np.arange(n), [len(f) for f, _ in rows])
-    hashes, feature = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
-    count = np.concatenate([c for _, c in rows])
-    bad, good = toxic.sum(), n - toxic.sum()
-    in_bad = np.bincount(feature[toxic[owner]], minlength=len(hashes))
-    in_good = np.bincount(feature[~toxic[owner]], minlength=len(hashes))
-    p = (in_bad + in_good) / n
-    z = (in_bad / bad - in_good / good) / np.sqrt(np.maximum(p * (1 - p) * (1 / bad + 1 / good), 1e-12))
-    ratio = (in_bad + 0.5) / bad / ((in_good + 0.5) / good)
-    usable = np.flatnonzero((in_bad >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z))
-    usable = np.sort(usable[np.argsort(-z[usable], kind="stable")[:FEATURES]])
-    number = np.full(len(hashes), -1)
-    number[usable] = np.arange(len(usable))
-    number = number[feature]
-    used = number >= 0
-    owner, number, count = owner[used], number[used], count[used]
-    value = np.log1p(count)
-    strength = np.bincount(owner, value, minlength=n)
-    grade = np.where(toxic, 1 + (strength > np.median(strength[toxic])), 0)
-    share = np.where(toxic, prior / bad, (1 - prior) / good)
-    w, cuts = np.zeros(len(usable)), np.array([0.0, 1.0])
+def fit(owner: np.ndarray, number: np.ndarray, count: np.ndarray, severity: np.ndarray, weight: np.ndarray, features: np.ndarray, steps: int = 800, ridge: float = 3e-6) -> Model:
+    """Text ``owner`` has feature ``number`` as often as ``count`` says; texts have severities and weights that add up to 1."""
+    n, top = len(severity), int(severity.max())
+    value, rows = np.log1p(count), np.arange(n)
+    w, cuts = np.zeros(len(features)), np.arange(top, dtype=float)
     first_w, second_w = np.zeros_like(w), np.zeros_like(w)
-    first_c, second_c = np.zeros(2), np.zeros(2)
+    first_c, second_c = np.zeros(top), np.zeros(top)
     for t in range(1, steps + 1):  # Adam on the weighted likelihood
         score = np.bincount(owner, w[number] * value, minlength=n)
         s = 1 / (1 + np.exp(-(score[:, None] - cuts).clip(-30, 30)))
         above = np.column_stack([np.ones(n), s, np.zeros(n)])
         slope = np.column_stack([np.zeros(n), s * (1 - s), np.zeros(n)])
-        rows_ = np.arange(n)
-        chance = np.maximum(above[rows_, grade] - above[rows_, grade + 1], 1e-9)
-        up, down = slope[rows_, grade] / chance * share, slope[rows_, grade + 1] / chance * share
+        chance = np.maximum(above[rows, severity] - above[rows, severity + 1], 1e-9)
+        up, down = slope[rows, severity] / chance * weight, slope[rows, severity + 1] / chance * weight
         gw = -np.bincount(number, (up - down)[owner] * value, minlength=len(w)) + ridge * w
-        gc = np.array([up[grade == 1].sum() - down[grade == 0].sum(), up[grade == 2].sum() - down[grade == 1].sum()])
+        gc = np.array([up[severity == k + 1].sum() - down[severity == k].sum() for k in range(top)])
         first_w, second_w = 0.9 * first_w + 0.1 * gw, 0.999 * second_w + 0.001 * gw * gw
         first_c, second_c = 0.9 * first_c + 0.1 * gc, 0.999 * second_c + 0.001 * gc * gc
         scale = 0.05 / (1 - 0.9**t)
         w = np.maximum(0, w - scale * first_w / (np.sqrt(second_w / (1 - 0.999**t)) + 1e-8))  # terms of toxic texts never speak against it
-        cuts = cuts - scale * first_c / (np.sqrt(second_c / (1 - 0.999**t)) + 1e-8)
-        cuts[1] = max(cuts[1], cuts[0] + 0.05)
-    return Model(hashes[usable], w, cuts)
+        cuts = np.maximum.accumulate(cuts - scale * first_c / (np.sqrt(second_c / (1 - 0.999**t)) + 1e-8))
+    return Model(features, w, cuts)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
+    """A model of labels with grades 0, 1, ...; None where they have only one."""
     ship(spark)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"] > 0: r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    known = labels.select(F.col(id_col).alias("doc_id"), F.greatest(F.lit(0), F.col(toxic_col).cast("int")).alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    drawn = materialize(rows.select("doc_id", "key").distinct().join(known, "doc_id").select("key", "grade").distinct(), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in drawn.groupBy((F.col("grade") > 0).alias("toxic")).count().collect()}
     if len(sizes) < 2:
         return None
     share = {k: min(1.0, sample / 2 / n) for k, n in sizes.items()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.where(draw < F.when(F.col("toxic") > 0, share[True]).otherwise(share[False])).limit(2 * sample)  # bounded, so broadcast
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    draw = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    picked = drawn.where(draw < F.when(F.col("grade") > 0, share[True]).otherwise(share[False]))  # about ``sample`` rows of two numbers, so broadcast
+    texts = rows.join(F.broadcast(picked), "key").select("key", "text", "grade").dropDuplicates(["key"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own in pieces(batch):
                 owner, hashes, _ = _terms(own)
                 owner, hashes, count = _counted(owner, hashes)
-                cut = np.searchsorted(owner, np.arange(1, len(own)))
-                each = lambda x: pa.array([v.tobytes() for v in np.split(x, cut)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), each(hashes), each(count.astype(np.int32))], ["doc_id", "toxic", "features", "counts"])
-
-    got = texts.limit(2 * sample).mapInArrow(encode, f"doc_id {docs.schema[id_col].dataType.simpleString()}, toxic int, features binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")]).to_pylist()
-    toxic = np.array([r["toxic"] > 0 for r in got], bool)
-    if not toxic.any() or toxic.all():
+                cut = np.append(np.searchsorted(owner, np.arange(len(own))), len(owner)).astype(np.int32)
+                lists = (pa.ListArray.from_arrays(pa.array(cut), pa.array(c)) for c in (hashes.view(np.int64), count.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], ["key", "grade", "features", "counts"])
+
+    encoded = materialize(texts.mapInArrow(encode, "key long, grade int, features array<long>, counts array<int>"), "features")
+    by_grade = {r["grade"]: r["count"] for r in encoded.groupBy("grade").count().collect()}
+    bad, good = sum(n for g, n in by_grade.items() if g > 0), by_grade.get(0, 0)
+    if not bad or not good:
         return None
-    return fit([(np.frombuffer(r["features"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in got], toxic, sizes[True] / sum(sizes.values()))
+    terms = encoded.select("key", "grade", F.explode(F.arrays_zip("features", "counts")).alias("t")).select("key", "grade", F.col("t.features").alias("feature"), F.col("t.counts").alias("n"))
+    seen = terms.groupBy("feature").agg(F.sum((F.col("grade") > 0).cast("int")).alias("in_bad"), F.sum((F.col("grade") == 0).cast("int")).alias("in_good"))
+    p = (F.col("in_bad") + F.col("in_good")) / (bad + good)
+    z = (F.col("in_bad") / bad - F.col("in_good") / good) / F.sqrt(F.greatest(p * (1 - p) * (1 / bad + 1 / good), F.lit(1e-12)))
+    ratio = ((F.col("in_bad") + 0.5) / bad) / ((F.col("in_good") + 0.5) / good)
+    usable = materialize(seen.where((F.col("in_bad") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z)).select("feature"), "usable")
+    held = terms.join(usable, "feature").select("key", "feature", "n").toArrow().sort_by([("key", "ascending"), ("feature", "ascending")])
+    of = encoded.select("key", "grade").toArrow().sort_by("key")
+    keys, severity = of["key"].to_numpy(), of["grade"].to_numpy().astype(np.int64)
+    grades = np.unique(severity)  # grades that no sampled text has make no threshold
+    severity = np.searchsorted(grades, severity)
+    features, number = np.unique(held["feature"].to_numpy().view(np.uint64), return_inverse=True)
+    prior = sizes[True] / sum(sizes.values())
+    weight = np.where(severity > 0, prior / bad, (1 - prior) / good)
+    return fit(np.searchsorted(keys, held["key"].to_numpy()), number, held["n"].to_numpy(), severity, weight, features)
 
 
 def grade(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_toxic, p_severe, expected_severity, grade, toxic) of every text."""
+    """(doc_id, p_toxic, p_severe, expected_severity, grade, toxic) of every text; p_severe is that of the highest grade."""
     ship(spark)
     shipped = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -169,9 +165,9 @@ def grade(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
         ready = shipped.value
         for batch in batches:
             for part, own in pieces(batch):
-                p = ready.grade(own) if ready is not None else np.zeros((len(own), GRADES - 1))
+                p = ready.grade(own) if ready is not None else np.zeros((len(own), 1))
                 reached = (p >= 0.5).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(axis=1)), pa.array(reached.astype(np.int64)), pa.array(reached > 0)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(p.sum(axis=1)), pa.array(reached.astype(np.int64)), pa.array(reached > 0)], names)
 
     return rows.mapInArrow(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, p_toxic double, p_severe double, expected_severity double, grade long, toxic boolean")
 
