@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.components import components, stars
 from causeway.llm.kernel import NOT_SPACE, distinct_by, mix, pieces, salted, shingles_of, words_of
-from causeway.llm.storage import materialize
+from causeway.llm.storage import free_name, materialize
 from causeway.plans.shipping import ship
 
 SHINGLE = 5
@@ -92,8 +92,8 @@ def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of the classes in ``wanted`` (node, doc_id, text_key), from the whole text of one member each."""
-    keyed = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_key"))
-    texts = wanted.join(keyed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text")
+    keyed = docs.select(F.col("doc_id").alias("own_id"), "text", F.xxhash64("text").alias("own_key"))
+    texts = wanted.join(keyed, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("node", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,6 +160,7 @@ def _blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members, in blocks.
     """
     largest = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("n_main"))
+    largest = materialize(largest, "largest")
     block = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(n / BLOCK)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(n / BLOCK) - 1).cast("int")))
     placed = mixed.join(largest, "bucket").withColumn("rest", F.col("members") - F.col("n_main"))
@@ -192,7 +193,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         .select(F.col("key_a").alias("node"), "member", "bands", "size"), "nodes",
     )
     exploded = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    crowded = exploded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    # what is joined to the members of buckets is a table by itself: then the join can split a bucket that very many classes share
+    crowded = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
     buckets = materialize(exploded.join(crowded, "bucket"), "buckets")
     wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "member.doc_id", "member.text_key")
     sets = materialize(_sets(rows, wanted, shingle), "sets")
@@ -202,7 +204,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # agree on them, whichever buckets they share
     first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("place"), "node", "size")).alias(f"first{t}") for t in range(ORDERS)]
     fits = lambda t: (F.col("node") != F.col(f"first{t}.node")) & _size_fits("size", f"first{t}.size", percent)
-    met = buckets.join(buckets.groupBy("bucket").agg(*first), "bucket").groupBy("node").agg(*[F.min(F.when(fits(t), F.col(f"first{t}"))).alias(f"first{t}") for t in range(ORDERS)])
+    met = buckets.join(materialize(buckets.groupBy("bucket").agg(*first), "first"), "bucket").select("node", "size", *[f"first{t}" for t in range(ORDERS)]).groupBy("node").agg(*[F.min(F.when(fits(t), F.col(f"first{t}"))).alias(f"first{t}") for t in range(ORDERS)])
     met = met.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"first{t}.node") for t in range(ORDERS)])))).alias("b"))
     links = materialize(_confirmed(met.select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")), sets, percent), "links")
     placed = buckets.withColumn("comp", F.col("node"))
@@ -211,7 +213,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # then all that share a bucket and aren't connected yet: as a pair where it holds two, else block by block
     other = F.min_by(F.struct("node", "size", "comp"), "node").alias("centre")
     about = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), other).where("lo <> hi").select("bucket", "centre")
-    mixed = materialize(placed.join(about, "bucket"), "mixed")
+    mixed = materialize(placed.join(materialize(about, "about"), "bucket"), "mixed")
     pairs = mixed.where((F.col("crowd") == 2) & (F.col("node") != F.col("centre.node")) & _size_fits("size", "centre.size", percent))
     pairs = pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("comp").alias("comp_a"), F.col("centre.comp").alias("comp_b")).distinct()
     rest = mixed.where("crowd > 2").select("bucket", "node", "size", "comp")
@@ -231,12 +233,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each near-duplicate group. Wordless texts are all kept; of repeated rows one is kept."""
+    own_id, own_key, again = (free_name(docs.columns, n) for n in ("kept_id", "kept_key", "kept_again"))
     kept = near_duplicates(spark, docs, shingle=shingle, percent=percent).where("kept")
     keys = kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("size"))
-    keys = materialize(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), ((F.col("copies") > 1) & (F.col("size") > 0)).alias("_repeated")), "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    once = docs.join(keys.where("NOT _repeated"), same, "left_semi")
-    repeated = keys.where("_repeated")
+    keys = materialize(keys.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), ((F.col("copies") > 1) & (F.col("size") > 0)).alias(again)), "kept")
+    same = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_key))
+    once = docs.join(keys.where(~F.col(again)), same, "left_semi")
+    repeated = keys.where(again)
     if repeated.isEmpty():
         return once
     return once.unionAll(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -246,3 +249,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every two classes of equal sets that have a shingle in common are compared; components are the closure of the links.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END)) AS g FROM d),
+c AS (SELECT g, min(doc_id) AS id, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT id, n, unnest(g) AS h FROM c),
+p AS (SELECT a.id AS u, b.id AS v FROM x a JOIN x b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r(id, other) AS (SELECT id, id FROM c UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.other),
+l AS (SELECT c.g, min(r.other) AS component_id FROM r JOIN c USING (id) GROUP BY c.g)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM s LEFT JOIN l USING (g)
+"""
