@@ -171,3 +171,28 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in base), F.sha2(said(F.filter("secrets", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
+
+
+def _oracle() -> str:
+    """Spans by splitting each text at the matches of a rule: a match starts where the parts and matches before it end."""
+    found = "\nUNION ALL ".join(
+        f"SELECT r, {k} AS place, '{x.kind}' AS kind, {x.least} AS least, string_split_regex(t, {p}) AS parts, regexp_extract_all(t, {p}) AS found, {f'regexp_extract_all(t, {p}, {x.group})' if x.group else 'found'} AS held FROM d"
+        for k, x in enumerate(RULES) for p in ["'" + x.pattern.replace("'", "''") + "'"]
+    )
+    listed = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place)"
+    base = ", ".join(f"'{x.kind}'" for x in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{x.kind}') AS n_{x.kind}" for x in BASE_RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM f),
+s AS (SELECT r, place, kind, list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS a,
+      length(found[k]) AS n FROM i WHERE length(held[k]) >= least),
+p AS (SELECT r, place, kind, CAST(a AS BIGINT) AS a, CAST(a + n AS BIGINT) AS b FROM s),
+g AS (SELECT r, {counts}, {listed} FILTER (kind IN ({base})) AS base, {listed} AS spans FROM p GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+ORACLE = _oracle()

@@ -4,6 +4,7 @@ import re
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import assert_same, connect
 
 from causeway.llm import secret_scan
 from causeway.llm.automaton import compile_rules
@@ -65,3 +66,14 @@ def test_query(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
         assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_query_against_sql(spark, sf_dir):
+    assert_same(secret_scan.op7_secrets(spark, sf_dir), connect(sf_dir), secret_scan.ORACLE)
+
+
+def test_redacting_leaves_other_columns(spark):
+    rows = spark.createDataFrame([(1, "password=hunter22 x", 5), (2, None, None), (2, "fine", 4)], "doc_id long, text string, n_chars int").selectExpr("*", "'s' AS secrets", "'r' AS redacted", "'_' AS _redacted")
+    got = secret_scan.redact(spark, rows)
+    assert got.columns == rows.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "[assign] x", 10, "s", "r", "_"), (2, None, None, "s", "r", "_"), (2, "fine", 4, "s", "r", "_")], key=str)
