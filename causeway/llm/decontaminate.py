@@ -8,7 +8,8 @@ The benchmark is measured first and taken in blocks of at most ``block_bytes`` c
 collected and broadcast, and a larger benchmark means more passes over the documents.
 
 Defined results: null or wordless texts have no words and no hits; an item without words matches nothing; repeated document
-rows (equal id and text) come out as often as they came in; repeated items count once per id; an empty benchmark leaves all
+rows (equal id and text) come out as often as they came in; repeated items count once per id; an item with a null id
+hits words and makes documents dirty but is not listed or counted; an empty benchmark leaves all
 documents clean; other columns are ignored whatever their names.
 """
 
@@ -39,7 +40,7 @@ class TestSuffixes:
 
     def __init__(self, item_ids: list, item_texts: list, window: int) -> None:
         words = words_of(texts_of(pa.array(item_texts, pa.string())), WORD_LIKE)
-        self.window, self.item_ids = window, [str(i) for i in item_ids]
+        self.window, self.item_ids = window, item_ids
         self.vocabulary, ids = np.unique(words.hashes, return_inverse=True)
         ids = ids.astype(np.int64) + 1
         self.bitmap = np.zeros(1 << _BITMAP_BITS, bool)
@@ -171,7 +172,7 @@ def scan_shard(texts: Texts, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarra
         name = tests.item_ids[item[h]]
         items[d].append(name)
         matches[d].append({"item_id": name, "doc_word": int(at[h] - begin[d]), "item_word": int(item_word[h]), "n_words": int(size[h] + run - 1)})
-    return counts, n_hit, [sorted(set(x)) for x in items], matches
+    return counts, n_hit, [sorted({i for i in x if i is not None}) for x in items], matches
 
 
 def _pass(docs: DataFrame, items: list, window: int) -> DataFrame:
@@ -192,7 +193,7 @@ def _pass(docs: DataFrame, items: list, window: int) -> DataFrame:
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The items, collected a bounded block at a time; one empty block if there are none."""
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL")
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = max(1, math.ceil(size / block_bytes))
     for k in range(blocks):

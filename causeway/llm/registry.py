@@ -1,4 +1,4 @@
-"""Queries of the ten operators and the pipeline, with SQL where SQL can express them."""
+"""Queries of the ten operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from causeway.llm import archive, decontaminate, language, lbl, near_dedup, packing, passages, secret_scan, simhash, toxicity
 
 
@@ -22,9 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_simhash": simhash.op10_simhash,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op5_warc": archive.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_warc": archive.ORACLE, "op7_secrets": secret_scan.ORACLE}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from oracle import assert_same, connect
 
@@ -24,7 +25,7 @@ def brute(docs, items, size=10):
                 for b in range(len(w) - n + 1):
                     if w[b : b + n] == v[a : a + n]:
                         hit |= set(range(b, b + n))
-                        found.add(str(name))
+                        found |= {str(name)} - {"None"}
         out.append((i, len(w), len(hit), sorted(found)))
     return sorted(out, key=str)
 
@@ -33,7 +34,7 @@ def brute(docs, items, size=10):
 def test_against_brute_force(spark, docs, block):
     random.seed(4)
     gen = lambda n: " ".join(random.choice(["a", "b", "Cé", "d9"]) for _ in range(n))
-    items = [(k, gen(random.choice([1, 2, 3, 9, 10, 11, 14]))) for k in range(12)] + [(90, None), (91, " - "), (92, "solo")]
+    items = [(k, gen(random.choice([1, 2, 3, 9, 10, 11, 14]))) for k in range(12)] + [(90, None), (91, " - "), (92, "solo"), (None, gen(4))]
     rows = [(k, gen(random.randint(0, 60))) for k in range(30)] + [(30, None), (31, ""), (32, "Solo!"), (33, "solo"), (33, "solo"), (34, items[5][1] + " tail " + items[6][1])]
     bench = spark.createDataFrame(items + [items[0]], "item_id long, text string")
     got = decontaminate.find_leaks(spark, docs(rows), bench, block_bytes=block).collect()
@@ -58,3 +59,22 @@ def test_empty_tables(spark, docs):
 
 def test_query(spark, sf_dir):
     assert_same(decontaminate.op2_decontamination(spark, sf_dir), connect(sf_dir), decontaminate.ORACLE)
+
+
+def test_null_item_as_in_the_sql(spark, docs, tmp_path):
+    rows, items = [(1, "one two three four five"), (2, "one two")], [(None, "two three four"), (7, "nothing")]
+    docs(rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert_same(decontaminate.op2_decontamination(spark, str(tmp_path)), con, decontaminate.ORACLE)
+    assert [r.doc_id for r in decontaminate.decontaminate(spark, docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()] == [2]
+
+
+def test_very_long_text(spark, docs):
+    random.seed(7)
+    words_ = ["w%d" % random.randrange(10**7) for _ in range(600_000)]
+    bench = spark.createDataFrame([(k, " ".join(words_[a : a + 30])) for k, a in enumerate(range(1000, 500_000, 50_000))], "item_id long, text string")
+    row = decontaminate.find_leaks(spark, docs([(1, " ".join(words_))]), bench).first()
+    assert (row.n_words, row.n_hit, len(row["items"])) == (600_000, 300, 10)

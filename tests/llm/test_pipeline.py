@@ -39,7 +39,6 @@ def test_stages_and_their_decisions(spark, sf_dir):
     assert all((r.text == texts[r.doc_id]) == (not brute(texts[r.doc_id]) and "ghp_" not in texts[r.doc_id]) or "BEGIN" in texts[r.doc_id] or "xox" in texts[r.doc_id] for r in tables["secrets"])
     assert not any(brute(r.text) for r in tables["secrets"])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     total = defaultdict(int)
     for r in tables["packing"]:
         total[r.doc_id] += r.length
@@ -48,5 +47,23 @@ def test_stages_and_their_decisions(spark, sf_dir):
 
 def test_run_is_the_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"] and out.count() > 0
+    assert out.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and decontaminate.WINDOW == 10
+
+
+NAMES = "kept kept_id secrets redacted score lang_pred ambiguous shard start length ids sequence_id offset node n_hit items"
+
+
+def test_stages_on_odd_tables(spark, sf_dir, tmp_path):
+    """Empty tables, nulls, repeated rows, ties and columns with the stages' own names."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = plain.where("doc_id < 60")
+    odd = odd.unionAll(odd.where("doc_id < 5")).unionAll(odd.where("doc_id = 7").selectExpr("CAST(NULL AS bigint) AS doc_id", *plain.columns[1:])).unionAll(odd.where("doc_id = 8").selectExpr("doc_id", "CAST(NULL AS string) AS text", *plain.columns[2:]))
+    for docs in (plain.limit(0), odd.selectExpr("*", *[f"'x' AS {n}" for n in NAMES.split()])):
+        count = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, sf_dir), name)
+            if name != "packing":
+                assert docs.columns == before.columns and docs.count() <= before.count()
+                assert docs.columns[-1] != "items" or docs.where("kept <> 'x' OR secrets <> 'x'").isEmpty()
+        assert (docs.count() > 0) == (count > 0)
