@@ -2,7 +2,11 @@
 
 Language ID removes documents whose language is unknown or ambiguous; near-dedup leaves one document of each group;
 decontamination removes documents with benchmark windows; secret scans replace secrets in the texts; packing cuts what is left
-into sequences. Every stage but the last returns the columns of ``documents``.
+into sequences. Every stage but the last returns the columns of ``documents``, others beside them included, whatever their names.
+
+Defined results: null and wordless texts have no language and leave in the first stage; rows with a null id take part like others,
+and are never preferred among near-duplicates; of repeated rows one stays; ties go to the least id; texts of any length are
+handled whole; an empty table gives empty stages.
 """
 
 from __future__ import annotations
