@@ -10,11 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between Spark and Python workers; with Spark's own bound, batches of long texts fill an executor.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application."""
+    """Send the package's sources to the executors, once per application, and bound the session's Arrow batches."""
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH, "0").rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
