@@ -36,7 +36,7 @@ GROUP_ROWS = 4_000
 #: Text bytes encoded at once, so that little is held besides the batch.
 SLICE_BYTES = 4 << 20
 #: Parts of texts whose ids a worker keeps, about.
-MOST_PARTS = 1 << 19
+MOST_PARTS = 1 << 20
 
 
 class Encoder:
@@ -49,7 +49,7 @@ class Encoder:
     """
 
     BLANK = re.compile(r" (?=\S)")
-    ODD = re.compile(r" (?=\s|\Z)")
+    SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -64,6 +64,8 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             self.token_bytes[[*vocabulary.values()]] = [len(t) for t in vocabulary]
+        #: A blank before one of these needs care; most texts have none.
+        self.odd = [" " + c for c in self.SPACES]
         self.parts = _Parts()
         self.sizes, self.begin, self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -77,7 +79,7 @@ class Encoder:
         self.begin = np.cumsum(self.sizes) - self.sizes
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self) -> None:
         """Encodes the new parts, each after a blank."""
@@ -100,7 +102,7 @@ class Encoder:
             if not self.by_part or any(t in text for t in self.added):
                 found.append(self.whole(text))
             else:
-                first, *rest = self.BLANK.split(text) if self.ODD.search(text) else text.split(" ")
+                first, *rest = self.BLANK.split(text) if text.endswith(" ") or any(s in text for s in self.odd) else text.split(" ")
                 found.append((self.whole(first) if first else np.zeros(0, np.uint32), [*map(self.parts.__getitem__, rest)]))
         self.learn()
         return [f if isinstance(f, np.ndarray) else np.concatenate([f[0], self.ids(f[1])]) for f in found]
