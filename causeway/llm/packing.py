@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -52,6 +53,7 @@ class Encoder:
     SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,14 +100,17 @@ class Encoder:
         if len(self.parts) > MOST_PARTS:
             self.forget()
         found: list = []
+        firsts: list[str] = []
         for text in texts:
             if not self.by_part or any(t in text for t in self.added):
                 found.append(self.whole(text))
             else:
                 first, *rest = self.BLANK.split(text) if text.endswith(" ") or any(s in text for s in self.odd) else text.split(" ")
-                found.append((self.whole(first) if first else np.zeros(0, np.uint32), [*map(self.parts.__getitem__, rest)]))
+                firsts.append(first)
+                found.append([*map(self.parts.__getitem__, rest)])
         self.learn()
-        return [f if isinstance(f, np.ndarray) else np.concatenate([f[0], self.ids(f[1])]) for f in found]
+        first_ids = (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False))
+        return [f if isinstance(f, np.ndarray) else np.concatenate([next(first_ids), self.ids(f)]) for f in found]
 
     def ids(self, numbers: list[int] | np.ndarray, count: bool = True) -> np.ndarray:
         n = np.asarray(numbers, np.int64)
