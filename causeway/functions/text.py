@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,15 +179,14 @@ def report_status(c: Column) -> Column:
 def prose_lines(c: Column) -> Column:
     """Trimmed lines without form furniture; empty lines stay."""
     pattern = "(?i)" + "|".join(FURNITURE_LINES)
-
-    def keep(line: Column) -> Column:
-        low = F.lower(line)
-        notice = F.lit(False)
-        for word in NOTICE_WORDS:
-            notice = notice | low.contains(word)
-        return (line == "") | ~(notice | line.rlike(pattern))
-
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), keep)
+    notice = "|".join(NOTICE_WORDS)  # letters, digits, blanks and hyphens only
+    text = F.coalesce(c, F.lit(""))
+    low = F.lower(text)
+    # a text that has none of the words and no line that may begin like furniture is kept as it is, without a look at its lines
+    anywhere = "(?im)" + "|".join(p.replace("^", "^ *", 1).replace("$", " *$") for p in FURNITURE_LINES)
+    odd = reduce(lambda a, b: a | b, (low.contains(w) for w in NOTICE_WORDS)) | text.rlike(anywhere)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.when(odd, F.filter(lines, lambda line: (line == "") | ~(F.lower(line).rlike(notice) | line.rlike(pattern)))).otherwise(lines)
 
 
 def clean_prose(c: Column) -> Column:
@@ -202,11 +203,16 @@ def stub_parts(key: Column) -> Column:
 
 def chunks(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words, each ``size - overlap`` after the one before, until one reaches the end."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), lambda x: x != "")
+    split = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), lambda x: x != "")
     step = max(1, size - overlap)
-    n = F.greatest(F.lit(1), F.ceil((F.size(words) - overlap) / F.lit(step)).cast("int"))
-    starts = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: k * step))
-    return F.transform(starts, lambda s: F.slice(words, s + 1, size))
+
+    def cut(words: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil((F.size(words) - overlap) / F.lit(step)).cast("int"))
+        starts = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: k * step))
+        return F.transform(starts, lambda s: F.slice(words, s + 1, size))
+
+    # as a lambda's argument the words are split once, not once for each window
+    return F.get(F.transform(F.array(split), cut), F.lit(0))
 
 
 def json_object(reply: Column) -> Column:

@@ -15,15 +15,16 @@ def build_graph(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     Reports count in the order of their files; a later whole row replaces an earlier one, but a stub never a real one.
     """
     nodes = records.report_nodes(reports)
-    edges = reports.select("ler_number", F.explode("edges").alias("e")).select("ler_number", "e.*")
-    drawn = graph.record_edges(nodes, edges).unionByName(graph.cause_bridges(nodes))
+    place = lambda kind, pos: F.concat_ws("#", "source_file", F.lit(kind), F.lpad(pos.cast("string"), 6, "0")).alias("seq")
+    edges = reports.select("ler_number", "source_file", F.posexplode("edges").alias("pos", "e")).select("ler_number", place("0", F.col("pos")), "e.*")
+    drawn = graph.record_edges(nodes, edges).unionByName(graph.cause_bridges(nodes.withColumn("seq", place("1", F.col("pos")))))
     own = nodes.select("ler_number", "gkey", F.when((F.col("type") == "LER") & (F.col("key") != F.col("ler_number")), "Stub").otherwise(F.col("type")).alias("type"))
     apart = graph.unreached(own, drawn.select("ler_number", "src", "dst"))
     nothing = F.lit(None).cast("string")
-    linked = apart.select(F.concat(F.lit("LER:"), "ler_number").alias("src"), F.lit("INVOLVES").alias("rel"), F.col("gkey").alias("dst"), "ler_number", nothing.alias("role"), nothing.alias("evidence"), F.lit(False).alias("structural"), F.lit(True).alias("synthesized"))
+    linked = apart.select(F.concat(F.lit("LER:"), "ler_number").alias("src"), F.lit("INVOLVES").alias("rel"), F.col("gkey").alias("dst"), "ler_number", nothing.alias("role"), nothing.alias("evidence"), F.lit(False).alias("structural"), F.lit(True).alias("synthesized"), F.lit("").alias("seq"))
     seq = F.concat_ws("#", "source_file", F.lpad(F.col("pos").cast("string"), 6, "0"))
     merged_nodes = graph.merge_nodes(nodes.withColumn("seq", seq))
-    merged_edges = graph.merge_edges(drawn.unionByName(linked).withColumn("seq", F.monotonically_increasing_id()))
+    merged_edges = graph.merge_edges(drawn.unionByName(linked)).drop("seq")
     return merged_nodes, merged_edges
 
 

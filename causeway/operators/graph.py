@@ -30,13 +30,13 @@ def record_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Local edge ends to storage keys within each report; a system's role moves onto its edge, the target's first."""
     side = lambda p: nodes.select("ler_number", F.col("id").alias(p), F.col("gkey").alias(f"{p}_key"), F.col("role").alias(f"{p}_role"))
     both = edges.join(side("source"), ["ler_number", "source"]).join(side("target"), ["ler_number", "target"])
-    return both.select(F.col("source_key").alias("src"), F.col("relation").alias("rel"), F.col("target_key").alias("dst"), "ler_number", F.coalesce("target_role", "source_role").alias("role"), "evidence", F.lit(False).alias("structural"), F.lit(False).alias("synthesized"))
+    return both.select(F.col("source_key").alias("src"), F.col("relation").alias("rel"), F.col("target_key").alias("dst"), "ler_number", F.coalesce("target_role", "source_role").alias("role"), "evidence", F.lit(False).alias("structural"), F.lit(False).alias("synthesized"), "seq")
 
 
 def cause_bridges(nodes: DataFrame) -> DataFrame:
     """A structural HAS_CAUSE edge from each report to each of its causes."""
     causes = nodes.where("type = 'Cause'")
-    return causes.select(F.concat(F.lit("LER:"), "ler_number").alias("src"), F.lit("HAS_CAUSE").alias("rel"), F.col("gkey").alias("dst"), "ler_number", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("evidence"), F.lit(True).alias("structural"), F.lit(False).alias("synthesized"))
+    return causes.select(F.concat(F.lit("LER:"), "ler_number").alias("src"), F.lit("HAS_CAUSE").alias("rel"), F.col("gkey").alias("dst"), "ler_number", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("evidence"), F.lit(True).alias("structural"), F.lit(False).alias("synthesized"), "seq")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Every template returns a DataFrame whose columns are its relational form.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from causeway.functions import fuzzy
-from causeway.functions.taxonomy import CANDIDATE_CAP, outcome_phrase
+from causeway.functions.taxonomy import CANDIDATE_CAP, SMALL_SAMPLE, outcome_phrase
 from causeway.functions.text import duration_hours
 from causeway.operators import assemble, facets, graph, risk
 
@@ -113,11 +114,12 @@ class Engine:
 
     def plant(self, asked: str) -> str:
         """A plant as asked if some name contains it, else the best fuzzy name, else as asked."""
-        names = [r["plant"] for r in self.events().select("plant").where("plant IS NOT NULL").distinct().limit(1000).collect()]  # a bounded dimension
-        if any(asked.lower() in n.lower() for n in names):
+        names = self.events().select("plant").where("plant IS NOT NULL").distinct()
+        if not names.where(F.lower("plant").contains(asked.lower())).isEmpty():
             return asked
-        scored = max(((fuzzy.token_set_ratio(asked, n), n) for n in sorted(names)), default=(0.0, asked))
-        return scored[1] if scored[0] >= 88 else asked
+        scored = fuzzy.best_matches(names, "plant", [(asked, asked)], "token_set").where("match IS NOT NULL")
+        best = scored.orderBy(F.desc("score"), F.desc("plant")).select("plant").first()
+        return best["plant"] if best else asked
 
     def candidates(self, anchors: dict) -> DataFrame:
         """Reports that fit the anchors, newest first; a report number overrides the others."""
@@ -181,9 +183,12 @@ class Engine:
     def _ask_shared_component_cause(self, anchors: dict):
         cause = self.causes().where("category <> 'provisional'").select("event_key", "category")
         rows = self._linked("Component").select("event_key", F.col("gkey").alias("component")).join(cause, "event_key").join(self.events().select("event_key", "plant").where("plant IS NOT NULL"), "event_key")
-        other = rows.select(F.col("event_key").alias("b"), "component", "category", F.col("plant").alias("other"))
-        pairs = rows.join(other, ["component", "category"]).where("event_key < b AND plant <> other")
-        return pairs.select(F.col("event_key").alias("a"), "b", "component", F.col("category").alias("cause"))
+        if anchors.get("component"):  # the links of one component
+            rows = rows.where(F.col("component") == anchors["component"])
+            other = rows.select(F.col("event_key").alias("b"), "category", F.col("plant").alias("other"))
+            linked = rows.join(other, "category").where("event_key < b AND plant <> other")
+            return linked.select(F.col("event_key").alias("a"), "b", "component", F.col("category").alias("cause"))
+        return shared_classes(rows.distinct(), ["component", "category"], "plant").withColumnRenamed("category", "cause")
 
     def _worst(self) -> DataFrame:
         return risk.worst_outcomes(self.consequences())
@@ -193,8 +198,16 @@ class Engine:
         return rows if kind is None else rows.where(F.col("entity_type") == kind)
 
     def _ask_risk_ranking(self, anchors: dict):
-        one = lambda kind, top: risk.ranked(risk.stats(risk.entity_outcomes(self._entities(kind), self._worst())), top).withColumn("entity_type", F.lit(kind))
-        return one("System", 10).unionByName(one("Cause", 6))
+        worst = self._worst()
+        counts = lambda kind: risk.entity_outcomes(self._entities(kind), worst)
+        one = lambda kind, top: risk.ranked(risk.stats(counts(kind)), top).withColumn("entity_type", F.lit(kind))
+        swept = risk.sensitivity(self.spark, counts("System")).select("n_worlds", "frac_top3_stable", "frac_rank1_stable", "robust")
+        return one("System", 10).unionByName(one("Cause", 6)).join(F.broadcast(swept), how="left")  # one row beside the ranking
+
+    def materialize_risk(self, version: str, as_of: str | None = None) -> DataFrame:
+        """Statistics of every system, component and coded cause, to be written as a table and read by ``risk.read_stats``."""
+        stamped = as_of or datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+        return risk.materialized(risk.entity_outcomes(self._entities(), self._worst(), "entity_type", "entity"), version, stamped, "entity_type", "entity")
 
     def _seed(self, anchors: dict, causes: bool) -> DataFrame | None:
         """Events of the entity asked for: a system by code, else (where allowed) a cause by code, else the component hub with most events."""
@@ -213,7 +226,11 @@ class Engine:
 
     def _ask_likely_outcome(self, anchors: dict):
         seed = self._seed(anchors, causes=True)
-        return None if seed is None else risk.distribution(seed, self._worst())
+        if seed is None:
+            return None
+        worst = self._worst()
+        corpus = risk.distribution(self.events().select("event_key"), worst).select("outcome", F.col("n").alias("corpus_n"), F.col("p").alias("corpus_p"))
+        return risk.distribution(seed, worst).join(F.broadcast(corpus), "outcome", "left")  # eight classes at most
 
     def _ask_probable_path(self, anchors: dict):
         seed = self._seed(anchors, causes=False)
@@ -234,14 +251,23 @@ class Engine:
         return out.withColumns({c: F.coalesce(c, nothing) for c in facets.SETS})
 
     def _ask_faceted_frequency(self, anchors: dict):
-        filters = facets.usable(anchors.get("filters")) or facets.usable(anchors.get("filter"))
+        legacy = {"facet": anchors.get("filter_facet"), "value": anchors.get("filter_value"), "op": anchors.get("filter_op")}
+        filters = facets.usable(anchors.get("filters")) or facets.usable(anchors.get("filter")) or facets.usable(legacy)
         target = anchors.get("target") if anchors.get("target") in facets.TARGETS else "outcomes"
         q, table = facets.FacetQuery(target, filters), self.event_facets()
         if anchors.get("compare"):
             return facets.compare(table, q, anchors["compare"]["facet"], anchors["compare"]["values"])
         if anchors.get("pairs") and target in facets.SETS:
             return facets.pairs(table, q).orderBy(F.desc("n"), "a", "b").limit(12)
-        return facets.frequency(table, q).orderBy(F.desc("n"), "value").limit(15)
+        small = (F.col("n_matched") <= SMALL_SAMPLE).alias("small_sample")
+        if target == "corrective_actions":
+            return facets.listing(table, q).withColumn("small_sample", F.col("n_matched") <= SMALL_SAMPLE)
+        counted = facets.frequency(table, q)
+        if target == "years":  # a year that isn't over on the day asked is a partial count
+            today = datetime.date.fromisoformat(anchors["as_of"]) if anchors.get("as_of") else datetime.date.today()
+            partial = F.col("value") >= str(today.year)
+            return counted.select("*", small, partial.alias("partial"), F.when(partial, today.timetuple().tm_yday / 365.0).alias("elapsed")).orderBy("value")
+        return counted.select("*", small).orderBy(F.desc("n"), "value").limit(15)
 
     def _ask_subgraph(self, anchors: dict):
         """Neighbours of a system, a report (pinned to it) or a cause, in this precedence."""
@@ -261,6 +287,16 @@ class Engine:
         return near.orderBy("hop", "neighbor", "rel").limit(NEIGHBOUR_CAP)
 
 
+def shared_classes(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """(keys, n_events, n_plants, n_links) of distinct (event_key, keys, place): events of a class at different places, and their links.
+
+    Links are counted and not made, so a class of very many events costs its events.
+    """
+    each = rows.groupBy(*keys, place).agg(F.count("*").alias("m"))
+    whole = each.groupBy(*keys).agg(F.sum("m").alias("n_events"), F.count("*").alias("n_plants"), F.sum(F.col("m") * F.col("m")).alias("same")).where("n_plants > 1")
+    return whole.select(*keys, "n_events", "n_plants", ((F.col("n_events") * F.col("n_events") - F.col("same")) / 2).cast("bigint").alias("n_links"))
+
+
 def vocabulary(engine: Engine) -> DataFrame:
     """(kind, code, name): coded systems and causes."""
     named = engine.nodes.where("type = 'System' AND eiis_code IS NOT NULL").select(F.lit("system").alias("kind"), F.col("eiis_code").alias("code"), F.col("display_name").alias("name"))

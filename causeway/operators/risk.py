@@ -52,6 +52,21 @@ def distribution(entity_events: DataFrame, worst: DataFrame) -> DataFrame:
     )
 
 
+def materialized(counts: DataFrame, version: str, as_of: str, *keys: str) -> DataFrame:
+    """Statistics as they are stamped on hubs: counts and shares as maps, figures to 4 places, with the version and time of the stamp."""
+    keys = keys or ("entity",)
+    classed = F.col("outcome").isNotNull()
+    pairs = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(classed, F.struct("outcome", "n")))).alias("counts"))  # eight classes at most
+    both = stats(counts, *keys).join(pairs, list(keys))
+    shares = F.transform_values("counts", lambda _, n: F.round(n / F.col("n_classified"), 4))
+    return both.select(*keys, "n_events", "n_classified", F.round("expected_severity", 4).alias("expected_severity"), F.col("mass").alias("contribution"), "small_sample", F.to_json("counts").alias("counts_json"), F.to_json(shares).alias("dist_json"), F.lit(version).alias("version"), F.lit(as_of).alias("materialized_at"))
+
+
+def read_stats(table: DataFrame) -> DataFrame:
+    """Stamped statistics with their counts as maps again."""
+    return table.where("contribution IS NOT NULL").withColumn("counts", F.from_json("counts_json", "map<string,bigint>")).drop("counts_json", "dist_json")
+
+
 def ranked(table: DataFrame, top: int, least: int = 1) -> DataFrame:
     """The ``top`` entities by severity mass; ties by name. The limit comes first, so the window sees a few rows."""
     best = table.where(F.col("n_classified") >= least).orderBy(F.desc("mass"), "entity").limit(top)

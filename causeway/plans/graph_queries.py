@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from causeway.functions.taxonomy import severity, weight
-from causeway.operators import graph, risk
+from causeway.operators import graph, retrieval, risk
 from causeway.plans import proxy
 from causeway.plans.registry import query
 
@@ -64,13 +64,12 @@ def mitigating_backups(spark, sf_dir):
 
 
 @query("shared_component_cause", proxy.SQL + """, k AS (SELECT DISTINCT l_orderkey AS event_key, l_partkey AS component FROM lineitem), r AS (SELECT event_key, component, category AS cause, plant FROM k JOIN ev USING (event_key) WHERE category <> 'NOT SPECIFIED')
-SELECT x.event_key AS a, y.event_key AS b, x.component, x.cause FROM r x JOIN r y ON x.component = y.component AND x.cause = y.cause AND x.event_key < y.event_key AND x.plant <> y.plant""")
+SELECT x.component, x.cause, count(*) AS n_links FROM r x JOIN r y ON x.component = y.component AND x.cause = y.cause AND x.event_key < y.event_key AND x.plant <> y.plant GROUP BY ALL""")
 def shared_component_cause(spark, sf_dir):
     li = proxy.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_key"), F.col("l_partkey").alias("component")).distinct()
     ev = proxy.events(spark, sf_dir).where(F.col("category") != proxy.PROVISIONAL).select("event_key", "plant", F.col("category").alias("cause"))
     rows = li.join(ev, "event_key").where("plant IS NOT NULL")
-    other = rows.select(F.col("event_key").alias("b"), "component", "cause", F.col("plant").alias("other"))
-    return rows.join(other, ["component", "cause"]).where("event_key < b AND plant <> other").select(F.col("event_key").alias("a"), "b", "component", "cause")
+    return retrieval.shared_classes(rows, ["component", "cause"], "plant").select("component", "cause", "n_links")
 
 
 @query("vocabulary", proxy.SQL + "SELECT 'system' AS kind, p_brand AS code, p_brand AS name FROM part GROUP BY ALL UNION ALL SELECT 'cause', code, category FROM cau GROUP BY ALL")

@@ -39,8 +39,8 @@ def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("event_key"), F.substring("o_orderpriority", 1, 1).alias("code"), F.substring("o_orderpriority", 3, 40).alias("category"))
 
 
-def consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_key, outcome, confidence, sure): ``sure`` is the gate at 0.60, in whole hundredths of the discount."""
+def consequences(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(event_key, outcome, confidence, sure) and the named columns of the line: ``sure`` is the gate at 0.60, in whole hundredths of the discount."""
     li = table(spark, sf_dir, "lineitem")
     f, s, heavy = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity") >= 25
     outcome = (
@@ -51,7 +51,7 @@ def consequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((f == "R") & (s == "F"), "ts-violation-only")
         .otherwise("other-or-no-safety-impact")
     )
-    return li.select(F.col("l_orderkey").alias("event_key"), outcome.alias("outcome"), (1 - 5 * F.col("l_discount")).alias("confidence"), (F.round(F.col("l_discount") * 100) <= 8).alias("sure"))
+    return li.select(F.col("l_orderkey").alias("event_key"), outcome.alias("outcome"), (1 - 5 * F.col("l_discount")).alias("confidence"), (F.round(F.col("l_discount") * 100) <= 8).alias("sure"), *more)
 
 
 def _lines(spark: SparkSession, sf_dir: str, what: str, name: str) -> DataFrame:
@@ -71,17 +71,18 @@ def power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event_key")).agg((F.max("l_quantity") * 2).alias("power_level"))
 
 
+OUTCOME_SQL = """CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN CASE WHEN l_quantity >= 25 THEN 'loss-of-safety-function' ELSE 'safety-system-inoperable' END
+            WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'reactor-trip-or-scram'
+            WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN CASE WHEN l_quantity >= 25 THEN 'esf-actuation' ELSE 'containment-isolation' END
+            WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'degraded-not-lost'
+            WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'ts-violation-only' ELSE 'other-or-no-safety-impact' END"""
 SQL = f"""
 WITH RECURSIVE {SQL_TAXONOMY},
 ev AS (SELECT o_orderkey AS event_key, strftime(o_orderdate, '%Y-%m-%d') AS event_date, strftime(o_orderdate, '%Y') AS year, o_orderstatus AS status, n_name AS plant,
        substr(o_orderpriority, 1, 1) AS code, substr(o_orderpriority, 3) AS category
        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
 con AS (SELECT l_orderkey AS event_key, 1 - 5 * l_discount AS confidence, round(l_discount * 100) <= 8 AS sure,
-       CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN CASE WHEN l_quantity >= 25 THEN 'loss-of-safety-function' ELSE 'safety-system-inoperable' END
-            WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'reactor-trip-or-scram'
-            WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN CASE WHEN l_quantity >= 25 THEN 'esf-actuation' ELSE 'containment-isolation' END
-            WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'degraded-not-lost'
-            WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'ts-violation-only' ELSE 'other-or-no-safety-impact' END AS outcome FROM lineitem),
+       {OUTCOME_SQL} AS outcome FROM lineitem),
 sys AS (SELECT DISTINCT l_orderkey AS event_key, p_brand AS system FROM lineitem JOIN part ON l_partkey = p_partkey),
 comp AS (SELECT DISTINCT l_orderkey AS event_key, p_name AS component FROM lineitem JOIN part ON l_partkey = p_partkey),
 cau AS (SELECT event_key, code, category FROM ev),

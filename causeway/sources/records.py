@@ -114,7 +114,7 @@ def component_failures(tokens: F.Column) -> F.Column:
     five = lambda g: row(*[clean(at(g * 5 + k)) for k in range(4)], yes(at(g * 5 + 4)))
     n = F.size(tokens)
     nothing = F.lit(None).cast("string")
-    short = row(F.when(at(F.lit(0)).rlike("^([A-EX]|TBD)$"), at(F.lit(0))), F.get(F.filter(F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda t: t.rlike("^[A-Z]{2}$")), F.lit(0)), nothing, nothing, yes(at(n - 1)))
+    short = row(F.when(at(F.lit(0)).rlike("^([A-EX]|TBD)$"), at(F.lit(0))), F.get(F.filter(F.slice(tokens, 2, F.greatest(n - 1 - F.when(yes(at(n - 1)).isNotNull(), 1).otherwise(0), F.lit(0))), lambda t: t.rlike("^[A-Z]{2}$")), F.lit(0)), nothing, nothing, yes(at(n - 1)))
     rows = F.when(n == 0, F.array().cast("array<struct<cause:string,system:string,component:string,manufacturer:string,reportable:string>>")).when((n >= 5) & (n % 5 == 0), F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / 5).cast("int") - 1, F.lit(0))), five)).when(n >= 5, F.array(five(F.lit(0)))).otherwise(F.array(short))
     return F.filter(rows, lambda r: F.coalesce(r["cause"], r["system"], r["component"], r["manufacturer"], r["reportable"]).isNotNull())
 
@@ -131,9 +131,10 @@ def latest(rows: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Union in which new rows replace existing ones of their key."""
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
+    """Union in which new rows replace existing ones of their key; of several new rows of a key the first by ``order`` counts."""
+    one = latest(new, keys, *(order or [F.xxhash64(*new.columns)]))
+    return existing.join(one.select(*keys), keys, "left_anti").unionByName(one)
 
 
 def missing_rows(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ def test_intents(spark, tmp_path):
     one = ask("failure_chain", ler_key="N1")
     assert [(r.doc, r.hops, r.backups) for r in one.rows.collect()] == [("N1", 1, ["System:BN"])]
     assert ask("failure_chain", plant="Nowhere").empty and ask("out_of_corpus").empty
-    assert [(r.a, r.b, r.component) for r in ask("shared_component_cause").rows.collect()] == [("N1", "N2", "Component:pump")]
+    assert [(r.component, r.n_events, r.n_plants, r.n_links) for r in ask("shared_component_cause").rows.collect()] == [("Component:pump", 2, 2, 1)]
+    assert [(r.a, r.b) for r in ask("shared_component_cause", component="Component:pump").rows.collect()] == [("N1", "N2")]
     assert {(r.component, r.event_key) for r in ask("system_components", system_code="BJ").rows.collect()} == {("Pump", "N1"), ("Pump", "N2"), ("Valve", "N3")}
     assert [(r.name, r.n) for r in ask("system_failure_modes", system_code="BJ").rows.collect()] == [("pump stuck", 3)]
     assert [(r.event_key, r.backups) for r in ask("mitigating_backups").rows.collect()] == [("N1", ["Spare"])]
