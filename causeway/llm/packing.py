@@ -37,7 +37,7 @@ GROUP_ROWS = 4_000
 #: Text bytes encoded at once, so that little is held besides the batch.
 SLICE_BYTES = 4 << 20
 #: Parts of texts whose ids a worker keeps, about.
-MOST_PARTS = 1 << 20
+MOST_PARTS = 1 << 18
 
 
 class Encoder:
