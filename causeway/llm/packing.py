@@ -35,7 +35,9 @@ END_ID = 0
 #: Pieces of one length that one salted group ranks, about.
 GROUP_ROWS = 4_000
 #: Text bytes encoded at once, so that little is held besides the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: New parts encoded as one text; what a tokenizer makes of a text is many times its size.
+LEARN_PARTS = 1 << 13
 #: Parts of texts whose ids a worker keeps, about.
 MOST_PARTS = 1 << 18
 
@@ -86,14 +88,15 @@ class Encoder:
     def learn(self) -> None:
         """Encodes the new parts, each after a blank."""
         fresh, self.parts.fresh = self.parts.fresh, []
-        if fresh:
-            ids = self.whole(" " + " ".join(fresh))
-            ends = np.cumsum([len(part.encode()) + 1 for part in fresh])
+        for a in range(0, len(fresh), LEARN_PARTS):
+            some = fresh[a : a + LEARN_PARTS]
+            ids = self.whole(" " + " ".join(some))
+            ends = np.cumsum([len(part.encode()) + 1 for part in some])
             upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
             self.sizes = np.concatenate([self.sizes, np.diff(upto, prepend=0)])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.append(0, upto[:-1])])
             self.flat = np.concatenate([self.flat, ids])
-            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(some), np.int64)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
