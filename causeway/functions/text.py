@@ -218,3 +218,62 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
 def json_object(reply: Column) -> Column:
     """The outermost braces of a reply, fences and chatter around them dropped."""
     return F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+# Markers of a form's regions, lead-ins of a notification number, and time zones.
+CONTINUATION, FORM, ABSTRACT = r"(?i)NRC\s*FORM\s*366A", r"(?i)NRC\s*FORM\s*366(?!A)", r"(?i)16\.\s*Abstract[^\n]*\n"
+NOTIFICATION = (r"(?i)\bENS\b\D{0,20}(\d{4,6})", r"(?i)report number\s+(\d{4,6})", r"(?i)notification[^.\d]{0,20}\((\d{4,6})\)")
+TIME = r"\bat\s+(\d{1,2}:?\d{2})\s*(CST|CDT|EST|EDT|PST|PDT|MST|MDT)?"
+#: Characters on either side of a notification number in which its time and date are sought.
+NEAR = 200
+
+
+def match_spans(c: Column, pattern: str) -> Column:
+    """(start, text) of every match of a pattern: it starts where the parts and matches before it end."""
+    parts, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    total = lambda a: F.aggregate(F.transform(a, lambda x: F.length(x)), F.lit(0), lambda n, x: n + x)
+    return F.transform(found, lambda m, i: F.struct((total(F.slice(parts, 1, i + 1)) + total(F.slice(found, 1, i))).alias("start"), m.alias("text")))
+
+
+def segments(c: Column) -> Column:
+    """(cover, header, abstract, narrative): cover up to the form, narrative from its continuation on, abstract null where it has none."""
+    at = lambda of, pattern: F.nullif(F.regexp_instr(of, F.lit(pattern)), F.lit(0)) - 1
+    text = F.coalesce(c, F.lit(""))
+    narrative, form = F.coalesce(at(text, CONTINUATION), F.length(text)), F.coalesce(at(text, FORM), F.length(text))
+    part = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    before = part(F.lit(0), narrative)
+    marker = F.regexp_extract(before, f"({ABSTRACT})", 1)
+    abstract = F.when(marker != "", part(at(before, ABSTRACT) + F.length(marker), narrative))
+    return F.struct(part(F.lit(0), form).alias("cover"), part(form, narrative).alias("header"), abstract.alias("abstract"), part(narrative, F.length(text)).alias("narrative"))
+
+
+def title(cover: Column, listed: Column) -> Column:
+    """The cover letter's subject up to an empty line, without number and quotes; else what follows the unit in the listed title."""
+    subject = squeeze(F.regexp_extract(cover, r"(?is)Subject:\s*(.+?)\n\s*\n", 1))
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(subject, r"(?i)^(?:LER|Licensee Event Report)\s*[\d/\-]+\s*[,:]?\s*", "")), r'^"+|"+$', ""))
+    return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(F.trim(F.regexp_extract(listed, r",\s*Unit\s*\d+,\s*(.+)$", 1)), F.lit("")), F.trim(listed))
+
+
+def notification(prose: Column) -> Column:
+    """(number, date, time) of a notification; of the times and dates within NEAR characters the ones nearest to its number count."""
+    text = F.coalesce(prose, F.lit(""))
+
+    def found(pattern: str) -> Column:
+        whole = F.regexp_extract(text, pattern, 0)
+        start = F.regexp_instr(text, F.lit(pattern)) - 1
+        return F.when(start >= 0, F.struct(F.regexp_extract(text, pattern, 1).alias("number"), (start + F.floor(F.length(whole) / 2)).cast("int").alias("anchor")))
+
+    hit = F.coalesce(*[found(p) for p in NOTIFICATION])
+
+    def around(h: Column) -> Column:
+        low = F.greatest(F.lit(0), h["anchor"] - NEAR)
+        window = F.substring(text, low + 1, h["anchor"] + NEAR - low)
+        away = lambda m, value: F.struct(F.abs(low + m["start"] - h["anchor"]).alias("away"), m["start"].alias("start"), value.alias("value"))
+        clock = lambda m: F.trim(F.concat_ws(" ", F.regexp_extract(m["text"], TIME, 1), F.nullif(F.regexp_extract(m["text"], TIME, 2), F.lit(""))))
+        words, slashes = r"on\s+[A-Za-z]+\s+\d{1,2},?\s+\d{4}", r"on\s+\d{1,2}/\d{1,2}/\d{2,4}"
+        times = F.transform(match_spans(window, TIME), lambda m: away(m, clock(m)))
+        dates = F.concat(F.transform(match_spans(window, words), lambda m: away(m, word_date(m["text"], r"on\s+"))), F.transform(match_spans(window, slashes), lambda m: away(m, slash_date(F.regexp_extract(m["text"], r"([\d/]+)$", 1)))))
+        nearest = lambda a: F.array_min(F.filter(a, lambda x: x["value"].isNotNull()))["value"]
+        return F.struct(h["number"].alias("number"), nearest(dates).alias("date"), nearest(times).alias("time"))
+
+    return F.get(F.transform(F.filter(F.array(hit), lambda h: h.isNotNull()), around), F.lit(0))

@@ -59,3 +59,33 @@ def test_unwrap(spark):
     doc = '{"DocketNumber":["05000352"],"DocumentTitle":"t","LicenseeEventReport":"LER 2022-001-00","content":"c"}'
     rows = spark.createDataFrame([(f'{{"document":{doc}}}',), (f'{{"results":[{{"document":{doc}}}]}}',)], "reply string")
     assert {(r.ler_number, r.title) for r in records.unwrap_documents(rows).collect()} == {("352-2022-001-00", "t")}
+
+
+def test_regions_of_a_form(spark):
+    whole = "Dear Sir\nSubject: LER 2024-001, \"Pump\n trip\"\n\nbody NRC FORM 366 head\n16. Abstract (text)\nshort story NRC FORM 366A long story"
+    rows = spark.createDataFrame([(1, whole), (2, "no form here"), (3, None), (4, "")], "id int, t string")
+    got = {r.id: r.s for r in rows.select("id", text.segments(F.col("t")).alias("s")).collect()}
+    assert got[1].cover.endswith("body ") and got[1].header.startswith("NRC FORM 366 head") and got[1].abstract == "short story " and got[1].narrative == "NRC FORM 366A long story"
+    assert tuple(got[2]) == ("no form here", "", None, "") and tuple(got[3]) == tuple(got[4]) == ("", "", None, "")
+    titles = rows.select("id", text.title(text.segments(F.col("t"))["cover"], F.lit("LER 1 for North, Unit 2, Valve stuck ")).alias("v")).collect()
+    assert {r.id: r.v for r in titles} == {1: "Pump trip", 2: "Valve stuck", 3: "Valve stuck", 4: "Valve stuck"}
+
+
+def test_notification_takes_the_nearest(spark):
+    cases = {
+        1: ("It was restored at 0915 EST on March 3, 2024. The NRC was told at 10:15 CST on 3/4/24 (ENS 57001), and the state some two hours later, again at 23:59 on May 9, 2024.", ("57001", "2024-03-04", "10:15 CST")),
+        2: ("See report number 56123 made on 11/17/25 at 18:09.", ("56123", "2025-11-17", "18:09")),
+        3: ("Event notification (4455) " + "x" * 300 + " at 10:00 on 1/1/20", ("4455", None, None)),
+        4: ("nothing", None), 5: (None, None),
+    }
+    rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "id int, t string")
+    got = {r.id: r.n and tuple(r.n) for r in rows.select("id", text.notification(F.col("t")).alias("n")).collect()}
+    assert got == {k: v[1] for k, v in cases.items()}
+
+
+def test_short_rows_and_upserts(spark):
+    tokens = spark.createDataFrame([(["B", "NO"],), (["B", "BJ", "NO"],), (["X", "BN"],)], "t array<string>")
+    got = [[tuple(x) for x in r.f] for r in tokens.select(records.component_failures(F.col("t")).alias("f")).collect()]
+    assert got == [[("B", None, None, None, "N")], [("B", "BJ", None, None, "N")], [("X", "BN", None, None, None)]]
+    old, new = spark.createDataFrame([(1, "o", 0), (2, "o", 0)], "k int, v string, at int"), spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, v string, at int")
+    assert sorted((r.k, r.v) for r in records.upsert(old, new, ["k"], F.desc("at")).collect()) == [(1, "b"), (2, "o")]
