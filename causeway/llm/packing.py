@@ -40,6 +40,10 @@ SLICE_BYTES = 2 << 20
 LEARN_PARTS = 1 << 13
 #: Parts of texts whose ids a worker keeps, about.
 MOST_PARTS = 1 << 18
+#: Characters of new parts after which a worker forgets, about.
+MOST_HELD = 16 << 20
+#: Longer parts aren't kept then.
+SHORT_PART = 64
 
 
 class Encoder:
@@ -52,7 +56,6 @@ class Encoder:
     """
 
     BLANK = re.compile(r" (?=\S)")
-    SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
@@ -68,16 +71,16 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             self.token_bytes[[*vocabulary.values()]] = [len(t) for t in vocabulary]
-        #: A blank before one of these needs care; most texts have none.
-        self.odd = [" " + c for c in self.SPACES]
         self.parts = _Parts()
         self.sizes, self.begin, self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        """Keeps the parts met again since they came, half of MOST_PARTS at most."""
-        often = np.flatnonzero(self.uses > 1)
+        """Keeps the short parts met again since they came, half of MOST_PARTS at most."""
+        names = [*self.parts]
+        short = np.fromiter((len(name) <= SHORT_PART for name in names), bool, len(names))
+        often = np.flatnonzero((self.uses > 1) & short)
         often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: MOST_PARTS // 2]])
-        ids, names = self.ids(often, count=False), [*self.parts]
+        ids = self.ids(often)
         self.parts = _Parts(names[k] for k in often.tolist())
         self.sizes, self.flat, self.uses = self.sizes[often], ids, np.ones(len(often), np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -88,52 +91,76 @@ class Encoder:
     def learn(self) -> None:
         """Encodes the new parts, each after a blank."""
         fresh, self.parts.fresh = self.parts.fresh, []
+        sizes, flat = [self.sizes], [self.flat]
         for a in range(0, len(fresh), LEARN_PARTS):
             some = fresh[a : a + LEARN_PARTS]
-            ids = self.whole(" " + " ".join(some))
+            flat.append(self.whole(" " + " ".join(some)))
             ends = np.cumsum([len(part.encode()) + 1 for part in some])
-            upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
-            self.sizes = np.concatenate([self.sizes, np.diff(upto, prepend=0)])
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.append(0, upto[:-1])])
-            self.flat = np.concatenate([self.flat, ids])
-            self.uses = np.concatenate([self.uses, np.zeros(len(some), np.int64)])
+            upto = np.searchsorted(np.cumsum(self.token_bytes[flat[-1]]), ends) + 1
+            sizes.append(np.diff(upto, prepend=0))
+        if fresh:
+            self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+            self.begin = np.cumsum(self.sizes) - self.sizes
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.parts) > MOST_PARTS:
+        if len(self.parts) > MOST_PARTS or self.parts.held > MOST_HELD:
             self.forget()
-        found: list = []
+        found: list[np.ndarray | None] = []
         firsts: list[str] = []
+        numbers: list[int] = []
+        upto: list[int] = []
+        number = self.parts.__getitem__
         for text in texts:
             if not self.by_part or any(t in text for t in self.added):
                 found.append(self.whole(text))
-            else:
-                first, *rest = self.BLANK.split(text) if text.endswith(" ") or any(s in text for s in self.odd) else text.split(" ")
-                firsts.append(first)
-                found.append([*map(self.parts.__getitem__, rest)])
+                continue
+            split = text.split(" ")
+            known = len(numbers)
+            try:
+                numbers.extend(map(number, split[1:]))
+            except OddBlank:
+                del numbers[known:]
+                split = self.BLANK.split(text)
+                numbers.extend(map(number, split[1:]))
+            found.append(None)
+            firsts.append(split[0])
+            upto.append(len(numbers))
         self.learn()
-        first_ids = (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False))
-        return [f if isinstance(f, np.ndarray) else np.concatenate([next(first_ids), self.ids(f)]) for f in found]
-
-    def ids(self, numbers: list[int] | np.ndarray, count: bool = True) -> np.ndarray:
-        n = np.asarray(numbers, np.int64)
+        n = np.fromiter(numbers, np.int64, len(numbers))
+        self.uses += np.bincount(n, minlength=len(self.uses))
+        ends = np.append(0, np.cumsum(self.sizes[n]))[np.asarray([0, *upto], np.int64)].tolist()
+        ids = self.ids(n)
+        first_ids = self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)
+        by_part = (np.concatenate([np.array(e.ids, np.uint32), ids[a:b]]) for e, a, b in zip(first_ids, ends, ends[1:], strict=False))
+        return [next(by_part) if f is None else f for f in found]
+
+    def ids(self, n: np.ndarray) -> np.ndarray:
         size = self.sizes[n]
-        if count:
-            np.add.at(self.uses, n, 1)
         shift = np.repeat(self.begin[n] - (np.cumsum(size) - size), size)
         return self.flat[shift + np.arange(len(shift))]
 
 
+class OddBlank(KeyError):
+    """A text has a blank before white space or at its end."""
+
+
 class _Parts(dict):
     """Numbers of parts of texts; a new part gets the next number."""
 
     def __init__(self, known: Iterable[str] = ()) -> None:
         super().__init__((part, k) for k, part in enumerate(known))
         self.fresh: list[str] = []
+        #: Characters of the parts that came since.
+        self.held = 0
 
     def __missing__(self, part: str) -> int:
+        if not part or part[0].isspace():
+            raise OddBlank(part)
         self[part] = number = len(self)
         self.fresh.append(part)
+        self.held += len(part)
         return number
 
 
@@ -165,8 +192,9 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = np.repeat(np.arange(len(found)), many)
                 start = (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)) * capacity
                 length = np.minimum(total[own] - start, capacity)
-                ended = [np.append(ids, END_ID).astype("<u4") for ids in found]
-                held = [ended[i][a : a + n].tobytes() for i, a, n in zip(own.tolist(), start.tolist(), length.tolist(), strict=True)]
+                end = END_ID.to_bytes(4, "little")
+                ended = [ids.astype("<u4").tobytes() + end for ids in found]
+                held = [ended[i][4 * a : 4 * (a + n)] for i, a, n in zip(own.tolist(), start.tolist(), length.tolist(), strict=True)]
                 columns = [part.column(0).take(pa.array(own)), *(pa.array(c) for c in (start, length, total[own])), pa.array(held, pa.binary()), pa.array([zlib.crc32(h) for h in held], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
