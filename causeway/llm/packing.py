@@ -39,7 +39,7 @@ SLICE_BYTES = 2 << 20
 #: New parts encoded as one text; what a tokenizer makes of a text is many times its size.
 LEARN_PARTS = 1 << 13
 #: Parts of texts whose ids a worker keeps, about.
-MOST_PARTS = 1 << 18
+MOST_PARTS = 1 << 19
 #: Characters of new parts after which a worker forgets, about.
 MOST_HELD = 16 << 20
 #: Longer parts aren't kept then.
@@ -72,16 +72,17 @@ class Encoder:
             self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             self.token_bytes[[*vocabulary.values()]] = [len(t) for t in vocabulary]
         self.parts = _Parts()
+        #: Characters of the parts that came since the last time some were forgotten.
+        self.held = 0
         self.sizes, self.begin, self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keeps the short parts met again since they came, half of MOST_PARTS at most."""
         names = [*self.parts]
-        short = np.fromiter((len(name) <= SHORT_PART for name in names), bool, len(names))
-        often = np.flatnonzero((self.uses > 1) & short)
+        often = np.array([k for k in np.flatnonzero(self.uses > 1).tolist() if len(names[k]) <= SHORT_PART], np.int64)
         often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: MOST_PARTS // 2]])
         ids = self.ids(often)
-        self.parts = _Parts(names[k] for k in often.tolist())
+        self.parts, self.held = _Parts(names[k] for k in often.tolist()), 0
         self.sizes, self.flat, self.uses = self.sizes[often], ids, np.ones(len(often), np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
 
@@ -91,11 +92,16 @@ class Encoder:
     def learn(self) -> None:
         """Encodes the new parts, each after a blank."""
         fresh, self.parts.fresh = self.parts.fresh, []
+        self.held += sum(map(len, fresh))
         sizes, flat = [self.sizes], [self.flat]
         for a in range(0, len(fresh), LEARN_PARTS):
             some = fresh[a : a + LEARN_PARTS]
-            flat.append(self.whole(" " + " ".join(some)))
-            ends = np.cumsum([len(part.encode()) + 1 for part in some])
+            joined = " " + " ".join(some)
+            flat.append(self.whole(joined))
+            data = np.frombuffer(joined.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
+            if len(ends) != len(some):  # odd parts have blanks of their own
+                ends = np.cumsum([len(part.encode()) + 1 for part in some])
             upto = np.searchsorted(np.cumsum(self.token_bytes[flat[-1]]), ends) + 1
             sizes.append(np.diff(upto, prepend=0))
         if fresh:
@@ -105,7 +111,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.parts) > MOST_PARTS or self.parts.held > MOST_HELD:
+        if len(self.parts) > MOST_PARTS or self.held > MOST_HELD:
             self.forget()
         found: list[np.ndarray | None] = []
         firsts: list[str] = []
@@ -152,15 +158,12 @@ class _Parts(dict):
     def __init__(self, known: Iterable[str] = ()) -> None:
         super().__init__((part, k) for k, part in enumerate(known))
         self.fresh: list[str] = []
-        #: Characters of the parts that came since.
-        self.held = 0
 
     def __missing__(self, part: str) -> int:
         if not part or part[0].isspace():
             raise OddBlank(part)
         self[part] = number = len(self)
         self.fresh.append(part)
-        self.held += len(part)
         return number
 
 
