@@ -11,6 +11,7 @@ columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import math
@@ -37,7 +38,7 @@ GROUP_ROWS = 4_000
 #: Text bytes encoded at once, so that little is held besides the batch.
 SLICE_BYTES = 2 << 20
 #: New parts encoded as one text; what a tokenizer makes of a text is many times its size.
-LEARN_PARTS = 1 << 13
+LEARN_PARTS = 1 << 10
 #: Parts of texts whose ids a worker keeps, about.
 MOST_PARTS = 1 << 19
 #: Characters of new parts after which a worker forgets, about.
@@ -86,6 +87,15 @@ class Encoder:
         self.sizes, self.flat, self.uses = self.sizes[often], ids, np.ones(len(often), np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
 
+    def rest(self) -> None:
+        """Ends a task: a worker lives on beside those of later stages, so it gives back what it can."""
+        if len(self.parts) > MOST_PARTS // 2 or self.held > MOST_HELD // 2:
+            self.forget()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
@@ -200,6 +210,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 held = [ended[i][4 * a : 4 * (a + n)] for i, a, n in zip(own.tolist(), start.tolist(), length.tolist(), strict=True)]
                 columns = [part.column(0).take(pa.array(own)), *(pa.array(c) for c in (start, length, total[own])), pa.array(held, pa.binary()), pa.array([zlib.crc32(h) for h in held], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encode.rest()
 
     return rows.mapInArrow(cut, schema)
 
