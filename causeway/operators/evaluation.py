@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,84 @@ def identical(a: DataFrame, b: DataFrame) -> DataFrame:
 def gate(rows: DataFrame, least_edge_f1: float = 0.85) -> DataFrame:
     """Whether all records pass: exact identity and cause fields and a high enough edge F1."""
     return rows.agg(F.bool_and(F.col("identity_ok") & F.col("cause_ok") & (F.col("edge_f1") >= least_edge_f1)).alias("passed"))
+
+
+# Phrases that frame an answer.
+OF_CORPUS = ("this corpus", "2020")
+OBSERVED = ("observed", "reportable", "frequenc", "not a certified", "not certified", "selection", "most-represented", "most represented")
+COUNTED = ("%", "percent", "event", "n=", "out of")
+NO_RATE = ("not a failure rate", "not a rate", "no exposure", "reactor-year", "reactor year", "cannot give a rate", "can't give a rate", "not a certified rate", "observed frequency", "isn't a rate", "is not a rate", "rather than a rate")
+
+
+def mentions(answer: Column, phrases: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return reduce(lambda a, b: a | b, (low.contains(p) for p in phrases))
+
+
+def framing(answer: Column) -> Column:
+    """(corpus, counts, declines): speaks of observations of this corpus, shows counts, declines to give a rate."""
+    return F.struct((mentions(answer, OF_CORPUS) & mentions(answer, OBSERVED)).alias("corpus"), mentions(answer, COUNTED).alias("counts"), mentions(answer, NO_RATE).alias("declines"))
+
+
+def retrieval_scores(rows: DataFrame) -> DataFrame:
+    """``rows`` (want_nodes, nodes, want_reports, reports) with recall of both and what is missing; no recall where nothing is wanted."""
+    missing = lambda want, got: F.array_sort(F.array_except(want, got))
+    return rows.withColumns({"node_recall": set_recall(F.col("want_nodes"), F.col("nodes")), "report_recall": set_recall(F.col("want_reports"), F.col("reports")), "missing_nodes": missing("want_nodes", "nodes"), "missing_reports": missing("want_reports", "reports")})
+
+
+def judged_by_kind(rows: DataFrame) -> DataFrame:
+    """``rows`` of outcomes with ``ok`` by the rule of their kind.
+
+    ``clarified`` tells a question back, with ``total`` candidates of which ``offered`` are shown, from an answer with ``reports`` and
+    ``nodes`` as evidence. ``ok_intents`` may be null; ``least`` is the least number of candidates or of reports, and may be null.
+    """
+    c = F.col
+    scored = retrieval_scores(rows)
+    routed = c("routed") == c("intent")
+    among = F.coalesce(F.array_contains("ok_intents", c("routed")), routed)
+    frame, empty = framing(c("answer")), (F.size("nodes") == 0) & (F.size("reports") == 0)
+    grounded = subset(c("cites"), c("reports"))
+    enough = lambda recall: recall.isNull() | (recall >= GOLDEN_RECALL)
+    shown = c("must_include").isNull() | F.array_contains("offered", c("must_include")) | (c("total") > F.size("offered"))
+    asked_back = F.when(c("kind") == "lookup", True).when(c("kind") == "clarify", routed & (c("total") >= F.coalesce("least", F.lit(2))) & shown).otherwise(False)
+    cited = (c("kind") != "showcase") | subset(c("want_reports"), c("cites"))
+    rules = {
+        "clarify": F.lit(False),
+        "intent": routed,
+        "negative": ~c("answerable") & (F.size("cites") == 0),
+        "payoff": routed & ~empty & c("answerable"),
+        "risk": ~empty & among & c("answerable") & frame["corpus"] & frame["counts"],
+        "honesty": routed & c("answerable") & frame["declines"] & frame["corpus"],
+        "lookup": F.when(c("answerable"), grounded).otherwise(F.size("cites") == 0),
+    }
+    broad = F.size(F.array_distinct("reports")) >= F.coalesce("least", F.lit(0))
+    general = routed & enough(c("node_recall")) & enough(c("report_recall")) & c("answerable") & grounded & broad & cited
+    answered = F.coalesce(*[F.when(c("kind") == kind, rule) for kind, rule in rules.items()], general)
+    return scored.withColumn("ok", F.when(c("clarified"), asked_back).otherwise(answered))
+
+
+def accuracy(rows: DataFrame, boundary: list, least: float) -> DataFrame:
+    """(n, accuracy, gated, boundary_n, boundary_accuracy) of ``rows`` (gold, pred, confidence); rows without a prediction don't count."""
+    right, hard = F.when(F.col("gold") == F.col("pred"), 1.0).otherwise(0.0), F.col("gold").isin(boundary)
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    return rows.where("pred IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy"), count(F.col("confidence") < least).alias("gated"), count(hard).alias("boundary_n"), F.avg(F.when(hard, right)).alias("boundary_accuracy"))
+
+
+def missed_nodes(gold: DataFrame, matched: DataFrame) -> DataFrame:
+    """Gold nodes (record, key, type, eiis_code, provisional) no extracted node matches, with ``excused`` and ``unresolved``.
+
+    A provisional corrective action is excused; a system or component that has a code is unresolved.
+    """
+    rest = gold.join(matched.select("record", "key").distinct(), ["record", "key"], "left_anti")
+    coded = F.col("type").isin("System", "Component") & (F.coalesce("eiis_code", F.lit("")) != "")
+    return rest.withColumns({"excused": (F.col("type") == "CorrectiveAction") & F.coalesce("provisional", F.lit(False)), "unresolved": coded})
+
+
+def node_scores(pred: DataFrame, gold: DataFrame, matched: DataFrame) -> DataFrame:
+    """(record, tp, pred, true, excused, p, r, f1) per record; excused nodes don't count as true."""
+    part = lambda rows, name: rows.groupBy("record").agg(F.count("*").alias(name))
+    excused = missed_nodes(gold, matched).where("excused")
+    sides = part(gold, "gold").join(part(pred, "pred"), "record", "full").join(part(matched, "tp"), "record", "left").join(part(excused, "excused"), "record", "left").na.fill(0)
+    counts = sides.withColumn("true", F.col("gold") - F.col("excused"))
+    p, r, f = prf(F.col("tp"), F.col("pred"), F.col("true"))
+    return counts.select("record", "tp", "pred", "true", "excused", p.alias("p"), r.alias("r"), f.alias("f1"))

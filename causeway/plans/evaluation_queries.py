@@ -121,6 +121,52 @@ def classifier_accuracy(spark, sf_dir):
     return _rule(spark, sf_dir).agg(F.count("*").alias("n"), right.alias("accuracy"), F.sum(F.when(F.col("unsure"), 1).otherwise(0)).alias("gated"))
 
 
+@query("boundary_accuracy", """WITH x AS (SELECT CAST(quality AS BIGINT) AS gold, CAST(n_chars >= 800 AS BIGINT) AS pred, least(n_chars / 1000.0, 1.0) AS confidence FROM labels LEFT JOIN documents USING (doc_id))
+SELECT count(*) AS n, coalesce(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 0.0) AS accuracy, count(*) FILTER (WHERE confidence < 0.5) AS gated, count(*) FILTER (WHERE gold = 1) AS boundary_n,
+avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) FILTER (WHERE gold = 1) AS boundary_accuracy FROM x WHERE pred IS NOT NULL""")
+def boundary_accuracy(spark, sf_dir):
+    docs, marks = proxy.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), proxy.table(spark, sf_dir, "labels")
+    rows = marks.join(docs, "doc_id", "left").select(F.col("quality").cast("bigint").alias("gold"), (F.col("n_chars") >= 800).cast("bigint").alias("pred"), F.least(F.col("n_chars") / 1000, F.lit(1.0)).alias("confidence"))
+    return evaluation.accuracy(rows, [1], 0.5)
+
+
+def _any(phrases):
+    return "(" + " OR ".join(f"contains(t, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases) + ")"
+
+
+@query("answer_framing", f"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, {_any(evaluation.OF_CORPUS)} AND {_any(evaluation.OBSERVED)} AS corpus, {_any(evaluation.COUNTED)} AS counts, {_any(evaluation.NO_RATE)} AS declines FROM a""")
+def answer_framing(spark, sf_dir):
+    return proxy.table(spark, sf_dir, "documents").select("doc_id", evaluation.framing(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+_ALIGNED = """WITH l AS (SELECT l_orderkey AS record, CAST(l_linenumber AS VARCHAR) AS key, min(l_returnflag) AS flag, min(l_linestatus) AS eiis_code, min(l_quantity) <= 20 AS hit FROM lineitem GROUP BY 1, 2),
+g AS (SELECT record, key, CASE WHEN flag = 'N' THEN 'CorrectiveAction' ELSE 'Component' END AS type, eiis_code, eiis_code = 'O' AS provisional, hit FROM l)"""
+
+
+def _aligned(spark, sf_dir):
+    li = proxy.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record"), F.col("l_linenumber").cast("string").alias("key"))
+    lines = li.agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("eiis_code"), (F.min("l_quantity") <= 20).alias("hit"))
+    kind = F.when(F.col("flag") == "N", "CorrectiveAction").otherwise("Component")
+    gold = lines.select("record", "key", kind.alias("type"), "eiis_code", (F.col("eiis_code") == "O").alias("provisional"), "hit")
+    return gold.drop("hit"), gold.where("hit").select("record", "key")
+
+
+@query("node_scores_excused", _ALIGNED + """, c AS (SELECT record, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE eiis_code = 'O' OR hit) AS pred, count(*) FILTER (WHERE NOT hit AND type = 'CorrectiveAction' AND provisional) AS excused, count(*) AS gold FROM g GROUP BY record),
+d AS (SELECT record, tp, pred, gold - excused AS "true", excused, CASE WHEN pred = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pred END AS p, CASE WHEN gold = excused THEN 0.0 ELSE CAST(tp AS DOUBLE) / (gold - excused) END AS r FROM c)
+SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM d""")
+def node_scores_excused(spark, sf_dir):
+    gold, matched = _aligned(spark, sf_dir)
+    extracted = gold.where("eiis_code = 'O'").select("record", "key").union(matched).distinct()
+    return evaluation.node_scores(extracted, gold, matched)
+
+
+@query("unresolved_coded", _ALIGNED + " SELECT record, key, eiis_code FROM g WHERE NOT hit AND type = 'Component' AND eiis_code <> ''")
+def unresolved_coded(spark, sf_dir):
+    gold, matched = _aligned(spark, sf_dir)
+    return evaluation.missed_nodes(gold, matched).where("unresolved").select("record", "key", "eiis_code")
+
+
 SPECS = [
     (1, "negative", False, [], [], [], False, 1.0), (2, "negative", True, ["a"], ["a"], [], False, 0.0), (3, "lookup-id", True, ["a"], ["a", "b"], ["a"], True, 1.0),
     (4, "lookup-id", True, ["c"], ["a"], ["c"], True, 0.0), (5, "lookup-content", True, ["a"], ["a"], ["z"], True, 1.0), (6, "multi-hop", True, ["a", "b"], ["a", "b"], ["b"], False, 1.0),
