@@ -23,6 +23,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, exclude_
 
     ``queries``: (vec_id, embedding); ``rows``: (vec_id, embedding, label).
     """
+    queries = queries.where("embedding IS NOT NULL")
     n, width = queries.count(), queries.select(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
     blocks = max(1, -(-n * width // BLOCK_NUMBERS))
     out = None
@@ -71,6 +72,22 @@ def surfaced(hits: DataFrame, threshold: float) -> DataFrame:
     return hits.withColumn("_first", first).where(F.col("_first") >= threshold).drop("_first")
 
 
+def retrieve(queries: DataFrame, rows: DataFrame, k: int, threshold: float, exclude_self: bool = False) -> DataFrame:
+    """(query_id, top_score, empty, documents) for each query: its documents (doc, best, vec_ids) in the order of their first hits.
+
+    A query whose first score is below the threshold, or that has no hits, is refused: ``empty``, without documents.
+    """
+    hits = top_k(queries, rows, k, exclude_self=exclude_self)
+    first = hits.where("rank = 1").select("query_id", F.col("score").alias("top_score"))
+    parts = hits.groupBy("query_id", F.col("label").alias("doc")).agg(F.min("rank").alias("first"), F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("own"))  # at most k
+    each = F.struct("first", "doc", "best", F.col("own.vec_id").alias("vec_ids"))
+    found = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(each)).alias("found"))
+    every = queries.select(F.col("vec_id").alias("query_id")).join(first, "query_id", "left").join(found, "query_id", "left")
+    empty = F.coalesce(F.col("top_score") < threshold, F.lit(True))
+    documents = F.transform("found", lambda d: F.struct(d["doc"].alias("doc"), d["best"].alias("best"), d["vec_ids"].alias("vec_ids")))
+    return every.select("query_id", "top_score", empty.alias("empty"), F.when(~empty, documents).otherwise(F.array()).alias("documents"))
+
+
 def recall_at(hits: DataFrame, truth: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """(query_id, k, recall): share of a query's true rows among its first k; null where it has none.
 

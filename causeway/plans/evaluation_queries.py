@@ -46,6 +46,22 @@ def vector_recall_at_k(spark, sf_dir):
     return vectors.recall_at(_hits(spark, sf_dir, max(KS)), truth, KS)
 
 
+@query("vector_retrieve", _SCORED + ", d AS (SELECT query_id, label, min(rank) AS first, max(score) AS best FROM r WHERE rank <= 10 GROUP BY ALL) SELECT query_id, max(best) AS top_score, max(best) < 0.5 AS empty, CASE WHEN max(best) < 0.5 THEN 0 ELSE count(*) END AS n_docs, CASE WHEN max(best) >= 0.5 THEN string_agg(CAST(label AS VARCHAR), ',' ORDER BY first) ELSE '' END AS docs FROM d GROUP BY query_id")
+def vector_retrieve(spark, sf_dir):
+    ship(spark)
+    rows = proxy.table(spark, sf_dir, "embeddings")
+    got = vectors.retrieve(rows.where(F.col("vec_id") % EVERY == 0), rows, 10, 0.5, exclude_self=True)
+    return got.select("query_id", "top_score", "empty", F.size("documents").cast("bigint").alias("n_docs"), F.array_join(F.transform("documents", lambda d: d["doc"].cast("string")), ",").alias("docs"))
+
+
+@query("latest_filings", """WITH s AS (SELECT o_orderkey AS pos, CAST(o_custkey AS VARCHAR) AS report, CAST(o_orderkey % 997 AS VARCHAR) AS accession, o_orderkey % 5 AS revision FROM orders),
+n AS (SELECT *, min(pos) OVER (PARTITION BY report) AS f, row_number() OVER (PARTITION BY report ORDER BY revision DESC, pos) AS k FROM s), a AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY f) AS j FROM n WHERE k = 1)
+SELECT pos, report, accession, revision FROM a WHERE j = 1""")
+def latest_filings(spark, sf_dir):
+    o = proxy.table(spark, sf_dir, "orders")
+    return records.latest_filings(o.select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("report"), (F.col("o_orderkey") % 997).cast("string").alias("accession"), (F.col("o_orderkey") % 5).alias("revision")))
+
+
 @query("vector_refusal_curve", _SCORED + f", f AS (SELECT own % 2 = 1 AS negative, score FROM r WHERE rank = 1), t(threshold) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in THRESHOLDS)}) SELECT threshold, avg(CASE WHEN score < threshold THEN 1.0 ELSE 0.0 END) FILTER (WHERE negative) AS neg_refused, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT negative) AS pos_retained FROM f, t GROUP BY threshold")
 def vector_refusal_curve(spark, sf_dir):
     own = proxy.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2 == 1).alias("negative"))

@@ -131,6 +131,25 @@ def latest(rows: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def latest_filings(rows: DataFrame) -> DataFrame:
+    """Rows (pos, report, accession, revision) with one for each report and then one for each accession.
+
+    Of a report's rows the highest revision counts, the first of equal ones; an accession that several reports share stays with the
+    report that comes first. Rows without a report or an accession go.
+    """
+    named = rows.where("trim(report) <> '' AND trim(accession) <> ''").withColumn("_first", F.min("pos").over(Window.partitionBy("report")))
+    newest = latest(named, ["report"], F.desc("revision"), F.col("pos"))
+    return latest(newest, ["accession"], F.col("_first")).drop("_first")
+
+
+def read_sheet_dates(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, event_date) of a listing with dates as m/d/y; the last readable date of an accession counts."""
+    rows = spark.read.option("header", True).csv(path).withColumn("pos", F.monotonically_increasing_id())
+    date = text.slash_date(F.regexp_extract(F.trim("event_date"), r"^(\d{1,2}/\d{1,2}/\d{2,4})", 1))
+    dated = rows.select("accession", date.alias("event_date"), "pos").where("accession <> '' AND event_date IS NOT NULL")
+    return dated.groupBy("accession").agg(F.max_by("event_date", "pos").alias("event_date"))
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
     """Union in which new rows replace existing ones of their key; of several new rows of a key the first by ``order`` counts."""
     one = latest(new, keys, *(order or [F.xxhash64(*new.columns)]))
