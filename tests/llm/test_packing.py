@@ -112,3 +112,16 @@ def test_patterns_cover_the_histogram(histogram):
 @pytest.mark.parametrize("histogram, packs", [({64: 3}, 3), ({20: 7}, 3), ({40: 2, 24: 2}, 2), ({40: 1, 10: 2}, 1)])
 def test_pack_counts(histogram, packs):
     assert sum(n for _, n in packing.shortest_pack_first(histogram, 64)) == packs
+
+
+def test_parts_forgotten_between_texts_change_no_ids(monkeypatch):
+    from causeway.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_PARTS", 8)
+    monkeypatch.setattr(packing, "MOST_HELD", 200)
+    encode = packing.Encoder(packing.default_tokenizer())
+    texts = ["a b c d e f g h i j", "a  b", "x \n y", " a", "a ", "", "é " * 5 + "z" * 300, "b c d", "y " + "z" * 300, "q \x1c r", "k l m n o p"] * 2
+    for text in texts:
+        assert encode([text])[0].tolist() == encode.whole(text).tolist()
+        encode.rest()
+        assert len(encode.parts) <= 8
