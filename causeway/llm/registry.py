@@ -1,4 +1,4 @@
-"""Queries of the ten operators, with SQL where SQL can express them."""
+"""Queries of the operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, language, lbl, near_dedup, packing, passages, secret_scan, simhash, toxicity
+from causeway.llm import archive, decontaminate, fill_middle, language, lbl, near_dedup, packing, passages, secret_scan, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_simhash": simhash.op10_simhash,
+        "op11_fill_middle": fill_middle.op11_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_warc": archive.ORACLE, "op7_secrets": secret_scan.ORACLE}
+    return {
+        "op2_decontamination": decontaminate.ORACLE,
+        "op4_near_dedup": near_dedup.ORACLE,
+        "op5_warc": archive.ORACLE,
+        "op7_secrets": secret_scan.ORACLE,
+        "op11_fill_middle": fill_middle.ORACLE,
+    }
