@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import archive, decontaminate, fill_middle, language, lbl, near_dedup, packing, passages, secret_scan, simhash, spelling, toxicity
+from causeway.llm import archive, chat, decontaminate, fill_middle, language, lbl, near_dedup, packing, passages, secret_scan, simhash, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_simhash": simhash.op10_simhash,
         "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_chat_format": chat.op12_chat_format,
         "op13_spelling": spelling.op13_spelling,
     }
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": archive.ORACLE,
         "op7_secrets": secret_scan.ORACLE,
         "op11_fill_middle": fill_middle.ORACLE,
+        "op12_chat_format": chat.ORACLE,
         "op13_spelling": spelling.ORACLE,
     }
