@@ -45,9 +45,29 @@ def entity_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, size) of the graph without citations."""
+    """(component, size) of the graph without citations; a node without edges is a component by itself."""
     kept = nodes.where("type <> 'RegulatoryReference'").select("gkey")
     inner = edges.join(kept.select(F.col("gkey").alias("src")), "src", "left_semi").join(kept.select(F.col("gkey").alias("dst")), "dst", "left_semi")
     found = graph.labels(inner.select("src", "dst"))
     named = kept.join(found, kept.gkey == found.node, "left").select(F.coalesce("component", "gkey").alias("component"))
     return named.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def spines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ler_number, component, size, n_components, spine) of each report by itself, stub reports and citations left out.
+
+    ``nodes``: (ler_number, gkey, type, stub) of each report; ``edges``: (ler_number, src, dst). The spine is the largest component,
+    the one with the least node among equal ones; a report with others beside it is split.
+    """
+    own = lambda c: F.struct("ler_number", F.col(c).alias("node"))
+    kept = nodes.where((F.col("type") != "RegulatoryReference") & ~F.coalesce("stub", F.lit(False))).select("ler_number", own("gkey").alias("at")).distinct()
+    pairs = edges.select(own("src").alias("src"), own("dst").alias("dst"))
+    for end in ("src", "dst"):
+        pairs = pairs.join(kept.select(F.col("at").alias(end)), end, "left_semi")
+    # documents and nodes are named by one text each; the length before it keeps names apart
+    name = lambda c: F.concat(F.length(F.col(f"{c}.ler_number").cast("string")).cast("string"), F.lit("|"), F.col(f"{c}.ler_number").cast("string"), F.lit("|"), F.col(f"{c}.node").cast("string"))
+    found = graph.labels(pairs.select(name("src").alias("src"), name("dst").alias("dst")))
+    placed = kept.withColumn("node", name("at")).join(found, "node", "left").select("ler_number", F.coalesce("component", "node").alias("component"), F.col("at.node").alias("gkey"))
+    sizes = placed.groupBy("ler_number", "component").agg(F.count("*").alias("size"), F.min("gkey").alias("first"))
+    whole = sizes.groupBy("ler_number").agg(F.count("*").alias("n_components"), F.min(F.struct((-F.col("size")).alias("less"), "first")).alias("best"))
+    return sizes.join(whole, "ler_number").select("ler_number", F.col("first").alias("component"), "size", "n_components", (F.col("first") == F.col("best.first")).alias("spine"))

@@ -5,13 +5,14 @@ Edges carry their document; a path never leaves it, because the document is part
 
 from __future__ import annotations
 
-import uuid
+import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PATH_LIMIT = 100
+from causeway.operators.components import components
+from causeway.operators.storage import materialize, new_path, stored
 
 
 def merge_nodes(nodes: DataFrame, key: str = "gkey", seq: str = "seq", stub: str = "stub") -> DataFrame:
@@ -44,31 +45,50 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionAll(swapped)
 
 
-def _recursive(spark: SparkSession, tables: dict[str, DataFrame], body: str) -> DataFrame:
-    names = {k: f"{k}_{uuid.uuid4().hex}" for k in tables}
-    for k, df in tables.items():
-        df.createOrReplaceTempView(names[k])
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(body.format(**names))
+def within(rows: DataFrame, documents: DataFrame | str | None) -> DataFrame:
+    """``rows`` (doc, ...) of one document, of those of a table (doc), or all."""
+    if documents is None:
+        return rows
+    return rows.join(documents.select("doc").distinct(), "doc", "left_semi") if isinstance(documents, DataFrame) else rows.where(F.col("doc") == documents)
 
 
-def chains(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+def chains(edges: DataFrame, starts: DataFrame, documents: DataFrame | str | None = None) -> DataFrame:
     """(doc, origin, node, path, hops) for every node reached from a start along edges of its own document, no node twice.
 
-    ``edges``: (doc, src, dst); ``starts``: (doc, node). Hops run from 0.
+    ``edges``: (doc, src, dst); ``starts``: (doc, node); hops run from 0. Only what is of ``documents`` is read. Each round takes the
+    paths of the round before one step on and writes them, so a path may have any length and lost executors repeat one step.
     """
-    return _recursive(spark, {"edges": edges, "starts": starts}, f"""
-        WITH RECURSIVE reach(doc, origin, node, path, hops) MAX RECURSION LEVEL {PATH_LIMIT} AS (
-          SELECT doc, node, node, array(node), 0 FROM {{starts}}
-          UNION ALL
-          SELECT r.doc, r.origin, e.dst, array_append(r.path, e.dst), r.hops + 1 FROM reach r JOIN {{edges}} e ON e.doc = r.doc AND e.src = r.node
-          WHERE NOT array_contains(r.path, e.dst))
-        SELECT * FROM reach""")
-
-
-def free_chains(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    steps = materialize(within(edges.select("doc", "src", "dst"), documents), "steps")
+    first = within(starts.select("doc", "node"), documents)
+    level = first.select("doc", F.col("node").alias("origin"), "node", F.array("node").alias("path"), F.lit(0).alias("hops"))
+    base = new_path(spark, "paths")
+    for hop in itertools.count():
+        reached = stored(level, f"{base}/{hop}")
+        if reached.isEmpty():
+            return spark.read.schema(level.schema).option("recursiveFileLookup", True).parquet(base)
+        ahead = reached.join(steps.withColumnRenamed("doc", "own"), (F.col("doc") == F.col("own")) & (F.col("node") == F.col("src"))).where(~F.array_contains("path", F.col("dst")))
+        level = ahead.select("doc", "origin", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("hops") + 1).alias("hops"))
+
+
+def reached(edges: DataFrame, starts: DataFrame, documents: DataFrame | str | None = None) -> DataFrame:
+    """(doc, node): the distinct nodes of ``chains``, whose paths are never made: each round goes on from new nodes only."""
+    spark = edges.sparkSession
+    steps = materialize(within(edges.select("doc", "src", "dst"), documents), "steps")
+    new = within(starts.select("doc", "node"), documents).distinct()
+    base = new_path(spark, "reached")
+    for hop in itertools.count():
+        last = stored(new, f"{base}/{hop}")
+        seen = spark.read.schema(new.schema).option("recursiveFileLookup", True).parquet(base)
+        if last.isEmpty():
+            return seen
+        ahead = last.join(steps.withColumnRenamed("doc", "own"), (F.col("doc") == F.col("own")) & (F.col("node") == F.col("src"))).select("doc", F.col("dst").alias("node"))
+        new = ahead.distinct().join(seen, ["doc", "node"], "left_anti")
+
+
+def free_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """The same without the document in the join: for contrast only, since it runs through shared hubs."""
-    return chains(spark, edges.select(F.lit(0).alias("doc"), "src", "dst").distinct(), starts.select(F.lit(0).alias("doc"), "node").distinct())
+    return chains(edges.select(F.lit(0).alias("doc"), "src", "dst").distinct(), starts.select(F.lit(0).alias("doc"), "node").distinct())
 
 
 def longest(paths: DataFrame, *keys: str) -> DataFrame:
@@ -103,22 +123,8 @@ def shared_hubs(edges: DataFrame) -> DataFrame:
 
 
 def labels(edges: DataFrame) -> DataFrame:
-    """(node, component): least node reachable, by taking minima over neighbours and shortcuts; state is checkpointed each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-"))
-    both = symmetric(edges.select("src", "dst")).distinct()
-    state = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    while True:
-        near = both.join(state, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
-        moved = state.join(near, F.col("node") == F.col("src")).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        jump = moved.select(F.col("node").alias("j"), F.col("component").alias("up"))
-        stepped = moved.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "old").checkpoint()
-        state = stepped.select("node", "component")
-        if stepped.where("component <> old").isEmpty():
-            return state
+    """(node, component): the least node that can be reached, edges taken in both directions."""
+    return components(edges, "src", "dst").withColumnRenamed("root", "component")
 
 
 def unreached(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -98,14 +98,22 @@ class Engine:
         rows = self._linked("Consequence")
         return rows.select("event_key", "gkey", "display_name", "duration", outcome.alias("outcome"), (F.coalesce(confidence, F.lit(0.0)) >= 0.60).alias("sure"))
 
-    def chains(self, any_origin: bool = False) -> DataFrame:
-        """(doc, origin, node, path, hops) from failure modes (or any node) with a cause of their own report along its LEADS_TO edges."""
-        pinned = self.edges.where("rel = 'CAUSED_BY'").join(self.edges.where("rel = 'HAS_CAUSE'").select("ler_number", "dst"), ["ler_number", "dst"], "left_semi")
+    def _steps(self, any_origin: bool) -> tuple[DataFrame, DataFrame]:
+        """LEADS_TO edges and the failure modes (or any nodes) with a cause of their own report, both by document."""
+        bridges = self.edges.where("rel = 'HAS_CAUSE'").select("ler_number", "dst")
+        pinned = self.edges.where("rel = 'CAUSED_BY'").join(bridges, ["ler_number", "dst"], "left_semi")
         starts = pinned.select(F.col("ler_number").alias("doc"), F.col("src").alias("node")).distinct()
         if not any_origin:
             starts = starts.join(self.nodes.where("type = 'FailureMode'").select(F.col("gkey").alias("node")), "node", "left_semi").select("doc", "node")
-        steps = self.edges.where("rel = 'LEADS_TO'").select(F.col("ler_number").alias("doc"), "src", "dst")
-        return graph.chains(self.spark, steps, starts)
+        return self.edges.where("rel = 'LEADS_TO'").select(F.col("ler_number").alias("doc"), "src", "dst"), starts
+
+    def chains(self, any_origin: bool = False, documents: DataFrame | str | None = None) -> DataFrame:
+        """(doc, origin, node, path, hops) along the steps of each report, or of ``documents`` alone."""
+        return graph.chains(*self._steps(any_origin), documents)
+
+    def reached(self, any_origin: bool = False, documents: DataFrame | str | None = None) -> DataFrame:
+        """(doc, node): the nodes of ``chains`` without their paths."""
+        return graph.reached(*self._steps(any_origin), documents)
 
     def _is_system(self, code: str) -> Column:
         if code.upper() == UNCODED_SYSTEM[0]:
@@ -150,9 +158,12 @@ class Engine:
         if total > 1:
             shown = found.orderBy(F.desc_nulls_first("event_date"), "event_key").limit(CANDIDATE_CAP)
             return Clarification("failure_chain", anchors, shown, total)
+        if total == 0:
+            return None
+        report = found.select("event_key").first()["event_key"]
         ends = self.nodes.where("type = 'Consequence'").select(F.col("gkey").alias("node"))
-        paths = self.chains().join(found.select(F.col("event_key").alias("doc")), "doc", "left_semi").join(ends, "node", "left_semi")
-        backups = self.edges.where("rel = 'BACKED_UP_BY'").groupBy(F.col("ler_number").alias("doc"), F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("backups"))
+        paths = self.chains(documents=report).join(ends, "node", "left_semi")
+        backups = self.edges.where((F.col("rel") == "BACKED_UP_BY") & (F.col("ler_number") == report)).groupBy(F.col("ler_number").alias("doc"), F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("backups"))
         return paths.join(backups, ["doc", "node"], "left").select("doc", "origin", F.col("node").alias("target"), "path", "hops", "backups")
 
     def _ask_system_components(self, anchors: dict):
@@ -163,14 +174,14 @@ class Engine:
     def _ask_system_failure_modes(self, anchors: dict):
         inside = self.systems().where(self._is_system(anchors.get("system_code") or "")).select(F.col("event_key").alias("doc"))
         modes = self.nodes.where("type = 'FailureMode'").select(F.col("gkey").alias("node"), "match_key", "display_name")
-        reached = self.chains().join(inside, "doc", "left_semi").join(modes, "node")
+        reached = self.reached(documents=inside).join(modes, "node")
         return reached.groupBy("match_key", F.col("display_name").alias("name")).agg(F.sort_array(F.collect_set("doc")).alias("lers"), F.countDistinct("doc").alias("n"))
 
     def _ask_mitigating_backups(self, anchors: dict):
         system = self.nodes.where("type = 'System'").select(F.col("gkey").alias("dst"), F.col("display_name").alias("backup"))
         spare = self.edges.where("rel = 'BACKED_UP_BY'").join(system, "dst").select(F.col("ler_number").alias("doc"), F.col("src").alias("node"), "backup")
         ends = self.nodes.where("type = 'Consequence'").select(F.col("gkey").alias("node"), F.col("display_name").alias("consequence"))
-        rows = self.chains(any_origin=True).select("doc", "node").distinct().join(ends, "node").join(spare, ["doc", "node"])
+        rows = self.reached(any_origin=True).join(ends, "node").join(spare, ["doc", "node"])
         return rows.groupBy(F.col("doc").alias("event_key"), "consequence").agg(F.sort_array(F.collect_set("backup")).alias("backups"))
 
     def _ask_cause_distribution(self, anchors: dict):

@@ -58,8 +58,9 @@ def materialized(counts: DataFrame, version: str, as_of: str, *keys: str) -> Dat
     classed = F.col("outcome").isNotNull()
     pairs = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(classed, F.struct("outcome", "n")))).alias("counts"))  # eight classes at most
     both = stats(counts, *keys).join(pairs, list(keys))
+    ordered = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))  # noqa: E731  equal statistics are equal texts
     shares = F.transform_values("counts", lambda _, n: F.round(n / F.col("n_classified"), 4))
-    return both.select(*keys, "n_events", "n_classified", F.round("expected_severity", 4).alias("expected_severity"), F.col("mass").alias("contribution"), "small_sample", F.to_json("counts").alias("counts_json"), F.to_json(shares).alias("dist_json"), F.lit(version).alias("version"), F.lit(as_of).alias("materialized_at"))
+    return both.select(*keys, "n_events", "n_classified", F.round("expected_severity", 4).alias("expected_severity"), F.col("mass").alias("contribution"), "small_sample", F.to_json(ordered("counts")).alias("counts_json"), F.to_json(ordered(shares)).alias("dist_json"), F.lit(version).alias("version"), F.lit(as_of).alias("materialized_at"))
 
 
 def read_stats(table: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 An order is a report, its brands are systems, its parts components, its priority the cause. A failure mode, named by the order's
 least return flag, is caused by the cause and leads through the order's lines, one consequence for each line number, each
-backed up by the nations of its lines' suppliers. A consequence is called by its outcome and confidence.
+backed up by the nations of its lines' suppliers. A consequence is called by its outcome and confidence. A report is similar to a
+stub report, one for each customer, and was reported under the states of its lines, which are citations.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from causeway.operators import retrieval, risk, subgraphs
+from causeway.operators import assemble, retrieval, risk, subgraphs
 from causeway.operators.retrieval import Engine, QuerySpec
+from causeway.operators.storage import new_path
 from causeway.plans import proxy
 from causeway.plans.registry import query
+from causeway.sources import graph_store
 
 _STRING = "CAST(NULL AS string)"
 
@@ -24,7 +27,26 @@ def _lines(spark, sf_dir):
     return con.groupBy("k", "n").agg(F.min("name").alias("name"))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def engine(spark, sf_dir) -> Engine:
+    """The engine over the stored graph of the tables, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        made, path = built(spark, sf_dir), new_path(spark, "graph")
+        graph_store.write_graph(made.nodes, made.edges, path)
+        made.reports.write.option("compression", "zstd").parquet(f"{path}/reports")
+        _stored[key] = path
+    nodes, edges = graph_store.read_graph(spark, _stored[key])
+    return Engine(spark, spark.read.parquet(f"{_stored[key]}/reports"), nodes, edges, classify=_named)
+
+
+def _named(name):
+    return F.substring_index(name, "|", 1), F.substring_index(name, "|", -1).cast("double") / 100
+
+
+def built(spark, sf_dir) -> Engine:
     ev = proxy.events(spark, sf_dir).withColumn("k", F.col("event_key").cast("string"))
     power = proxy.power(spark, sf_dir)
     identity = F.struct("event_date", F.col("plant").alias("plant_name"), F.col("power_level").cast("int").alias("power_level"))
@@ -32,6 +54,8 @@ def engine(spark, sf_dir) -> Engine:
     li, part, supplier, nation = (proxy.table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier", "nation"))
     flags = li.groupBy(F.col("l_orderkey").cast("string").alias("k")).agg(F.min("l_returnflag").alias("flag"))
     con = _lines(spark, sf_dir)
+    held = proxy.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("c"))
+    modes = li.select(F.col("l_orderkey").cast("string").alias("k"), F.col("l_linestatus").alias("m"))
     gkey = lambda kind, *cols: F.concat(F.lit(f"{kind}:"), *[c for x in cols for c in (F.lit("-"), F.col(x).cast("string"))][1:])
     provisional = F.col("category") == proxy.PROVISIONAL
     cause = F.when(provisional, F.concat(F.lit("Cause:provisional:"), "k")).otherwise(F.concat(F.lit("Cause:"), "category"))
@@ -51,6 +75,8 @@ def engine(spark, sf_dir) -> Engine:
         nodes_of(flags, "FailureMode", F.concat(mode, F.lit(":"), "k"), match_key=mode, display_name=F.concat(F.lit("mode "), "flag")),
         nodes_of(con, "Consequence", gkey("Consequence", "k", "n"), display_name=F.col("name")),
         nodes_of(nation, "System", gkey("System", "n_name"), display_name=F.col("n_name")),
+        nodes_of(held.select("c").distinct(), "LER", gkey("LER", "c"), key=F.col("c"), stub=F.lit(True)),
+        nodes_of(modes.select("m").distinct(), "RegulatoryReference", gkey("RegulatoryReference", "m"), display_name=F.col("m")),
     ]
     edge = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), F.col("k").alias("ler_number")).distinct()
     lines = li.select(F.col("l_orderkey").cast("string").alias("k"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey")
@@ -64,10 +90,10 @@ def engine(spark, sf_dir) -> Engine:
         edge(made, report, "INVOLVES", gkey("System", "p_brand")), edge(lines, report, "INVOLVES", gkey("Component", "l_partkey")), edge(ev, report, "HAS_CAUSE", cause),
         edge(flags.join(ev.select("k", "category"), "k"), fm, "CAUSED_BY", cause), edge(steps.where("place = 1"), fm, "LEADS_TO", gkey("Consequence", "k", "n")),
         edge(steps.where("next IS NOT NULL"), gkey("Consequence", "k", "n"), "LEADS_TO", gkey("Consequence", "k", "next")), edge(backup, gkey("Consequence", "k", "n"), "BACKED_UP_BY", gkey("System", "n_name")),
+        edge(held, report, "SIMILAR_TO", gkey("LER", "c")), edge(modes, report, "REPORTED_UNDER", gkey("RegulatoryReference", "m")),
     ]
     whole = lambda parts: parts[0] if len(parts) == 1 else whole(parts[:-2] + [parts[-2].unionAll(parts[-1])])
-    named = lambda name: (F.substring_index(name, "|", 1), F.substring_index(name, "|", -1).cast("double") / 100)
-    return Engine(spark, reports, whole(nodes), whole(edges), classify=named)
+    return Engine(spark, reports, whole(nodes), whole(edges), classify=_named)
 
 
 #: The graph's parts in SQL, by the same rules.
@@ -196,6 +222,58 @@ def materialized_risk(spark, sf_dir):
     return read.select("entity", "n_events", "n_classified", F.col("contribution"), "expected_severity", F.when(F.size("counts") > 0, text).alias("counts"))
 
 
+_HUBS = """, oc AS (SELECT entity, worst, count(*) AS n FROM (SELECT 'System:' || system AS entity, event_key FROM sys UNION ALL SELECT 'Component:' || c, event_key FROM (SELECT DISTINCT l_partkey AS c, l_orderkey AS event_key FROM lineitem)
+ UNION ALL SELECT 'Cause:' || category, event_key FROM cau WHERE category <> 'NOT SPECIFIED') LEFT JOIN w USING (event_key) GROUP BY ALL),
+st AS (SELECT entity, CAST(sum(n) AS BIGINT) AS n_events, CAST(coalesce(sum(n) FILTER (worst IS NOT NULL), 0) AS BIGINT) AS nc, CAST(coalesce(sum(n * severity) FILTER (worst IS NOT NULL), 0) AS BIGINT) AS mass FROM oc LEFT JOIN tax ON worst = outcome GROUP BY entity)
+SELECT entity AS gkey, n_events, mass AS contribution, 'v2' AS version, '{' || coalesce((SELECT string_agg('"' || worst || '":' || round(CAST(n AS DOUBLE) / nc, 4), ',' ORDER BY worst) FROM oc WHERE oc.entity = st.entity AND worst IS NOT NULL), '') || '}' AS said FROM st
+UNION ALL SELECT 'Consequence:' || k || '-' || n, NULL, NULL, 'c1', split_part(name, '|', 1) || '@' || round(CAST(split_part(name, '|', 2) AS DOUBLE) / 100, 4) FROM lc"""
+
+
+@query("stamped_graph", SQL + _HUBS)
+def stamped_graph(spark, sf_dir):
+    """A graph of its own is written, hubs and consequences are stamped in it, twice, and it is read again."""
+    e, path = engine(spark, sf_dir), new_path(spark, "graph")
+    graph_store.write_graph(e.nodes, e.edges, path)
+    for version in ("v1", "v2"):
+        stats = e.materialize_risk(version, "2026-01-01T00:00:00+00:00").withColumnRenamed("entity", "gkey").drop("entity_type")
+        graph_store.stamp(spark, path, stats, "System", "Component", "Cause")
+    outcome, confidence = _named(F.col("display_name"))
+    classes = e.nodes.where("type = 'Consequence'").select("gkey", outcome.alias("outcome_class"), confidence.alias("classifier_confidence"), F.lit("c1").alias("classifier_version"))
+    graph_store.stamp(spark, path, classes, "Consequence")
+    nodes = graph_store.read_graph(spark, path)[0].where("n_events IS NOT NULL OR outcome_class IS NOT NULL")
+    said = F.coalesce("dist_json", F.concat("outcome_class", F.lit("@"), F.round("classifier_confidence", 4).cast("string")))
+    return nodes.select("gkey", "n_events", "contribution", F.coalesce("version", "classifier_version").alias("version"), said.alias("said"))
+
+
+_EDGES = """, ce AS (SELECT event_key AS k, CASE WHEN category = 'NOT SPECIFIED' THEN 'Cause:provisional:' || event_key ELSE 'Cause:' || category END AS cause FROM cau),
+fm AS (SELECT k, 'FailureMode:' || lower(replace(mode, ' ', '-')) || ':' || k AS fm FROM fl), pl AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY n) AS place FROM lc),
+g AS (SELECT event_key AS k, 'LER:' || event_key AS a, 'System:' || system AS b FROM sys UNION SELECT l_orderkey, 'LER:' || l_orderkey, 'Component:' || l_partkey FROM lineitem
+ UNION SELECT k, fm, cause FROM fm JOIN ce USING (k) UNION SELECT k, fm, 'Consequence:' || k || '-' || n FROM fm JOIN pl USING (k) WHERE place = 1
+ UNION SELECT x.k, 'Consequence:' || x.k || '-' || x.n, 'Consequence:' || y.k || '-' || y.n FROM pl x JOIN pl y ON x.k = y.k AND y.place = x.place + 1
+ UNION SELECT k, 'Consequence:' || k || '-' || n, 'System:' || backup FROM bk),
+h AS (SELECT k, 'LER:' || k AS a, cause AS b FROM ce)"""
+
+
+@query("connected_components", SQL + _EDGES + """, p AS (SELECT a, b FROM g UNION SELECT a, b FROM h UNION SELECT 'LER:' || o_orderkey, 'LER:C' || o_custkey FROM orders), s AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+c(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, min(c.root) FROM c JOIN s ON s.a = c.node JOIN recurring.c u ON u.node = s.b WHERE c.root < u.root GROUP BY s.b),
+alone AS (SELECT 'System:' || p_brand AS node FROM part UNION SELECT 'Component:' || p_partkey FROM part UNION SELECT 'System:' || n_name FROM nation)
+SELECT root AS component, count(*) AS size FROM (SELECT node, root FROM c UNION ALL SELECT node, node FROM alone WHERE node NOT IN (SELECT node FROM c)) GROUP BY root""")
+def connected_components(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return assemble.connectivity(e.nodes, e.edges)
+
+
+@query("report_connectivity", SQL + _EDGES + """, u AS (SELECT k, 'LER:' || k AS node FROM ce UNION SELECT k, a FROM g WHERE a LIKE 'LER%' UNION SELECT k, b FROM g WHERE a LIKE 'LER%'),
+v AS (SELECT k, cause AS node FROM ce UNION SELECT k, a FROM g WHERE a NOT LIKE 'LER%' UNION SELECT k, b FROM g WHERE a NOT LIKE 'LER%'),
+z AS (SELECT k, min(node) AS component, count(*) AS size FROM u GROUP BY k UNION ALL SELECT k, min(node), count(*) FROM v GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS ler_number, component, size, CAST(2 AS BIGINT) AS n_components, row_number() OVER (PARTITION BY k ORDER BY size DESC, component) = 1 AS spine FROM z""")
+def report_connectivity(spark, sf_dir):
+    """Reports as they hang together without the bridges to their causes: what they involve, and what happened."""
+    e = engine(spark, sf_dir)
+    ends = e.edges.select("ler_number", F.col("src").alias("gkey")).unionAll(e.edges.select("ler_number", "dst")).distinct()
+    return assemble.spines(ends.join(e.nodes.select("gkey", "type", "stub"), "gkey"), e.edges.where("rel <> 'HAS_CAUSE'"))
+
+
 @query("event_subgraph", SQL + _CHAIN + """, o AS (SELECT min(k) AS k FROM lc WHERE n = 5), f AS (SELECT k, 'FailureMode:' || lower(replace(mode, ' ', '-')) AS fm FROM fl)
 SELECT 'LER:' || k AS src, 'HAS_CAUSE' AS rel, CASE WHEN category = 'NOT SPECIFIED' THEN 'Cause:provisional:' || k ELSE 'Cause:' || category END AS dst FROM o JOIN cau ON k = event_key
 UNION SELECT fm, 'CAUSED_BY', CASE WHEN category = 'NOT SPECIFIED' THEN 'Cause:provisional:' || k ELSE 'Cause:' || category END FROM o JOIN f USING (k) JOIN cau ON k = event_key

@@ -96,7 +96,7 @@ def _chain_paths(spark, sf_dir):
     c, edges = _turns(spark, sf_dir)
     starts = c.where("role = 'user'").select(F.col("conv_id").alias("doc"), F.col("turn").alias("node"))
     ends = c.where("role = 'assistant'").select(F.col("conv_id").alias("doc"), F.col("turn").alias("node"))
-    found = graph.chains(spark, edges, starts).join(ends, ["doc", "node"])
+    found = graph.chains(edges, starts).join(ends, ["doc", "node"])
     joined = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
     return found.select("doc", "origin", F.col("node").alias("target"), joined.alias("path"), F.col("hops").cast("bigint").alias("hops"))
 
@@ -119,7 +119,7 @@ def unpinned_chain_contrast(spark, sf_dir):
     edges = spark.createDataFrame(MINI, "doc string, src string, dst string")
     start = spark.createDataFrame([("L1", "FM:a")], "doc string, node string")
     ends = lambda df: df.where(F.col("node").startswith("C:")).agg(F.count("*").alias("n"))
-    pinned, free = ends(graph.chains(spark, edges, start)), ends(graph.free_chains(spark, edges, start))
+    pinned, free = ends(graph.chains(edges, start)), ends(graph.free_chains(edges, start))
     return pinned.select(F.col("n").alias("pinned_n")).join(F.broadcast(free.select(F.col("n").alias("unpinned_n"))))
 
 
@@ -165,23 +165,13 @@ def event_subgraph_edges(spark, sf_dir):
     return edges.unionAll(root).distinct()
 
 
-_CC = "SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 48 AND round(l_discount * 100) >= 9"
-
-
-@query("connected_components", f"""WITH RECURSIVE e AS ({_CC}), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r(node, seen) AS (SELECT src, src FROM s UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.seen),
-c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS size FROM c GROUP BY component""")
-def connected_components(spark, sf_dir):
-    li = proxy.table(spark, sf_dir, "lineitem").where((F.col("l_quantity") >= 48) & (F.round(F.col("l_discount") * 100) >= 9))
-    edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-    return graph.labels(edges).groupBy("component").agg(F.count("*").alias("size"))
-
-
-@query("whole_components")
+@query("whole_components", """WITH RECURSIVE s AS (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem),
+c(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, min(c.root) FROM c JOIN s ON s.a = c.node JOIN recurring.c u ON u.node = s.b WHERE c.root < u.root GROUP BY s.b)
+SELECT root AS component, count(*) AS size FROM c GROUP BY root""")
 def whole_components(spark, sf_dir):
     """Components of the order-part graph of all lines, of which one holds nearly all nodes."""
-    li = proxy.table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
-    edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    li = proxy.table(spark, sf_dir, "lineitem")
+    edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
     return graph.labels(edges).groupBy("component").agg(F.count("*").alias("size"))
 
 

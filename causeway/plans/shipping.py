@@ -18,7 +18,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once per application, and bound the session's Arrow batches."""
     context = spark.sparkContext
-    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+    if context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if context.applicationId in _shipped:
         return

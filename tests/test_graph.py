@@ -1,10 +1,14 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from causeway.operators import assemble, graph, retrieval, risk
-from causeway.plans import catalogue
-from causeway.sources import records
+from causeway.operators.components import components
+from causeway.plans import catalogue, engine_queries
+from causeway.plans.shipping import ship
+from causeway.sources import graph_store, records
 from causeway.streaming import refresh
 
 
@@ -48,8 +52,90 @@ def test_reports_to_graph(spark, tmp_path):
 def test_paths_stay_in_their_document(spark):
     edges = spark.createDataFrame([("A", 1, 2), ("A", 2, 1), ("B", 2, 3)], "doc string, src long, dst long")
     start = spark.createDataFrame([("A", 1)], "doc string, node long")
-    assert {tuple(r.path) for r in graph.chains(spark, edges, start).collect()} == {(1,), (1, 2)}
-    assert {tuple(r.path) for r in graph.free_chains(spark, edges, start).collect()} == {(1,), (1, 2), (1, 2, 3)}
+    assert {tuple(r.path) for r in graph.chains(edges, start).collect()} == {(1,), (1, 2)}
+    assert {tuple(r.path) for r in graph.free_chains(edges, start).collect()} == {(1,), (1, 2), (1, 2, 3)}
+
+
+def test_paths_have_no_limit(spark):
+    """A hundred and thirty steps in one document, a ring and a fork in others, of which only what is asked for is read."""
+    rows = [("A", k, k + 1) for k in range(130)] + [("B", 1, 2), ("B", 2, 1), ("B", 1, 3), ("C", 1, 2)]
+    edges = spark.createDataFrame(rows, "doc string, src long, dst long").coalesce(1)
+    starts = spark.createDataFrame([("A", 0), ("B", 1), ("C", 1), ("B", 1)], "doc string, node long").distinct().coalesce(1)
+    found = graph.chains(edges, starts, "A").collect()
+    assert sorted((r.doc, r.origin, r.node, r.hops, r.path == list(range(r.hops + 1))) for r in found) == [("A", 0, k, k, True) for k in range(131)]
+    asked = spark.createDataFrame([("B",), ("C",)], "doc string")
+    assert sorted((r.doc, tuple(r.path)) for r in graph.chains(edges, starts, asked).collect()) == [("B", (1,)), ("B", (1, 2)), ("B", (1, 3)), ("C", (1,)), ("C", (1, 2))]
+    assert sorted((r.doc, r.node) for r in graph.reached(edges, starts, asked).collect()) == [("B", 1), ("B", 2), ("B", 3), ("C", 1), ("C", 2)]
+    assert graph.chains(edges, starts, "none").count() == graph.reached(edges, starts, "none").count() == 0
+
+
+def test_one_report_reads_its_own_steps(spark, sf_dir):
+    """The condition on the report reaches the scan of the partition of its relation."""
+    engine = engine_queries.engine(spark, sf_dir)
+    steps, _ = engine._steps(any_origin=True)
+    plan = graph.within(steps, "7")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(rel" in plan and "(rel#" in plan and "EqualTo(ler_number,7)" in plan
+    before = set(spark.catalog.listTables())
+    conf = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    catalogue.QUERIES["engine_failure_chain"](spark, sf_dir).collect()
+    assert set(spark.catalog.listTables()) == before and spark.conf.get("spark.sql.cteRecursionRowLimit") == conf
+
+
+def test_stamps_touch_their_partitions_only(spark, tmp_path):
+    columns = "gkey string, type string, display_name string"
+    nodes = spark.createDataFrame([("System:A", "System", "a"), ("System:B", "System", "b"), ("Cause:X", "Cause", "x"), ("LER:1", "LER", "1")], columns)
+    edges = spark.createDataFrame([("LER:1", "INVOLVES", "System:A", "1")], "src string, rel string, dst string, ler_number string")
+    path = str(tmp_path / "g")
+    graph_store.write_graph(nodes, edges, path)
+    files = lambda: {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "g").rglob("*.parquet")}
+    before = files()
+    values = lambda *rows: spark.createDataFrame(rows, "gkey string, n_events long, version string")
+    assert {tuple(r) for r in graph_store.stamp(spark, path, values(("System:A", 3, "v1"), ("Cause:X", 4, "v1"), ("LER:1", 5, "v1")), "System", "Cause").collect()} == {("System", 1), ("Cause", 1)}
+    kept = {f: t for f, t in files().items() if "type=LER" in f or "edges" in f}
+    assert kept and kept.items() <= before.items()
+    graph_store.stamp(spark, path, values(("System:B", 9, "v2")), "System")
+    got = {r.gkey: (r.display_name, r.n_events, r.version) for r in graph_store.read_graph(spark, path)[0].collect()}
+    assert got == {"System:A": ("a", None, None), "System:B": ("b", 9, "v2"), "Cause:X": ("x", 4, "v1"), "LER:1": ("1", None, None)}
+    for wrong in (values(("System:A", 1, "v"), ("System:A", 2, "v")), spark.createDataFrame([("System:A", 1)], "gkey string, colour long")):
+        with pytest.raises(ValueError):
+            graph_store.stamp(spark, path, wrong, "System")
+
+
+def test_spines(spark):
+    nodes = [("1", "LER:1", "LER", False), ("1", "LER:0", "LER", True), ("1", "R", "RegulatoryReference", None), ("1", "a", "Component", None), ("1", "b", "Component", None), ("1", "c", "Component", None), ("2", "LER:2", "LER", None), ("2", "a", "Component", None)]
+    edges = [("1", "LER:1", "LER:0"), ("1", "LER:0", "c"), ("1", "R", "c"), ("1", "LER:1", "a"), ("1", "b", "R"), ("2", "LER:2", "a"), ("2", "a", "gone")]
+    got = assemble.spines(spark.createDataFrame(nodes, "ler_number string, gkey string, type string, stub boolean"), spark.createDataFrame(edges, "ler_number string, src string, dst string"))
+    assert sorted(map(tuple, got.collect())) == [("1", "LER:1", 2, 3, True), ("1", "b", 1, 3, False), ("1", "c", 1, 3, False), ("2", "LER:2", 2, 1, True)]
+
+
+def test_arrow_bound_in_any_unit(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    for size in ("64m", "1g", "1000"):
+        spark.conf.set(key, size)
+        ship(spark)
+        assert spark.conf.get(key) in ("1000", "8388608b")
+    spark.conf.set(key, was)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_against_union_find(spark, kind):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(5, k) for k in range(300, 340)] + [(None, 3), (4, None), (7, 7)]
+    above = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    name = (lambda x: x) if kind == "long" else (lambda x: None if x is None else f"n{x}é")
+    for a, b in pairs:
+        if a is not None and b is not None:
+            lo, hi = sorted((top(name(a)), top(name(b))))
+            above[hi] = lo
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"u {kind}, v {kind}").repartition(7)
+    assert {r.node: r.root for r in components(edges).collect()} == {x: top(x) for x in list(above)}
 
 
 def test_labels_long_chain(spark):
