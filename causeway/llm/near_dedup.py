@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.components import components, stars
+from causeway.operators.components import components, stars
 from causeway.llm.kernel import NOT_SPACE, distinct_by, mix, pieces, salted, shingles_of, words_of
 from causeway.llm.storage import free_name, materialize
 from causeway.plans.shipping import ship

@@ -1,60 +1,5 @@
 """Tables written to the folder that driver and executors share."""
 
-from __future__ import annotations
+from causeway.operators.storage import free_name, materialize, new_path, remove, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of this machine, if the session is on this machine alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/causeway/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def free_name(taken: list[str], name: str) -> str:
-    """``name``, or with underscores after it, such that no column has it."""
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors recompute nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
-            try:
-                remove(spark, path)
-            except Exception:  # noqa: BLE001  the session may be gone at exit
-                return
+__all__ = ["free_name", "materialize", "new_path", "remove", "shared_dir"]

@@ -3,7 +3,8 @@ import random
 import numpy as np
 from oracle import assert_same, connect
 
-from causeway.llm import components, near_dedup
+from causeway.llm import near_dedup
+from causeway.operators import components
 
 
 def shingle_set(text, size):
