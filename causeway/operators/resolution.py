@@ -1,7 +1,7 @@
 """Codes of systems, components and manufacturers: a code that was read, a known acronym, then the name.
 
-The coded dimension has a few hundred rows, whatever the number of reports, so it is broadcast and its names travel with the
-fuzzy match. Nodes need ``display_name`` and ``eiis_code`` (manufacturers ``code``); other columns are kept.
+The coded dimension has a few hundred rows, whatever the number of reports, so it is broadcast; names are matched by their rarest
+grams, each distinct name once. Nodes need ``display_name`` and ``eiis_code`` (manufacturers ``code``); other columns are kept.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def systems(nodes: DataFrame, dimension: DataFrame) -> DataFrame:
     name = text.norm_name(F.col("display_name"))
     rows = rows.withColumn("by_alias", _named(SYSTEM_NAMES, name))
     open_name = F.when(F.coalesce("code_read", "by_acronym", "by_alias").isNull(), name).otherwise("")
-    names = dimension.where("kind = 'system'").select("pos", text.norm_name(F.col("name")).alias("name"), "code").orderBy("pos").collect()  # the bounded dimension
-    rows = fuzzy.best_matches(rows.withColumn("open_name", open_name), "open_name", [(r["name"], r["code"]) for r in names], cutoff=CUTOFF)
+    names = dimension.where("kind = 'system'").select(text.norm_name(F.col("name")).alias("name"), "code", "pos")
+    rows = fuzzy.best_matches(rows.withColumn("open_name", open_name), "open_name", names, cutoff=CUTOFF)
     by_name = F.coalesce("by_alias", "match")
     code = F.coalesce("code_read", "by_acronym", by_name)
     clean = F.trim(F.regexp_replace("display_name", r"\s*[({][^)}]*[)}]\s*", " "))

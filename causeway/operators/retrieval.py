@@ -125,7 +125,8 @@ class Engine:
         names = self.events().select("plant").where("plant IS NOT NULL").distinct()
         if not names.where(F.lower("plant").contains(asked.lower())).isEmpty():
             return asked
-        scored = fuzzy.best_matches(names, "plant", [(asked, asked)], "token_set").where("match IS NOT NULL")
+        wanted = self.spark.createDataFrame([(asked, asked, 0)], "name string, code string, pos int")
+        scored = fuzzy.best_matches(names, "plant", wanted, "token_set").where("match IS NOT NULL")
         best = scored.orderBy(F.desc("score"), F.desc("plant")).select("plant").first()
         return best["plant"] if best else asked
 

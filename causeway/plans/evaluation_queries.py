@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from causeway.functions import fuzzy
 from causeway.operators import evaluation, vectors
 from causeway.plans import proxy
 from causeway.plans.registry import query
@@ -89,35 +87,6 @@ def edge_prf(spark, sf_dir):
     return evaluation.compare_sets(pred.withColumn("all", F.lit(1)), gold.withColumn("all", F.lit(1)), ["all"]).drop("all")
 
 
-@query("field_checks", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders), b AS (SELECT l_orderkey AS k, min(l_linestatus) AS s, CASE WHEN max(l_quantity) >= 40 THEN '1-URGENT' END AS p FROM lineitem GROUP BY 1)
-SELECT 'status' AS field, count(*) FILTER (WHERE a.s IS NOT DISTINCT FROM b.s) AS ok, count(*) AS n FROM a JOIN b USING (k) UNION ALL SELECT 'cause', count(*) FILTER (WHERE b.p IS NULL OR a.p = b.p), count(*) FROM a JOIN b USING (k)""")
-def field_checks(spark, sf_dir):
-    a = proxy.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    b = proxy.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_linestatus").alias("s2"), F.when(F.max("l_quantity") >= 40, "1-URGENT").alias("p2"))
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    both = a.join(b, "k").agg(count(F.col("s").eqNullSafe(F.col("s2"))).alias("status"), count(F.col("p2").isNull() | (F.col("p") == F.col("p2"))).alias("cause"), F.count("*").alias("n"))
-    return both.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("ok"), "n") for f in ("status", "cause")])).alias("x")).select("x.*")
-
-
-@query("prf_fuzzy")
-def prf_fuzzy(spark, sf_dir):
-    ship(spark)
-    pred = [(1, "FailureMode", "pump failed to start"), (1, "FailureMode", "breaker tripped"), (1, "System", "BJ"), (2, "Consequence", "plant shutdown required")]
-    gold = [(1, "FailureMode", "pump failed to start on demand"), (1, "System", "BJ"), (1, "System", "BN"), (2, "Consequence", "required plant shutdown")]
-    rows = [(*p, "pred") for p in pred] + [(*g, "gold") for g in gold]
-
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: list(group[group.side == s][["type", "name"]].itertuples(index=False, name=None)) for s in ("pred", "gold")}
-        hits = fuzzy.align(sides["pred"], sides["gold"], exact=frozenset({"System"}))
-        kinds = sorted(set(group.type))
-        return pd.DataFrame([(k, sum(sides["gold"][j][0] == k for _, j in hits), sum(t == k for t, _ in sides["pred"]), sum(t == k for t, _ in sides["gold"])) for k in kinds], columns=["type", "tp", "pred", "true"])
-
-    counted = spark.createDataFrame(rows, "record long, type string, name string, side string").groupBy("record").applyInPandas(score, "type string, tp long, pred long, true long")
-    total = counted.groupBy("type").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "true")])
-    p, r, f = evaluation.prf(F.col("tp"), F.col("pred"), F.col("true"))
-    return total.select("type", p.alias("p"), r.alias("r"), f.alias("f1"))
-
-
 _RULE = "WITH x AS (SELECT CAST(quality AS BIGINT) AS gold, CAST(n_chars >= 800 AS BIGINT) AS pred, n_chars < 100 AS unsure FROM labels LEFT JOIN documents USING (doc_id))"
 
 

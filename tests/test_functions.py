@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,10 +41,54 @@ def test_chunks(spark):
 
 
 def test_ratios():
-    assert fuzzy.token_set_ratio("reactor core", "reactor core isolation cooling") == 100
-    assert fuzzy.weighted_ratio("reactor core isolation cooling", "Reactor Core Isolation Cooling") == 100
-    assert fuzzy.weighted_ratio("reactor core isolation cooling", "reactor core") < 100
+    """Worked by hand: twice the common subsequence over both lengths, weights 0.95, 0.9 and 0.6."""
+    near = lambda got, want: abs(got - want) < 1e-9
+    assert near(fuzzy.indel_ratio("abcd", "abce"), 75) and fuzzy.indel_ratio("", "") == 100 and fuzzy.indel_ratio("", "x") == 0
+    assert fuzzy.token_set_ratio("reactor core", "reactor core isolation cooling") == 100 and fuzzy.token_set_ratio("", "x") == 0
+    assert near(fuzzy.token_set_ratio("heat pump", "heat fan"), 200 * 4 / 12) and near(fuzzy.token_sort_ratio("pump a", "a pump"), 100)
+    assert near(fuzzy.weighted_ratio("pump a", "a pump"), 95) and near(fuzzy.weighted_ratio("abcd", "abce"), 75)
+    assert near(fuzzy.weighted_ratio("reactor core", "reactor core isolation cooling"), 90)  # a window at 0.9
+    assert near(fuzzy.weighted_ratio("core spray", "spray x core isolation and cooling"), 85.5)  # common words at 0.95 * 0.9
+    assert near(fuzzy.weighted_ratio("ab", "ab " + "xyz " * 8), 60)  # more than eight times as long
+    assert near(fuzzy.weighted_ratio("valve", "the valves are"), 90) and fuzzy.weighted_ratio("reactor core", "reactor core") == 100
     assert fuzzy.weighted_ratio("", "x") == 0
+    assert near(fuzzy.partial_ratio("abcx", "zzabc"), 200 * 3 / 7)  # a window cut off at the end
+
+
+def test_common_subsequence():
+    draw = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abcé") for _ in range(draw.randint(0, 12))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert fuzzy.common(a, b) == table[-1][-1]
+
+
+@pytest.mark.parametrize(("ratio", "cutoff"), [("weighted", 88.0), ("token_set", 80.0), ("token_set", 100.0)])
+def test_matching_against_every_term(spark, ratio, cutoff):
+    draw = random.Random(9)
+    words = "core spray reactor heat removal residual pump valve pumps emergency diesel generator a b low pressure injection".split()
+    terms = [(" ".join(draw.choices(words, k=draw.randint(1, 5))), f"T{k}", k) for k in range(120)] + [("", "E", 900), ("core spray", "late", 901)]
+    asked = [None, "", " ", "nothing alike qqq"]
+    for name, _, _ in terms:
+        for _ in range(3):
+            cut = draw.randrange(len(name) + 1)
+            asked += [draw.choice([name, name[:cut] + name[cut + 1 :], name[:cut] + "x" + name[cut:], " ".join(draw.sample(name.split(), len(name.split()))), name + " unit two", "old " + name])]
+    got = fuzzy.best_matches(spark.createDataFrame([(a, 1) for a in asked], "asked string, score_ int"), "asked", spark.createDataFrame(terms, "name string, code string, pos int"), ratio, cutoff)
+    measure = fuzzy.RATIOS[ratio]
+
+    def best(name):
+        found = [(-measure(name, t), pos, code) for t, code, pos in terms if name and name.strip() and t and measure(name, t) >= cutoff]
+        return (min(found)[2], -min(found)[0]) if found else (None, None)
+
+    rows = got.collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        assert (r.match, r.score) == best(r.asked), r.asked
+    with pytest.raises(ValueError):
+        fuzzy.best_matches(got, "asked", got, ratio, 60.0)
 
 
 def test_facet_filters(spark):
