@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -129,18 +130,23 @@ def slash_date(c: Column) -> Column:
     return iso_date(F.when(year < 100, year + 2000).otherwise(year), part(1), part(2))
 
 
+def within_match(c: Column, pattern: str, make: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """What ``make`` makes of the groups of the first match: a long text is searched once, the groups are taken from the match."""
+    group = lambda m: lambda k: F.nullif(F.regexp_extract(m, pattern, k), F.lit(""))
+    return F.get(F.transform(F.array(F.regexp_extract(c, pattern, 0)), lambda m: make(group(m))), F.lit(0))
+
+
 def word_date(c: Column, lead: str = "") -> Column:
     """``Month D, YYYY`` after ``lead``."""
     pattern = rf"{lead}([A-Za-z]+)\s+(\d{{1,2}}),?\s+(\d{{4}})"
-    part = lambda k: F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
-    return iso_date(part(3).cast("int"), month_number(part(1)), part(2).cast("int"))
+    return within_match(c, pattern, lambda part: iso_date(part(3).cast("int"), month_number(part(1)), part(2).cast("int")))
 
 
 def event_date(header: Column, narrative: Column, sheet: Column) -> Column:
     """The form's date line, then "Event Date:", then the first "On ...", then the sheet's date."""
     line = r"\b(\d{1,2})\s+(\d{1,2})\s+(\d{4})\s+(\d{4})\s*-?\s*(\d{3})\s*-?\s*(\d{2})\s+(\d{1,2})\s+(\d{1,2})\s+(\d{4})"
-    part = lambda k: F.nullif(F.regexp_extract(header, line, k), F.lit("")).cast("int")
-    return F.coalesce(iso_date(part(3), part(1), part(2)), word_date(narrative, r"Event Date[:\s]+"), word_date(header, r"Event Date[:\s]+"), word_date(narrative, r"\bOn\s+"), slash_date(sheet))
+    dated = within_match(header, line, lambda part: iso_date(part(3).cast("int"), part(1).cast("int"), part(2).cast("int")))
+    return F.coalesce(dated, word_date(narrative, r"Event Date[:\s]+"), word_date(header, r"Event Date[:\s]+"), word_date(narrative, r"\bOn\s+"), slash_date(sheet))
 
 
 def reported_under(c: Column) -> Column:

@@ -166,3 +166,22 @@ def node_scores(pred: DataFrame, gold: DataFrame, matched: DataFrame) -> DataFra
     counts = sides.withColumn("true", F.col("gold") - F.col("excused"))
     p, r, f = prf(F.col("tp"), F.col("pred"), F.col("true"))
     return counts.select("record", "tp", "pred", "true", "excused", p.alias("p"), r.alias("r"), f.alias("f1"))
+
+
+def reconciled(rows: DataFrame, status: str, written: str = "written", cached: str = "cached", failed: str = "failed") -> DataFrame:
+    """(requested, written, cached, failed, accounted, ok) of one row for each thing requested; a null or other status is unaccounted for."""
+    count = lambda name: F.sum(F.when(F.col(status) == name, 1).otherwise(0))
+    counts = rows.agg(F.count("*").alias("requested"), *[F.coalesce(count(n), F.lit(0)).alias(k) for k, n in (("written", written), ("cached", cached), ("failed", failed))])
+    total = F.col("written") + F.col("cached") + F.col("failed")
+    return counts.withColumns({"accounted": total, "ok": total == F.col("requested")})
+
+
+def cost(usage: DataFrame, prices: dict[str, float], discount: float, done: str, target: Column | int) -> DataFrame:
+    """(spent, n_done, each, projected) of ``usage``: sums of its columns at ``prices`` a million, discounted, and as much for ``target`` things.
+
+    ``done`` names what was paid for; nothing done projects nothing.
+    """
+    paid = reduce(lambda a, b: a + b, (F.coalesce(F.sum(c), F.lit(0)) * price for c, price in prices.items())) / 1e6 * discount
+    spent = usage.agg(paid.alias("spent"), F.countDistinct(done).alias("n_done"))
+    each = F.when(F.col("n_done") > 0, F.col("spent") / F.col("n_done"))
+    return spent.withColumn("each", each).withColumn("projected", F.col("each") * (target if isinstance(target, Column) else F.lit(target)))

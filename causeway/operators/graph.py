@@ -91,6 +91,17 @@ def free_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return chains(edges.select(F.lit(0).alias("doc"), "src", "dst").distinct(), starts.select(F.lit(0).alias("doc"), "node").distinct())
 
 
+def free_reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): what is reached when steps of all documents count, for contrast with ``reached``."""
+    return reached(edges.select(F.lit(0).alias("doc"), "src", "dst").distinct(), starts.select(F.lit(0).alias("doc"), "node").distinct()).select("node")
+
+
+def longest_free(edges: DataFrame, starts: DataFrame, prefix: str) -> DataFrame:
+    """(path, hops) of the longest path from a start whose key begins with ``prefix``, through any documents; ties by the path."""
+    found = free_chains(edges, starts.where(F.col("node").cast("string").startswith(prefix)))
+    return found.select("path", "hops").orderBy(F.desc("hops"), F.array_join("path", ">")).limit(1)
+
+
 def longest(paths: DataFrame, *keys: str) -> DataFrame:
     """The longest path of each key; ties by the path itself."""
     order = Window.partitionBy(*keys).orderBy(F.desc("hops"), F.col("path").cast("string"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.operators import evaluation, vectors
+from causeway.operators import evaluation, retrieval, vectors
+from causeway.operators.storage import materialize
 from causeway.plans import proxy
 from causeway.plans.registry import query
 from causeway.plans.shipping import ship
-from causeway.plans.text_queries import values
 from causeway.sources import records
 
 KS = (1, 2, 5, 10, 20, 50, 100)
@@ -152,17 +152,70 @@ def unresolved_coded(spark, sf_dir):
     return evaluation.missed_nodes(gold, matched).where("unresolved").select("record", "key", "eiis_code")
 
 
-SPECS = [
-    (1, "negative", False, [], [], [], False, 1.0), (2, "negative", True, ["a"], ["a"], [], False, 0.0), (3, "lookup-id", True, ["a"], ["a", "b"], ["a"], True, 1.0),
-    (4, "lookup-id", True, ["c"], ["a"], ["c"], True, 0.0), (5, "lookup-content", True, ["a"], ["a"], ["z"], True, 1.0), (6, "multi-hop", True, ["a", "b"], ["a", "b"], ["b"], False, 1.0),
-    (7, "cross-doc", True, [], ["a", "b", "c", "d"], ["a", "b", "c", "d", "e"], False, 1.0), (8, "cross-doc", True, [], ["a"], [], False, 0.0), (9, "risk", True, [], [], [], True, 0.0),
-]
+_SPECS = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, ['negative', 'lookup-id', 'lookup-content', 'multi-hop', 'cross-doc', 'risk'][1 + o_orderkey % 6] AS bucket, o_orderstatus <> 'P' AS answerable, o_totalprice > 1000 AS fact FROM orders),
+l AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey % 7)) AS surfaced, list_sort(list(DISTINCT l_partkey % 7) FILTER (WHERE l_returnflag = 'A')) AS cites, list_sort(list(DISTINCT l_suppkey % 7) FILTER (WHERE l_returnflag = 'R')) AS expected FROM lineitem GROUP BY 1),
+s AS (SELECT o.*, coalesce(surfaced, []) AS surfaced, coalesce(cites, []) AS cites, coalesce(expected, []) AS expected FROM o LEFT JOIN l USING (k))"""
 
 
-@query("golden_judge", f"WITH v(id, correct) AS (VALUES {values([(s[0], s[-1]) for s in SPECS])}) SELECT CAST(id AS BIGINT) AS id, CAST(correct AS DOUBLE) AS correct FROM v")
+def _specs(spark, sf_dir):
+    """Questions, one for each order: what its lines' suppliers surface, parts cite, and returned lines' suppliers are wanted."""
+    o, li = proxy.table(spark, sf_dir, "orders"), proxy.table(spark, sf_dir, "lineitem")
+    buckets = F.array(*[F.lit(b) for b in ("negative", "lookup-id", "lookup-content", "multi-hop", "cross-doc", "risk")])
+    found = lambda cond, c: F.collect_set(F.when(cond, (F.col(c) % 7).cast("string")))
+    flag = F.col("l_returnflag")
+    sets = li.groupBy(F.col("l_orderkey").alias("k")).agg(found(F.lit(True), "l_suppkey").alias("surfaced"), found(flag == "A", "l_partkey").alias("cites"), found(flag == "R", "l_suppkey").alias("expected"))
+    rows = o.select(F.col("o_orderkey").alias("k"), F.get(buckets, (F.col("o_orderkey") % 6).cast("int")).alias("bucket"), (F.col("o_orderstatus") != "P").alias("answerable"), (F.col("o_totalprice") > 1000).alias("fact"), F.col("o_custkey").alias("u")).join(sets, "k", "left")
+    nothing = F.array().cast("array<string>")
+    return rows.withColumns({c: F.coalesce(c, nothing) for c in ("surfaced", "cites", "expected")})
+
+
+_GROUNDED = "list_has_all(surfaced, cites)"
+_CITED = "list_has_all(cites, expected)"
+
+
+@query("golden_judge", _SPECS + f""" SELECT k AS id, CAST(CASE bucket WHEN 'negative' THEN NOT answerable AND len(cites) = 0 WHEN 'lookup-id' THEN answerable AND {_GROUNDED} AND {_CITED} AND fact WHEN 'lookup-content' THEN answerable AND {_GROUNDED} AND fact
+WHEN 'multi-hop' THEN answerable AND {_GROUNDED} AND {_CITED} WHEN 'cross-doc' THEN len(expected) > 0 AND len(list_intersect(expected, surfaced)) >= 0.8 * len(expected) ELSE false END AS DOUBLE) AS correct FROM s""")
 def golden_judge(spark, sf_dir):
-    rows = spark.createDataFrame([s[:-1] for s in SPECS], "id long, bucket string, answerable boolean, cites array<string>, surfaced array<string>, expected array<string>, fact boolean")
-    return evaluation.judged(rows).select("id", "correct")
+    return evaluation.judged(_specs(spark, sf_dir)).select(F.col("k").alias("id"), "correct")
+
+
+_KINDS = ("clarify", "intent", "negative", "payoff", "risk", "honesty", "lookup", "showcase", "general")
+
+
+@query("judged_by_kind", _SPECS + f""", j AS (SELECT *, {list(_KINDS)}[1 + u % 9] AS kind, k % 4 = 0 AS clarified, k % 5 > 0 AS routed, CASE WHEN k % 3 = 0 THEN k % 10 END AS total, CASE WHEN u % 2 = 0 THEN 3 END AS least,
+ 'In this corpus we observed ' || k || CASE WHEN k % 2 = 0 THEN ' events' ELSE ' things' END || CASE WHEN k % 7 < 4 THEN ', not a failure rate.' ELSE '.' END AS answer FROM s),
+a AS (SELECT *, len(surfaced) = 0 AS none, len(expected) = 0 OR len(list_intersect(expected, surfaced)) >= 0.8 * len(expected) AS found FROM j)
+SELECT kind, count(*) FILTER (WHERE ok) AS passed, count(*) AS total FROM (SELECT kind, CASE WHEN clarified THEN CASE kind WHEN 'lookup' THEN true WHEN 'clarify' THEN routed AND coalesce(total, 0) >= coalesce(least, 2) AND (list_contains(surfaced, 3) OR coalesce(total, 0) > len(surfaced)) ELSE false END
+ ELSE CASE kind WHEN 'clarify' THEN false WHEN 'intent' THEN routed WHEN 'negative' THEN NOT answerable AND len(cites) = 0 WHEN 'payoff' THEN routed AND NOT none AND answerable WHEN 'risk' THEN NOT none AND routed AND answerable AND k % 2 = 0
+ WHEN 'honesty' THEN routed AND answerable AND k % 7 < 4 WHEN 'lookup' THEN CASE WHEN answerable THEN {_GROUNDED} ELSE len(cites) = 0 END
+ ELSE routed AND found AND answerable AND {_GROUNDED} AND len(surfaced) >= coalesce(least, 0) AND (kind <> 'showcase' OR {_CITED}) END END AS ok FROM a) GROUP BY kind""")
+def judged_by_kind(spark, sf_dir):
+    """Outcomes of questions by the rule of their kind, the reports found being those surfaced."""
+    k = F.col("k")
+    kinds = F.array(*[F.lit(x) for x in _KINDS])
+    answer = F.concat(F.lit("In this corpus we observed "), k.cast("string"), F.when(k % 2 == 0, " events").otherwise(" things"), F.when(k % 7 < 4, ", not a failure rate.").otherwise("."))
+    rows = _specs(spark, sf_dir).select(
+        F.get(kinds, (F.col("u") % 9).cast("int")).alias("kind"), F.lit("asked").alias("intent"), F.when(k % 5 > 0, "asked").otherwise("other").alias("routed"), F.lit(None).cast("array<string>").alias("ok_intents"),
+        (k % 4 == 0).alias("clarified"), F.coalesce(F.when(k % 3 == 0, k % 10), F.lit(0)).alias("total"), F.col("surfaced").alias("offered"), F.when(F.col("u") % 2 == 0, 3).alias("least"), F.lit("3").alias("must_include"), answer.alias("answer"),
+        "answerable", "cites", F.col("surfaced").alias("reports"), F.col("surfaced").alias("nodes"), F.col("expected").alias("want_reports"), F.array().cast("array<string>").alias("want_nodes"),
+    )
+    return evaluation.judged_by_kind(rows).groupBy("kind").agg(F.sum(F.when(F.col("ok"), 1).otherwise(0)).alias("passed"), F.count("*").alias("total"))
+
+
+@query("same_sets", _SPECS + " SELECT bucket, count(*) FILTER (WHERE list_sort(surfaced) = list_sort(expected)) AS same, count(*) FILTER (WHERE list_has_all(surfaced, expected)) AS within FROM s GROUP BY bucket")
+def same_sets(spark, sf_dir):
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    a, b = F.col("surfaced"), F.col("expected")
+    twice = F.concat(b, b)  # repeated members count once
+    return _specs(spark, sf_dir).groupBy("bucket").agg(count(evaluation.same_set(a, twice)).alias("same"), count(evaluation.subset(b, a)).alias("within"))
+
+
+@query("gate_of_records", """WITH g AS (SELECT o_orderstatus AS status, bool_and(o_custkey % 2 = 0 AND o_orderkey > 0 AND o_totalprice >= 0.85) AS passed FROM orders GROUP BY 1) SELECT 'all' AS side, bool_and(passed) AS passed FROM g UNION ALL SELECT 'even', true""")
+def gate_of_records(spark, sf_dir):
+    """All orders, of which some fail, and those with an even customer, of which none does."""
+    o = proxy.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2 == 0).alias("identity_ok"), (F.col("o_orderkey") >= 0).alias("cause_ok"), F.col("o_totalprice").alias("edge_f1"))
+    side = lambda rows, name: evaluation.gate(rows).select(F.lit(name).alias("side"), "passed")
+    return side(o, "all").unionAll(side(o.where("identity_ok AND edge_f1 >= 0.85D"), "even"))
 
 
 @query("bucket_win_tie_loss", """WITH x AS (SELECT source AS bucket, CAST(quality AS DOUBLE) AS g, CAST(toxic AS DOUBLE) AS v FROM labels JOIN documents USING (doc_id))
@@ -181,11 +234,17 @@ def pass_by_kind(spark, sf_dir):
     return rows.select(F.coalesce("lang", F.lit("all")).alias("kind"), "passed", "total")
 
 
-@query("snapshot_identity", "SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right")
+@query("snapshot_identity", """WITH f AS (SELECT o_orderstatus AS status, o_custkey % 50 AS c FROM orders), s AS (SELECT CASE WHEN o_totalprice > 5000 AND o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END, o_custkey % 50 FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT 'same' AS run, 0 AS only_left, 0 AS only_right UNION ALL SELECT 'changed', (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM f)), (SELECT count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM s))""")
 def snapshot_identity(spark, sf_dir):
-    stored = proxy.table(spark, sf_dir, "orders").groupBy("o_orderstatus").count()
-    fresh = proxy.table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("count"))
-    return evaluation.identical(stored, fresh)
+    """A written table against a fresh reading, unchanged and with rows changed and missing."""
+    o = proxy.table(spark, sf_dir, "orders")
+    rows = lambda status, df: df.select(status.alias("status"), (F.col("o_custkey") % 50).alias("c"))
+    fresh = rows(F.col("o_orderstatus"), o)
+    changed = F.when((F.col("o_totalprice") > 5000) & (F.col("o_orderkey") % 9 == 0), "X").otherwise(F.col("o_orderstatus"))
+    sides = {"same": materialize(fresh.repartition(3), "snapshot"), "changed": materialize(rows(changed, o.where("o_orderkey % 13 <> 0")), "snapshot")}
+    made = [evaluation.identical(stored, fresh).select(F.lit(run).alias("run"), "only_left", "only_right") for run, stored in sides.items()]
+    return made[0].unionAll(made[1])
 
 
 @query("dedupe_latest_revision", "SELECT l_orderkey AS key, CAST(max(l_linenumber) AS BIGINT) AS revision FROM lineitem GROUP BY 1")
@@ -208,17 +267,23 @@ def manifest_upsert(spark, sf_dir):
     return records.upsert(old, new, ["key"])
 
 
-@query("reconciliation", "SELECT CASE o_orderstatus WHEN 'F' THEN 'written' WHEN 'O' THEN 'cached' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'requested', count(*) FROM orders")
+@query("reconciliation", """SELECT o_orderpriority <> '1-URGENT' AS rest, count(*) AS requested, count(*) FILTER (WHERE o_orderstatus = 'F') AS written, count(*) FILTER (WHERE o_orderstatus = 'O') AS cached, count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT') AS failed,
+written + cached + failed AS accounted, accounted = requested AS ok FROM orders GROUP BY 1""")
 def reconciliation(spark, sf_dir):
-    name = F.when(F.col("o_orderstatus") == "F", "written").when(F.col("o_orderstatus") == "O", "cached").otherwise("failed")
-    return proxy.table(spark, sf_dir, "orders").select(name.alias("status")).rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("requested")).alias("status"), "n")
+    """Statuses of orders; those of urgent ones that are open nobody accounts for."""
+    o = proxy.table(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "written").when(F.col("o_orderstatus") == "O", "cached").when(F.col("o_orderpriority") != "1-URGENT", "failed")
+    rows = o.select((F.col("o_orderpriority") != "1-URGENT").alias("rest"), state.alias("status"))
+    made = [evaluation.reconciled(rows.where(F.col("rest") == side), "status").select(F.lit(side).alias("rest"), "*") for side in (True, False)]
+    return made[0].unionAll(made[1])
 
 
-@query("cost_projection", "SELECT round(sum(l_quantity) * 3.0 / 1e6 * 0.5 + sum(l_linenumber) * 15.0 / 1e6 * 0.5, 6) AS spent, round((sum(l_quantity) * 3.0 + sum(l_linenumber) * 15.0) / 1e6 * 0.5 / count(DISTINCT l_orderkey) * (SELECT count(*) FROM orders), 6) AS projected FROM lineitem")
+@query("cost_projection", """WITH u AS (SELECT sum(l_quantity) * 3.0 / 1e6 * 0.5 + sum(l_linenumber) * 15.0 / 1e6 * 0.5 AS spent, count(DISTINCT l_orderkey) AS n_done FROM lineitem)
+SELECT round(spent, 9) AS spent, n_done, round(spent / n_done, 12) AS each, round(spent / n_done * (SELECT count(*) FROM orders), 6) AS projected FROM u""")
 def cost_projection(spark, sf_dir):
-    used = proxy.table(spark, sf_dir, "lineitem").agg(((F.sum("l_quantity") * 3 + F.sum("l_linenumber") * 15) / 1e6 * 0.5).alias("spent"), F.countDistinct("l_orderkey").alias("done"))
-    asked = proxy.table(spark, sf_dir, "orders").agg(F.count("*").alias("asked"))
-    return used.join(F.broadcast(asked)).select(F.round("spent", 6).alias("spent"), F.round(F.col("spent") / F.col("done") * F.col("asked"), 6).alias("projected"))
+    asked = proxy.table(spark, sf_dir, "orders").count()
+    made = evaluation.cost(proxy.table(spark, sf_dir, "lineitem"), {"l_quantity": 3.0, "l_linenumber": 15.0}, 0.5, "l_orderkey", asked)
+    return made.select(F.round("spent", 9).alias("spent"), "n_done", F.round("each", 12).alias("each"), F.round("projected", 6).alias("projected"))
 
 
 @query("plant_dimension_join", "SELECT o_orderkey AS event_key, n_name AS plant, r_name AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -228,18 +293,30 @@ def plant_dimension_join(spark, sf_dir):
     return proxy.events(spark, sf_dir).join(F.broadcast(where), "plant", "left").select("event_key", "plant", "region")
 
 
-@query("provenance_lookup", "SELECT d AS key, coalesce(source, 'retrieval') AS source FROM (SELECT DISTINCT item_id * 37 AS d FROM benchmark) LEFT JOIN documents ON d = doc_id")
+@query("provenance_lookup", "SELECT d AS key, coalesce(source, 'retrieval') AS source FROM (SELECT DISTINCT item_id * 37 AS d FROM benchmark) LEFT JOIN (SELECT doc_id, min(s) AS source FROM (SELECT doc_id, coalesce(source, 'zz') AS s FROM documents UNION ALL SELECT doc_id, 'm' FROM labels) GROUP BY 1) ON d = doc_id")
 def provenance_lookup(spark, sf_dir):
-    asked = proxy.table(spark, sf_dir, "benchmark").select((F.col("item_id") * 37).alias("key")).distinct()
-    known = records.latest(proxy.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source"), ["key"], F.asc("source"))
-    return asked.join(known, "key", "left").select("key", F.coalesce("source", F.lit("retrieval")).alias("source"))
+    """Where documents come from: of several sources the first by name; what is unknown was found by retrieval."""
+    asked = proxy.table(spark, sf_dir, "benchmark").select((F.col("item_id") * 37).alias("key"))
+    known = proxy.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.coalesce("source", F.lit("zz")).alias("source"))
+    marked = proxy.table(spark, sf_dir, "labels").select("doc_id", F.lit("m"))
+    return retrieval.provenance(asked, known.unionAll(marked))
 
 
-@query("edge_integrity", "SELECT l_orderkey AS record, count(*) FILTER (WHERE p_partkey IS NULL) AS bad_edges FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) FILTER (WHERE p_partkey IS NULL) > 0")
+@query("edge_integrity", """WITH n AS (SELECT l_orderkey AS k, count(*) FILTER (WHERE p_size > 45) AS gone, count(*) FILTER (WHERE p_size = 13) AS odd FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT o_orderkey AS record, CASE WHEN o_custkey % 10 = 0 THEN 'unreadable' WHEN odd > 0 THEN 'unknown type' WHEN gone > 0 THEN 'edge without node' END AS reason FROM orders LEFT JOIN n ON k = o_orderkey""")
 def edge_integrity(spark, sf_dir):
-    ids = proxy.table(spark, sf_dir, "part").where("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"))
-    bad = proxy.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(ids, "l_partkey", "left_anti")
-    return bad.groupBy(F.col("l_orderkey").alias("record")).agg(F.count("*").alias("bad_edges"))
+    """Orders as reports: large parts are no nodes of their reports but have edges, parts of one size have a type nobody knows."""
+    li, part, o = (proxy.table(spark, sf_dir, n) for n in ("lineitem", "part", "orders"))
+    own = li.join(part, li.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
+        F.collect_set(F.when(F.col("p_size") <= 45, F.struct(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_size") == 13, "Gadget").otherwise("Component").alias("type")))).alias("parts"),
+        F.collect_set(F.struct(F.lit("l").alias("source"), F.lit("INVOLVES").alias("relation"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("target"))).alias("edges"),
+    )
+    root = F.array(F.struct(F.lit("l").alias("id"), F.lit("LER").alias("type")))
+    rows = o.join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    number = F.when(F.col("o_custkey") % 10 != 0, F.col("o_orderkey").cast("string"))
+    reports = rows.select(F.col("o_orderkey").alias("record"), number.alias("ler_number"), F.concat(root, F.coalesce("parts", F.array().cast("array<struct<id:string,type:string>>"))).alias("nodes"), F.coalesce("edges", F.array().cast("array<struct<source:string,relation:string,target:string>>")).alias("edges"), F.lit(None).cast("string").alias("_corrupt_record"))
+    good, bad = records.validated(reports)
+    return good.select("record", F.lit(None).cast("string").alias("reason")).unionAll(bad.select("record", "reason"))
 
 
 @query("events_trend", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -111,16 +111,32 @@ def longest_chain(spark, sf_dir):
     return graph.longest(_chain_paths(spark, sf_dir), "doc", "target").select("doc", "target", "path", "hops")
 
 
-MINI = [("L1", "FM:a", "Cause:Other"), ("L1", "Cause:Other", "FM:a2"), ("L1", "FM:a2", "C:x"), ("L2", "FM:b", "Cause:Other"), ("L2", "Cause:Other", "FM:b2"), ("L2", "FM:b2", "C:y")]
-
-
-@query("unpinned_chain_contrast", "SELECT CAST(1 AS BIGINT) AS pinned_n, CAST(2 AS BIGINT) AS unpinned_n")
+@query("unpinned_chain_contrast", """WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place FROM lineitem), e AS (SELECT DISTINCT a.l_orderkey AS doc, a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.place = a.place + 1),
+s AS (SELECT l_orderkey AS doc, l_partkey AS node FROM l WHERE place = 1), p(doc, node) AS (SELECT doc, node FROM s UNION SELECT e.doc, e.dst FROM p JOIN e ON e.doc = p.doc AND e.src = p.node),
+f(node) AS (SELECT node FROM s WHERE doc = (SELECT min(doc) FROM s) UNION SELECT e.dst FROM f JOIN e ON e.src = f.node) SELECT (SELECT count(*) FROM p) AS pinned_n, (SELECT count(*) FROM p WHERE doc = (SELECT min(doc) FROM s)) AS one_n, (SELECT count(*) FROM f) AS unpinned_n""")
 def unpinned_chain_contrast(spark, sf_dir):
-    edges = spark.createDataFrame(MINI, "doc string, src string, dst string")
-    start = spark.createDataFrame([("L1", "FM:a")], "doc string, node string")
-    ends = lambda df: df.where(F.col("node").startswith("C:")).agg(F.count("*").alias("n"))
-    pinned, free = ends(graph.chains(edges, start)), ends(graph.free_chains(edges, start))
-    return pinned.select(F.col("n").alias("pinned_n")).join(F.broadcast(free.select(F.col("n").alias("unpinned_n"))))
+    """Parts reached from each order's first line along its own lines, from one order's, and from that one along the lines of all orders."""
+    li = proxy.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("node"), "l_linenumber")
+    order = Window.partitionBy("doc").orderBy("l_linenumber", "node")
+    placed = li.withColumn("dst", F.lead("node").over(order)).withColumn("place", F.row_number().over(order))
+    edges = placed.where("dst IS NOT NULL").select("doc", F.col("node").alias("src"), "dst").distinct()
+    starts = placed.where("place = 1").select("doc", "node")
+    first = starts.agg(F.min("doc")).first()[0]
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    pinned, one, free = graph.reached(edges, starts), graph.reached(edges, starts, first), graph.free_reached(edges, starts.where(F.col("doc") == first))
+    return n(pinned, "pinned_n").join(F.broadcast(n(one, "one_n"))).join(F.broadcast(n(free, "unpinned_n")))
+
+
+@query("longest_free_path", """WITH RECURSIVE t AS (SELECT conv_id, turn, 'turn:' || conv_id || ':' || turn AS node FROM conversations), e AS (SELECT a.node AS src, b.node AS dst FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+r(origin, node, path, hops) AS (SELECT node, node, node, 0 FROM t WHERE node LIKE 'turn:1%' AND turn = 0 UNION ALL SELECT r.origin, e.dst, r.path || '>' || e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node)
+SELECT path, CAST(hops AS BIGINT) AS hops FROM r ORDER BY hops DESC, path LIMIT 1""")
+def longest_free_path(spark, sf_dir):
+    """The longest path from any first turn whose key has a prefix, whichever documents it runs through."""
+    c, edges = _turns(spark, sf_dir)
+    name = lambda turn: F.concat(F.lit("turn:"), F.col("doc").cast("string"), F.lit(":"), F.col(turn).cast("string"))
+    starts = c.where("turn = 0").select(F.col("conv_id").alias("doc"), F.col("turn").alias("node")).select("doc", name("node").alias("node"))
+    found = graph.longest_free(edges.select("doc", name("src").alias("src"), name("dst").alias("dst")), starts, "turn:1")
+    return found.select(F.array_join("path", ">").alias("path"), F.col("hops").cast("bigint").alias("hops"))
 
 
 _GEO = "SELECT 'nation:' || n_nationkey AS src, 'PART_OF' AS rel, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'OCCURRED_AT', 'nation:' || s_nationkey FROM supplier"
@@ -175,15 +191,24 @@ def whole_components(spark, sf_dir):
     return graph.labels(edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
-@query("synthesized_edges", """WITH n AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 40)
-SELECT o AS src, 'INVOLVES' AS rel, CAST(p AS VARCHAR) AS dst, CASE WHEN l.p IS NULL THEN 'synthesized' ELSE 'extracted' END AS kind FROM n LEFT JOIN l USING (o, p) UNION ALL SELECT o_orderkey, 'HAS_CAUSE', substr(o_orderpriority, 3), 'structural' FROM orders""")
+@query("synthesized_edges", """WITH n AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 40), m AS (SELECT o, min(p) AS lo FROM n GROUP BY o),
+c AS (SELECT DISTINCT o FROM l JOIN m USING (o) WHERE p = lo OR p % 2 = 0)
+SELECT 'LER:' || n.o AS src, 'INVOLVES' AS rel, 'Component:' || n.p AS dst, 'synthesized' AS kind FROM n JOIN m USING (o) LEFT JOIN l ON l.o = n.o AND l.p = n.p LEFT JOIN c ON c.o = n.o WHERE l.p IS NULL AND ((n.p <> lo AND n.p % 2 = 1) OR c.o IS NULL)
+UNION ALL SELECT 'LER:' || o_orderkey, 'HAS_CAUSE', 'Cause:' || substr(o_orderpriority, 3), 'structural' FROM orders""")
 def synthesized_edges(spark, sf_dir):
-    li = proxy.table(spark, sf_dir, "lineitem")
-    pair = lambda df: df.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").cast("string").alias("dst")).distinct()
-    linked = pair(li.where("l_quantity >= 40"))
-    made = pair(li).join(linked, ["src", "dst"], "left_anti").withColumn("kind", F.lit("synthesized")).unionByName(linked.withColumn("kind", F.lit("extracted")))
-    bridges = proxy.causes(spark, sf_dir).select(F.col("event_key").alias("src"), F.lit("HAS_CAUSE").alias("rel"), F.col("category").alias("dst"), F.lit("structural").alias("kind"))
-    return made.select("src", F.lit("INVOLVES").alias("rel"), "dst", "kind").unionAll(bridges)
+    """Parts of large lines are linked to their report, those with an even number to its first part as well; reach and bridges find the rest."""
+    li = proxy.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ler_number"), F.concat(F.lit("Component:"), F.col("l_partkey").cast("string")).alias("gkey"), F.col("l_partkey").alias("p"), "l_quantity")
+    report = F.concat(F.lit("LER:"), "ler_number")
+    parts = li.select("ler_number", "gkey", "p").distinct()
+    lo = parts.groupBy("ler_number").agg(F.min("p").alias("lo"))
+    direct = li.where("l_quantity >= 40").select("ler_number", report.alias("src"), F.col("gkey").alias("dst"))
+    by_part = parts.where("p % 2 = 0").join(lo, "ler_number").where("p <> lo").select("ler_number", F.col("gkey").alias("src"), F.concat(F.lit("Component:"), F.col("lo").cast("string")).alias("dst"))
+    numbers = proxy.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ler_number"), "o_orderpriority")
+    nodes = parts.select("ler_number", "gkey", F.lit("Component").alias("type")).unionAll(numbers.select("ler_number", report, F.lit("LER")))
+    apart = graph.unreached(nodes, direct.unionAll(by_part))
+    causes = numbers.select("ler_number", F.lit("Cause").alias("type"), F.concat(F.lit("Cause:"), F.substring("o_orderpriority", 3, 40)).alias("gkey"), F.lit("").alias("seq"))
+    bridges = graph.cause_bridges(causes).select("src", "rel", "dst", F.lit("structural").alias("kind"))
+    return apart.select(report.alias("src"), F.lit("INVOLVES").alias("rel"), F.col("gkey").alias("dst"), F.lit("synthesized").alias("kind")).unionAll(bridges)
 
 
 @query("orphans", "SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)")

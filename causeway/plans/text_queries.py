@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import taxonomy, text
+from causeway.operators.storage import materialize
 from causeway.plans import proxy
 from causeway.plans.registry import query
 from causeway.sources import records
 
 
-def values(rows: list[tuple]) -> str:
-    say = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(say(v) for v in r) + ")" for r in rows)
-
-
-@query("slug_keys", """SELECT doc_id, left(text, 60) AS input, regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS output FROM documents""")
+@query("slug_keys", "SELECT p_partkey, p_name || ' / ' || p_type || ' #' || p_size || '.' AS input, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || ' #' || p_size || '.'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS output FROM part")
 def slug_keys(spark, sf_dir):
-    head = F.left("text", F.lit(60))
-    return proxy.table(spark, sf_dir, "documents").select("doc_id", head.alias("input"), text.slug(head).alias("output"))
+    name = F.concat("p_name", F.lit(" / "), "p_type", F.lit(" #"), F.col("p_size").cast("string"), F.lit("."))
+    return proxy.table(spark, sf_dir, "part").select("p_partkey", name.alias("input"), text.slug(name).alias("output"))
 
 
 @query("slug_whole_keys", """WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents) SELECT doc_id, length(slug) AS n_chars, md5(slug) AS digest FROM s""")
@@ -27,96 +23,130 @@ def slug_whole_keys(spark, sf_dir):
     return proxy.table(spark, sf_dir, "documents").select("doc_id", F.length(slug).cast("bigint").alias("n_chars"), F.md5(slug.cast("binary")).alias("digest"))
 
 
-NAMES = [("High Pressure Coolant Injection (HPCI) System",), ("the Reactor Core Isolation Cooling {RCIC) subsystem",), ("Unit 2 Emergency  Diesel-Generator",), ("System",), ("Standby Liquid Control (slc) and (SBLC)",), ("",)]
+#: Names of parts, their types in brackets of both kinds and cut to two to seven letters, the second one in lower case.
+_NAMES = "SELECT DISTINCT 'the ' || p_name || ' System (' || substr(p_type, 1, 2 + p_size % 6) || ') Unit-' || p_size || ' {' || lower(substr(p_type, 1, 3)) || ')' AS input FROM part"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(input), '[({][^)}]*[)}]', ' ', 'g'), '\b(system|subsystem|the|unit)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("norm_names", f"WITH v(input) AS (VALUES {values(NAMES)} UNION ALL SELECT DISTINCT p_name || ' system (' || p_brand || ')' FROM part) SELECT input, {_NORM} AS output FROM v")
+def _names(spark, sf_dir):
+    size = F.col("p_size")
+    name = F.concat(F.lit("the "), "p_name", F.lit(" System ("), F.substr("p_type", F.lit(1), 2 + size % 6), F.lit(") Unit-"), size.cast("string"), F.lit(" {"), F.lower(F.substring("p_type", 1, 3)), F.lit(")"))
+    return proxy.table(spark, sf_dir, "part").select(name.alias("input")).distinct()
+
+
+@query("norm_names", f"WITH v AS ({_NAMES}) SELECT input, {_NORM} AS output FROM v")
 def norm_names(spark, sf_dir):
-    made = proxy.table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" system ("), "p_brand", F.lit(")")).alias("input")).distinct()
-    return spark.createDataFrame(NAMES, "input string").unionAll(made).select("input", text.norm_name(F.col("input")).alias("output"))
+    return _names(spark, sf_dir).select("input", text.norm_name(F.col("input")).alias("output"))
 
 
-@query("paren_acronyms", f"""WITH v(input) AS (VALUES {values(NAMES)}), f AS (SELECT input, regexp_extract_all(input, '[({{]\\s*([A-Za-z]{{2,6}})\\s*[)}}]', 1) AS a FROM v)
+@query("paren_acronyms", f"""WITH v AS ({_NAMES}), f AS (SELECT input, regexp_extract_all(input, '[({{]\\s*([A-Za-z]{{2,6}})\\s*[)}}]', 1) AS a FROM v)
 SELECT input, upper(coalesce(list_filter(a, lambda x: x = upper(x))[1], a[1])) AS output FROM f""")
 def paren_acronyms(spark, sf_dir):
-    return spark.createDataFrame(NAMES, "input string").select("input", text.paren_acronym(F.col("input")).alias("output"))
-
+    return _names(spark, sf_dir).select("input", text.paren_acronym(F.col("input")).alias("output"))
 
-KEYS = [("V", "1-2301-3", "Valve"), (None, "1-2301-3", "Cannon Plug"), ("", None, "Test Unit #2"), ("ISV", None, "PCIV"), ("P", "", "Pump A")]
 
-
-@query("component_keys", f"""WITH v(code, identifier, name) AS (VALUES {values(KEYS)})
+@query("component_keys", r"""WITH v AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'ISV' ELSE substr(p_type, 1, 1) END AS code, CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS VARCHAR) WHEN p_size % 2 = 0 THEN '' END AS identifier, p_name || ' #' || p_size AS name FROM part)
 SELECT code, identifier, name, replace('Component:' || coalesce(nullif(code, ''), regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) || CASE WHEN nullif(code, '') IS NOT NULL AND nullif(identifier, '') IS NOT NULL THEN '|' || identifier ELSE '' END, 'Component:ISV', 'Component:V') AS match_key FROM v""")
 def component_keys(spark, sf_dir):
-    rows = spark.createDataFrame(KEYS, "code string, identifier string, name string")
+    size = F.col("p_size")
+    code = F.when(size % 4 == 0, None).when(size % 4 == 1, "").when(size % 4 == 2, "ISV").otherwise(F.substring("p_type", 1, 1))
+    identifier = F.when(size % 3 > 0, size.cast("string")).when(size % 2 == 0, "")
+    rows = proxy.table(spark, sf_dir, "part").select(code.alias("code"), identifier.alias("identifier"), F.concat("p_name", F.lit(" #"), size.cast("string")).alias("name")).distinct()
     return rows.select("*", text.tolerant_key(text.component_key(F.col("code"), F.col("identifier"), F.col("name"))).alias("match_key"))
 
 
-STUBS = [("1-2022-001", "Limerick"), ("2-2021-12-3", "Limerick"), ("237-2020-7", "Dresden"), ("not-a-number", "Limerick"), ("1-2022-001", "Elsewhere"), (" 353-2019-004-01 ", None)]
-PLANTS = [("Limerick", 1, "352"), ("Limerick", 2, "353"), ("Dresden", 2, "237")]
-
-
-@query("stub_keys", f"""WITH v(key, plant) AS (VALUES {values(STUBS)}), p(name, unit, short) AS (VALUES {values(PLANTS)}),
-m AS (SELECT key, plant, regexp_extract(trim(key), '^(\\d{{1,4}})-(\\d{{4}})-(\\d{{1,3}})(?:-(\\d{{1,2}}))?$', ['a', 'b', 'c', 'd']) AS g FROM v)
-SELECT key, plant, CASE WHEN g.a = '' THEN key ELSE coalesce(CASE WHEN length(g.a) <= 2 THEN short END, g.a) || '-' || g.b || '-' || lpad(g.c, 3, '0') || '-' || CASE WHEN g.d = '' THEN '00' ELSE lpad(g.d, 2, '0') END END AS normalized
+@query("stub_keys", r"""WITH v AS (SELECT o_orderkey, ' ' || CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 1000 ELSE o_custkey % 3 END || '-' || strftime(o_orderdate, '%Y') || '-' || o_orderkey % (CASE WHEN o_orderkey % 11 = 0 THEN 100000 ELSE 1000 END) || CASE WHEN o_orderkey % 2 = 0 THEN '-' || o_orderkey % 13 ELSE '' END AS key, n_name AS plant
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey), p AS (SELECT n_name AS name, u AS unit, CAST(300 + 3 * n_nationkey + u AS VARCHAR) AS short FROM nation, range(1, 3) r(u)),
+m AS (SELECT o_orderkey, key, plant, regexp_extract(trim(key), '^(\d{1,4})-(\d{4})-(\d{1,3})(?:-(\d{1,2}))?$', ['a', 'b', 'c', 'd']) AS g FROM v)
+SELECT o_orderkey, key, plant, CASE WHEN g.a = '' THEN key ELSE coalesce(CASE WHEN length(g.a) <= 2 THEN short END, g.a) || '-' || g.b || '-' || lpad(g.c, 3, '0') || '-' || CASE WHEN g.d = '' THEN '00' ELSE lpad(g.d, 2, '0') END END AS normalized
 FROM m LEFT JOIN p ON p.name = m.plant AND length(g.a) BETWEEN 1 AND 2 AND p.unit = TRY_CAST(g.a AS INT)""")
 def stub_keys(spark, sf_dir):
-    plants = spark.createDataFrame(PLANTS, "name string, unit int, short string")
-    return records.normalize_stub_keys(spark.createDataFrame(STUBS, "key string, plant string"), plants)
+    o, customer, nation = (proxy.table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    word = lambda c: c.cast("string")
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    lead = F.when(cust % 3 == 0, cust % 1000).otherwise(cust % 3)
+    number = key % F.when(key % 11 == 0, 100000).otherwise(1000)
+    short = F.concat(F.lit(" "), word(lead), F.lit("-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), word(number), F.when(key % 2 == 0, F.concat(F.lit("-"), word(key % 13))).otherwise(""))
+    rows = o.join(customer, cust == customer.c_custkey, "left").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", short.alias("key"), F.col("n_name").alias("plant"))
+    plants = nation.select(F.col("n_name").alias("name"), "n_nationkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("unit")).select("name", "unit", word(300 + 3 * F.col("n_nationkey") + F.col("unit")).alias("short"))
+    keys = rows.select("key", "plant").distinct()
+    return rows.join(records.normalize_stub_keys(keys, plants), ["key", "plant"]).select("o_orderkey", "key", "plant", "normalized")
 
 
-DURATIONS = [("6:13", 6 + 13 / 60), ("00:05", 5 / 60), ("3 days 6 hours 33 minutes", 78.55), ("~17.5 hours", 17.5), ("62 days", 1488.0), ("approx. 8 days", 192.0), ("~17.5 months", None), ("approximately 26 years", None), ("", None), (None, None), ("longer than TS 15-minute action completion time", None), ("> 2 hrs 30 mins", 2.5)]
+#: How long something lasted, said in seven ways from a line's numbers, and the hours meant.
+_LASTED = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN CAST(l_quantity AS INT) || ':' || lpad(CAST(l_suppkey % 60 AS VARCHAR), 2, '0') WHEN 1 THEN '~' || CAST(l_quantity AS INT) || '.5 hours' WHEN 2 THEN CAST(l_quantity AS INT) || ' days ' || l_suppkey % 24 || ' hrs ' || l_suppkey % 60 || ' mins'
+ WHEN 3 THEN 'approx. ' || CAST(l_quantity AS INT) || ' Days' WHEN 4 THEN '~' || CAST(l_quantity AS INT) || ' months' WHEN 5 THEN 'longer than ' || l_suppkey % 60 || ' minutes' ELSE '' END AS input,
+ round(CASE l_linenumber % 7 WHEN 0 THEN CAST(l_quantity AS INT) + (l_suppkey % 60) / 60.0 WHEN 1 THEN CAST(l_quantity AS INT) + 0.5 WHEN 2 THEN CAST(l_quantity AS INT) * 24 + l_suppkey % 24 + (l_suppkey % 60) / 60.0 WHEN 3 THEN CAST(l_quantity AS INT) * 24 WHEN 5 THEN (l_suppkey % 60) / 60.0 END, 9) AS output FROM lineitem"""
 
 
-@query("duration_hours", f"WITH v(input, output) AS (VALUES {values(DURATIONS)}) SELECT input, round(CAST(output AS DOUBLE), 9) AS output FROM v")
+@query("duration_hours", _LASTED)
 def duration_hours(spark, sf_dir):
-    rows = spark.createDataFrame([(d,) for d, _ in DURATIONS], "input string")
-    return rows.select("input", F.round(text.duration_hours(F.col("input")), 9).alias("output"))
-
-
-DATES = [("11/17/25", "2025-11-17"), ("2/31/2024", "2024-02-31"), ("13/1/20", None), ("1/1/1899", None), ("March 3, 2025", "2025-03-03"), ("Smarch 3, 2025", None), ("december 31 2020", "2020-12-31"), ("", None)]
-
-
-@query("iso_dates", f"WITH v(input, output) AS (VALUES {values(DATES)}) SELECT input, CAST(output AS VARCHAR) AS output FROM v")
+    n, supp, kind = F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey"), F.col("l_linenumber") % 7
+    word = lambda c: c.cast("string")
+    said = (
+        F.when(kind == 0, F.concat(n, F.lit(":"), F.lpad(word(supp % 60), 2, "0"))).when(kind == 1, F.concat(F.lit("~"), n, F.lit(".5 hours")))
+        .when(kind == 2, F.concat(n, F.lit(" days "), word(supp % 24), F.lit(" hrs "), word(supp % 60), F.lit(" mins"))).when(kind == 3, F.concat(F.lit("approx. "), n, F.lit(" Days")))
+        .when(kind == 4, F.concat(F.lit("~"), n, F.lit(" months"))).when(kind == 5, F.concat(F.lit("longer than "), word(supp % 60), F.lit(" minutes"))).otherwise("")
+    )
+    rows = proxy.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("input"))
+    return rows.select("*", F.round(text.duration_hours(F.col("input")), 9).alias("output"))
+
+
+@query("iso_dates", """SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 4 AND CAST(strftime(o_orderdate, '%d') AS INT) = 1 THEN strftime(o_orderdate, '%Y-%m') || '-31' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS output FROM orders""")
 def iso_dates(spark, sf_dir):
-    rows = spark.createDataFrame([(d,) for d, _ in DATES], "input string")
-    return rows.select("input", F.coalesce(text.slash_date(F.col("input")), text.word_date(F.col("input"))).alias("output"))
-
-
-PHRASES = ["reactor trip", "both trains", "loss of offsite power", "PCIS actuation isolation", "esf-actuation", " LCO exceeded", "plants ts missed", "degraded pump", "Other", "", None, "startup"]
+    """Dates as m/d/yy, m/d/yyyy, in words with and without a comma, and out of range; the thirty-first of any month passes."""
+    d, way = F.col("o_orderdate"), F.col("o_custkey") % 5
+    first = F.when(F.dayofmonth(d) == 1, "31").otherwise(F.dayofmonth(d).cast("string"))
+    said = (
+        F.when(way == 0, F.concat(F.lit("13/"), F.date_format(d, "d/yyyy"))).when(way == 1, F.date_format(d, "M/d/yyyy")).when(way == 2, F.date_format(d, "MMMM d, yyyy"))
+        .when(way == 3, F.upper(F.date_format(d, "MMMM dd yyyy"))).otherwise(F.concat(F.date_format(d, "MM/"), first, F.date_format(d, "/yyyy")))
+    )
+    rows = proxy.table(spark, sf_dir, "orders").select("o_orderkey", said.alias("input"))
+    return rows.select("o_orderkey", F.coalesce(text.slash_date(F.col("input")), text.word_date(F.col("input"))).alias("output"))
 
 
 def _phrase_sql() -> str:
     cases = "".join(" WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{name}'" for name, words in taxonomy.OUTCOME_WORDS.items())
     names = ", ".join(f"'{k}'" for k, _ in taxonomy.OUTCOMES)
-    return f"WITH v(phrase) AS (VALUES {values([(p,) for p in PHRASES])}), n AS (SELECT phrase, trim(lower(coalesce(phrase, ''))) AS t FROM v) SELECT phrase, CASE WHEN t = '' THEN NULL WHEN t IN ({names}) THEN t{cases} END AS outcome FROM n"
+    return f"WITH n AS (SELECT doc_id, trim(lower(coalesce(text, ''))) AS t FROM documents UNION ALL SELECT -l_orderkey - 1, ' ' || lower({proxy.OUTCOME_SQL}) FROM lineitem WHERE l_linenumber = 1) SELECT doc_id, CASE WHEN trim(t) = '' THEN NULL WHEN trim(t) IN ({names}) THEN trim(t){cases} END AS outcome FROM n"
 
 
 @query("outcome_phrase", _phrase_sql())
 def outcome_phrase(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in PHRASES], "phrase string").select("phrase", taxonomy.outcome_phrase(F.col("phrase")).alias("outcome"))
-
-
-REPORTS = [
-    (1, "Reported under 10 CFR 50.73(a)(2)(v)(D) and CFT 50. 73 (a) (2)(iv)(A), again 10 CFR 50.73(a)(2)(v)(D). Power Level: 87 %. Reactor Mode: 1. Event Date: March 3, 2025. A supplemental report will be submitted."),
-    (2, "On January 7, 2024 a surveillance test found a loss of safety function at 100 percent power, Mode 4."),
-    (3, "During an inspection nothing was found."),
-    (4, None),
-]
-_FIELDS = [("power_level", "87", 1), ("operating_mode", "1", 1), ("event_date", "2025-03-03", 1), ("status", "supplement-expected", 1), ("ssff", "not stated", 1), ("discovery", "normal operation", 1), ("power_level", "100", 2), ("operating_mode", "4", 2), ("event_date", "2024-01-07", 2), ("status", "final", 2), ("ssff", "Y", 2), ("discovery", "surveillance test", 2), ("status", "final", 3), ("ssff", "not stated", 3), ("discovery", "inspection", 3)]
-
-
-@query("report_fields", f"WITH v(field, value, doc_id) AS (VALUES {values(_FIELDS)}) SELECT CAST(doc_id AS BIGINT) AS doc_id, field, value FROM v")
+    """Classes read out of whole texts, and out of their own names."""
+    docs = proxy.table(spark, sf_dir, "documents").select("doc_id", "text")
+    named = proxy.consequences(spark, sf_dir, "l_linenumber").where("l_linenumber = 1").select(-F.col("event_key") - 1, F.concat(F.lit(" "), F.upper("outcome")))
+    return docs.unionAll(named).select("doc_id", taxonomy.outcome_phrase(F.col("text")).alias("outcome"))
+
+
+def _reports(spark, sf_dir):
+    """(doc_id, text): a report on each order, with a document's text around it."""
+    word = lambda c: c.cast("string")
+    key, d = F.col("o_orderkey"), F.col("o_orderdate")
+    texts = proxy.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    power = F.when(key % 3 == 0, F.concat(F.lit("Power Level: "), word(key % 101), F.lit(" %."))).when(key % 3 == 1, F.concat(F.lit("It ran at "), word(key % 101), F.lit(" percent power."))).otherwise("")
+    mode = F.when(key % 2 == 0, F.concat(F.lit(" Reactor Mode: "), word(key % 5 + 1))).otherwise(F.concat(F.lit(" (OPCON) "), word(key % 5 + 1)))
+    dated = F.when(key % 5 < 2, F.concat(F.lit(" Event Date: "), F.date_format(d, "MMMM d, yyyy"))).when(key % 5 < 4, F.concat(F.lit(" On "), F.date_format(d, "MMMM dd yyyy"), F.lit(" it began."))).otherwise("")
+    found = F.when(key % 4 == 0, " A surveillance test showed it.").when(key % 4 == 1, " An inspection showed it.").when(key % 4 == 2, " An operability test, then a surveillance test.").otherwise("")
+    lost = F.when(key % 6 == 0, " There was a loss of safety function.").otherwise("")
+    more = F.when(key % 7 == 0, " A supplemental report will be submitted.").otherwise("")
+    cited = F.concat(F.lit(" 10 CFR 50.73(a)(2)("), F.col("o_orderstatus"), F.lit(") and CFT 50. 73 (a) (2)(v"), word(key % 3), F.lit("), again 10 CFR 50.73(a)(2)("), F.col("o_orderstatus"), F.lit(")."))
+    o = proxy.table(spark, sf_dir, "orders").select(key.alias("report"), F.concat(power, mode, dated, F.lit("."), found, lost, more, cited).alias("said"))
+    n = texts.count()
+    own = o.join(texts, F.col("report") % n == F.col("doc_id"), "left")
+    return materialize(own.select(F.col("report").alias("doc_id"), F.concat(F.coalesce(F.translate("body", "0123456789%", ""), F.lit("")), F.lit("\n"), "said").alias("text")).repartition(32, "doc_id"), "reports")
+
+
+@query("report_fields", """SELECT * FROM (SELECT o_orderkey AS doc_id, 'power_level' AS field, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 101 AS VARCHAR) END AS value FROM orders UNION ALL SELECT o_orderkey, 'operating_mode', CAST(o_orderkey % 5 + 1 AS VARCHAR) FROM orders
+UNION ALL SELECT o_orderkey, 'event_date', CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM orders UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_orderkey % 7 = 0 THEN 'supplement-expected' ELSE 'final' END FROM orders
+UNION ALL SELECT o_orderkey, 'ssff', CASE WHEN o_orderkey % 6 = 0 THEN 'Y' ELSE 'not stated' END FROM orders UNION ALL SELECT o_orderkey, 'discovery', CASE o_orderkey % 4 WHEN 0 THEN 'surveillance test' WHEN 1 THEN 'inspection' WHEN 2 THEN 'operability test' ELSE 'normal operation' END FROM orders) WHERE value IS NOT NULL""")
 def report_fields(spark, sf_dir):
-    return records.report_fields(spark.createDataFrame(REPORTS, "doc_id long, text string"))
+    return records.report_fields(_reports(spark, sf_dir))
 
 
-@query("regex_citations", f"""WITH v(doc_id, text) AS (VALUES {values(REPORTS)}), f AS (SELECT doc_id, unnest(regexp_extract_all(text, 'CF[RT]\\s*50\\.?\\s*73((?:\\s*\\([a-zA-Z0-9]+\\))+)', 1)) AS m FROM v)
-SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc_id, '10 CFR 50.73' || regexp_replace(m, '\\s+', '', 'g') AS value FROM f""")
+@query("regex_citations", """SELECT DISTINCT doc_id, value FROM (SELECT o_orderkey AS doc_id, '10 CFR 50.73(a)(2)(' || o_orderstatus || ')' AS value FROM orders UNION ALL SELECT o_orderkey, '10 CFR 50.73(a)(2)(v' || o_orderkey % 3 || ')' FROM orders)""")
 def regex_citations(spark, sf_dir):
-    rows = spark.createDataFrame(REPORTS, "doc_id long, text string")
-    return rows.select("doc_id", F.explode(text.reported_under(F.col("text"))).alias("value"))
+    return _reports(spark, sf_dir).select("doc_id", F.explode(text.reported_under(F.col("text"))).alias("value"))
 
 
 _FURNITURE = "(?i)" + "|".join(text.FURNITURE_LINES).replace("'", "''")
@@ -131,10 +161,14 @@ def boilerplate_filter(spark, sf_dir):
     return docs.select("doc_id", F.size("kept").cast("bigint").alias("n_lines_kept"), F.length(F.array_join("kept", "\n")).cast("bigint").alias("n_chars"))
 
 
-@query("html_cell_extract", """SELECT page_id, regexp_extract(url, '/([0-9]+)[?]', 1) AS token, coalesce(TRY_CAST(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS INT), 0) AS revision FROM pages""")
+@query("html_cell_extract", """WITH c AS (SELECT page_id, coalesce(html, '') || '<a href="/docs/' || page_id % 97 || CASE WHEN page_id % 3 = 0 THEN 'R0' || page_id % 7 ELSE '' END || '.pdf"><strong>ML' || CASE WHEN page_id % 5 = 0 THEN '' ELSE page_id || 'A' END || '</strong></a>' AS cell FROM pages)
+SELECT page_id, nullif(regexp_extract(cell, '(ML\\w+)', 1), '') AS accession, coalesce(TRY_CAST(nullif(regexp_extract(cell, 'R(\\d+)\\.pdf', 1), '') AS INT), 0) AS revision FROM c""".replace("\\\\", "\\"))
 def html_cell_extract(spark, sf_dir):
-    revision = F.coalesce(F.nullif(F.regexp_extract("url", "page=([0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
-    return proxy.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)[?]", 1).alias("token"), revision.alias("revision"))
+    """Accessions and revisions out of the cells of a listing that end whole pages."""
+    n = F.col("page_id")
+    word = lambda c: c.cast("string")
+    cell = F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="/docs/'), word(n % 97), F.when(n % 3 == 0, F.concat(F.lit("R0"), word(n % 7))).otherwise(""), F.lit('.pdf"><strong>ML'), F.when(n % 5 == 0, "").otherwise(F.concat(word(n), F.lit("A"))), F.lit("</strong></a>"))
+    return proxy.table(spark, sf_dir, "pages").select("page_id", records.listing_cell(cell).alias("c")).select("page_id", "c.accession", "c.revision")
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -143,12 +177,19 @@ def json_props(spark, sf_dir):
     return proxy.table(spark, sf_dir, "events").select("event_id", F.from_json(text.json_object(reply), "k long")["k"].alias("k"))
 
 
-REPLIES = ['{"outcome_class": "esf-actuation", "confidence": 0.8, "reason": "start"}', 'Here: {"outcome_class": "nonsense", "confidence": 2}', "no json", '{"outcome_class": "degraded-not-lost", "confidence": 1.7}', None]
-
-
-@query("classifier_reply_validation")
+@query("classifier_reply_validation", f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 6 AS way, {proxy.OUTCOME_SQL} AS outcome, round(l_discount * 20, 2) AS conf FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN way IN (0, 1, 4) THEN outcome END AS class, CASE WHEN way IN (0, 1) THEN least(1.0, CAST(conf AS DOUBLE)) WHEN way = 4 THEN 0.0 END AS conf, CASE WHEN way IN (0, 1, 4) THEN substr('because ' || repeat('x', 400), 1, 300) END AS reason FROM r""")
 def classifier_reply_validation(spark, sf_dir):
-    return records.classifier_replies(spark.createDataFrame([(r,) for r in REPLIES], "reply string"))
+    """Replies about lines: plain, in chatter, of an unknown class, without an object, without a confidence, and cut off."""
+    con = proxy.consequences(spark, sf_dir, "l_orderkey", "l_linenumber", "l_suppkey", "l_discount")
+    way, conf = F.col("l_suppkey") % 6, F.round(F.col("l_discount") * 20, 2).cast("string")
+    said = lambda name, rest: F.concat(F.lit('{"outcome_class": "'), name, F.lit('"'), rest, F.lit(f', "reason": "because {"x" * 400}"}}'))
+    sure = F.concat(F.lit(', "confidence": '), conf)
+    reply = (
+        F.when(way == 0, said(F.col("outcome"), sure)).when(way == 1, F.concat(F.lit("Here it is:\n```json\n"), said(F.col("outcome"), sure), F.lit("\n```\nDone."))).when(way == 2, said(F.lit("nonsense"), sure))
+        .when(way == 3, "no object").when(way == 4, said(F.col("outcome"), F.lit(""))).otherwise(F.lit('{"outcome_class": "esf-act'))
+    )
+    return records.classifier_replies(con.select("l_orderkey", "l_linenumber", reply.alias("reply"))).drop("reply")
 
 
 CHUNKS = {"short": (90, 15), "medium": (180, 27), "long": (330, 50)}

@@ -119,11 +119,26 @@ def component_failures(tokens: F.Column) -> F.Column:
     return F.filter(rows, lambda r: F.coalesce(r["cause"], r["system"], r["component"], r["manufacturer"], r["reportable"]).isNotNull())
 
 
+#: Characters of a classifier's reason that are kept.
+REASON_CHARS = 300
+
+
 def classifier_replies(replies: DataFrame) -> DataFrame:
-    """(reply, class, conf): the class if it is in the taxonomy, the confidence clamped to 0..1; null where there is none."""
+    """``replies`` (reply, ...) with (class, conf, reason): the class if it is in the taxonomy, the confidence clamped to 0..1, a short reason.
+
+    All three are null where there is no class; a missing confidence is 0.
+    """
     parsed = F.from_json(text.json_object(F.col("reply")), "outcome_class string, confidence double, reason string")
     named = F.when(parsed["outcome_class"].isin([k for k, _ in taxonomy.OUTCOMES]), parsed["outcome_class"])
-    return replies.select("reply", named.alias("class"), F.when(named.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(parsed["confidence"], F.lit(0.0))))).alias("conf"))
+    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(parsed["confidence"], F.lit(0.0))))
+    known = lambda c: F.when(named.isNotNull(), c)
+    return replies.select("*", named.alias("class"), known(conf).alias("conf"), known(F.left(F.coalesce(parsed["reason"], F.lit("")), F.lit(REASON_CHARS))).alias("reason"))
+
+
+def listing_cell(cell: F.Column) -> F.Column:
+    """(accession, revision) of a listing's cell; a name without a revision is its first, 0."""
+    found = lambda pattern: F.nullif(F.regexp_extract(cell, pattern, 1), F.lit(""))
+    return F.struct(found(r"(ML\w+)").alias("accession"), F.coalesce(found(r"R(\d+)\.pdf").cast("int"), F.lit(0)).alias("revision"))
 
 
 def latest(rows: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
