@@ -149,9 +149,19 @@ def event_date(header: Column, narrative: Column, sheet: Column) -> Column:
     return F.coalesce(dated, word_date(narrative, r"Event Date[:\s]+"), word_date(header, r"Event Date[:\s]+"), word_date(narrative, r"\bOn\s+"), slash_date(sheet))
 
 
+# Patterns and words that a report's fields are read by, in the order in which they count.
+CITATION = r"CF[RT]\s*50\.?\s*73((?:\s*\([a-zA-Z0-9]+\))+)"
+MODES = (r"Reactor Mode[:\s]+(\d)", r"Operational Condition\s*\(OPCON\)\s*(\d)", r"\(OPCON\)\s*(\d)", r"\bMode\s+(\d)\b")
+POWER_LEVELS = (r"(?i)Power Level[:\s]+(\d{1,3})\s*%", r"(?i)(\d{1,3})\s*percent\s+power", r"(?i)approximately\s+(\d{1,3})\s*%", r"(?i)(\d{1,3})\s*%\s*power")
+FUNCTIONAL_FAILURES = (("safety system functional failure", "Y"), ("loss of safety function", "Y"), ("inoperability of a single train safety system", "Y"))
+DISCOVERIES = (("operability test", "operability test"), ("surveillance test", "surveillance test"), (r"\binspection\b", "inspection"))
+DATED_SUPPLEMENT = r"(?i)Expected\s+Subm\w+\s+Date\)?\s*\d{2}\s+\d{2}\s+\d{4}"
+PROMISED_SUPPLEMENT = r"(?i)supplement(?:al)?\s+(?:report|ler)\s+will\s+be\s+submitted"
+
+
 def reported_under(c: Column) -> Column:
     """Distinct citations in order of appearance, without spaces."""
-    found = F.regexp_extract_all(c, F.lit(r"CF[RT]\s*50\.?\s*73((?:\s*\([a-zA-Z0-9]+\))+)"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(CITATION), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.concat(F.lit("10 CFR 50.73"), F.regexp_replace(x, r"\s+", ""))))
 
 
@@ -159,27 +169,32 @@ def first_match(c: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns])
 
 
-def operating_mode(c: Column) -> Column:
-    return first_match(c, r"Reactor Mode[:\s]+(\d)", r"Operational Condition\s*\(OPCON\)\s*(\d)", r"\(OPCON\)\s*(\d)", r"\bMode\s+(\d)\b")
+def by_rules(c: Column, rules: tuple[tuple[str, str], ...], otherwise: str) -> Column:
+    """The value of the first rule whose pattern the text has, letters in either case."""
+    low = F.lower(c)
+    return F.coalesce(*[F.when(low.rlike(pattern), value) for pattern, value in rules], F.lit(otherwise))
+
 
+def operating_mode(*sources: Column) -> Column:
+    return F.coalesce(*[first_match(c, *MODES) for c in sources])
 
-def power_level(c: Column) -> Column:
-    return first_match(c, r"(?i)Power Level[:\s]+(\d{1,3})\s*%", r"(?i)(\d{1,3})\s*percent\s+power", r"(?i)approximately\s+(\d{1,3})\s*%", r"(?i)(\d{1,3})\s*%\s*power").cast("int")
+
+def power_level(*sources: Column) -> Column:
+    return F.coalesce(*[first_match(c, *POWER_LEVELS) for c in sources]).cast("int")
 
 
 def functional_failure(c: Column) -> Column:
-    low = F.lower(c)
-    said = low.contains("safety system functional failure") | low.contains("loss of safety function") | low.contains("inoperability of a single train safety system")
-    return F.when(said, "Y").otherwise("not stated")
+    return by_rules(c, FUNCTIONAL_FAILURES, "not stated")
 
 
 def discovery(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.contains("operability test"), "operability test").when(low.contains("surveillance test"), "surveillance test").when(low.rlike(r"\binspection\b"), "inspection").otherwise("normal operation")
+    return by_rules(c, DISCOVERIES, "normal operation")
 
 
-def report_status(c: Column) -> Column:
-    return F.when(c.rlike(r"(?i)Expected\s+Subm\w+\s+Date\)?\s*\d{2}\s+\d{2}\s+\d{4}") | c.rlike(r"(?i)supplement(?:al)?\s+(?:report|ler)\s+will\s+be\s+submitted"), "supplement-expected").otherwise("final")
+def report_status(header: Column, prose: Column) -> Column:
+    """A supplement is expected where the form dates it or the prose promises it."""
+    expected = F.coalesce(header.rlike(DATED_SUPPLEMENT), F.lit(False)) | F.coalesce(prose.rlike(PROMISED_SUPPLEMENT), F.lit(False))
+    return F.when(expected, "supplement-expected").otherwise("final")
 
 
 def prose_lines(c: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from causeway.operators.vector_store import matrix
+
 #: Numbers of a query block, at most.
 BLOCK_NUMBERS = 4 << 20
 
@@ -30,8 +32,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, exclude_
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").toArrow()
         ids = block["vec_id"].to_numpy()
-        matrix = np.array(block["embedding"].to_pylist(), np.float64).reshape(len(ids), -1)
-        shipped = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+        shipped = rows.sparkSession.sparkContext.broadcast((ids, matrix(block["embedding"])))
 
         def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             wanted, q = shipped.value
@@ -40,7 +41,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, exclude_
                 if not batch.num_rows or not len(wanted):
                     continue
                 vec, label = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                x = matrix(batch.column(1))
                 score = np.round(q @ x.T, digits)
                 if exclude_self:
                     score[wanted[:, None] == vec[None, :]] = -np.inf
@@ -66,12 +67,6 @@ def ranked_documents(hits: DataFrame) -> DataFrame:
     return best.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first")).cast("bigint").alias("rank"), "doc", "best")
 
 
-def surfaced(hits: DataFrame, threshold: float) -> DataFrame:
-    """The hits of queries whose first score reaches the threshold; the others are refused."""
-    first = F.max("score").over(Window.partitionBy("query_id"))
-    return hits.withColumn("_first", first).where(F.col("_first") >= threshold).drop("_first")
-
-
 def retrieve(queries: DataFrame, rows: DataFrame, k: int, threshold: float, exclude_self: bool = False) -> DataFrame:
     """(query_id, top_score, empty, documents) for each query: its documents (doc, best, vec_ids) in the order of their first hits.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.operators import evaluation, retrieval, vectors
-from causeway.operators.storage import materialize
+from causeway.operators import evaluation, retrieval, vector_store, vectors
+from causeway.operators.storage import materialize, new_path
 from causeway.plans import proxy
 from causeway.plans.registry import query
 from causeway.plans.shipping import ship
@@ -44,6 +44,39 @@ def vector_recall_at_k(spark, sf_dir):
     return vectors.recall_at(_hits(spark, sf_dir, max(KS)), truth, KS)
 
 
+#: Chunks that documents are ranked by.
+POOL = 1_500
+
+
+def _store(spark, sf_dir):
+    """A store of the vectors, and its hits for every twentieth of them."""
+    rows = proxy.table(spark, sf_dir, "embeddings")
+    path = new_path(spark, "store")
+    vector_store.write_store(rows.select("vec_id", "embedding", "label"), path)
+    return rows, vector_store.search(rows.where(F.col("vec_id") % EVERY == 0), path, POOL, exclude_self=True)
+
+
+_UNIT = "SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings"
+_POOL = f"WITH v AS ({_UNIT}), s AS (SELECT a.vec_id AS query_id, a.label AS own, b.vec_id, round(list_inner_product(a.u, b.u), 6) AS score FROM v a, v b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"
+
+
+@query("vector_store_topk", _POOL + f" SELECT query_id, rank, vec_id FROM r WHERE rank <= {POOL}")
+def vector_store_topk(spark, sf_dir):
+    return _store(spark, sf_dir)[1][0].select("query_id", "rank", "vec_id")
+
+
+@query("vector_pool_recall", _POOL + f""", h AS (SELECT query_id, vec_id // 4 AS doc, min(rank) AS first FROM r WHERE rank <= {POOL} GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS place FROM h),
+t AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id // 4 AS doc FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % {EVERY} = 0), k(k) AS (VALUES {', '.join(f'({k})' for k in KS)})
+SELECT t.query_id, CAST(k AS BIGINT) AS k, count(*) AS n_true, CAST(count(d.doc) FILTER (WHERE place <= k) AS DOUBLE) / count(*) AS recall FROM t LEFT JOIN d ON d.query_id = t.query_id AND d.doc = t.doc, k GROUP BY ALL""")
+def vector_pool_recall(spark, sf_dir):
+    """Documents of four vectors each, ranked by their best one among the first 1,500; those with a vector of the query's label are wanted."""
+    rows, (hits, _) = _store(spark, sf_dir)
+    owners = rows.select("vec_id", F.floor(F.col("vec_id") / 4).alias("doc"), "label")
+    asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
+    truth = asked.join(owners.select("doc", "label").distinct(), "label").select("query_id", "doc")
+    return vector_store.prefix_recall(hits, owners.select("vec_id", "doc"), truth, KS)
+
+
 @query("vector_retrieve", _SCORED + ", d AS (SELECT query_id, label, min(rank) AS first, max(score) AS best FROM r WHERE rank <= 10 GROUP BY ALL) SELECT query_id, max(best) AS top_score, max(best) < 0.5 AS empty, CASE WHEN max(best) < 0.5 THEN 0 ELSE count(*) END AS n_docs, CASE WHEN max(best) >= 0.5 THEN string_agg(CAST(label AS VARCHAR), ',' ORDER BY first) ELSE '' END AS docs FROM d GROUP BY query_id")
 def vector_retrieve(spark, sf_dir):
     ship(spark)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import taxonomy, text
+from causeway.operators import ablation
 from causeway.operators.storage import materialize
 from causeway.plans import proxy
 from causeway.plans.registry import query
-from causeway.sources import records
+from causeway.sources import forms, records
 
 
 @query("slug_keys", "SELECT p_partkey, p_name || ' / ' || p_type || ' #' || p_size || '.' AS input, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || ' #' || p_size || '.'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS output FROM part")
@@ -119,36 +120,66 @@ def outcome_phrase(spark, sf_dir):
     return docs.unionAll(named).select("doc_id", taxonomy.outcome_phrase(F.col("text")).alias("outcome"))
 
 
+#: The day that a document's report tells of, in SQL.
+_DAY = "CAST(DATE '2020-01-01' + CAST(doc_id % 1500 AS INT) AS DATE)"
+
+
 def _reports(spark, sf_dir):
-    """(doc_id, text): a report on each order, with a document's text around it."""
+    """(doc_id, text): a report at the end of each document's text, whose digits are taken out."""
     word = lambda c: c.cast("string")
-    key, d = F.col("o_orderkey"), F.col("o_orderdate")
-    texts = proxy.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    key = F.col("doc_id")
+    d = F.date_add(F.lit("2020-01-01").cast("date"), (key % 1500).cast("int"))
+    status = F.get(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (key % 3).cast("int"))
     power = F.when(key % 3 == 0, F.concat(F.lit("Power Level: "), word(key % 101), F.lit(" %."))).when(key % 3 == 1, F.concat(F.lit("It ran at "), word(key % 101), F.lit(" percent power."))).otherwise("")
     mode = F.when(key % 2 == 0, F.concat(F.lit(" Reactor Mode: "), word(key % 5 + 1))).otherwise(F.concat(F.lit(" (OPCON) "), word(key % 5 + 1)))
     dated = F.when(key % 5 < 2, F.concat(F.lit(" Event Date: "), F.date_format(d, "MMMM d, yyyy"))).when(key % 5 < 4, F.concat(F.lit(" On "), F.date_format(d, "MMMM dd yyyy"), F.lit(" it began."))).otherwise("")
     found = F.when(key % 4 == 0, " A surveillance test showed it.").when(key % 4 == 1, " An inspection showed it.").when(key % 4 == 2, " An operability test, then a surveillance test.").otherwise("")
     lost = F.when(key % 6 == 0, " There was a loss of safety function.").otherwise("")
     more = F.when(key % 7 == 0, " A supplemental report will be submitted.").otherwise("")
-    cited = F.concat(F.lit(" 10 CFR 50.73(a)(2)("), F.col("o_orderstatus"), F.lit(") and CFT 50. 73 (a) (2)(v"), word(key % 3), F.lit("), again 10 CFR 50.73(a)(2)("), F.col("o_orderstatus"), F.lit(")."))
-    o = proxy.table(spark, sf_dir, "orders").select(key.alias("report"), F.concat(power, mode, dated, F.lit("."), found, lost, more, cited).alias("said"))
-    n = texts.count()
-    own = o.join(texts, F.col("report") % n == F.col("doc_id"), "left")
-    return materialize(own.select(F.col("report").alias("doc_id"), F.concat(F.coalesce(F.translate("body", "0123456789%", ""), F.lit("")), F.lit("\n"), "said").alias("text")).repartition(32, "doc_id"), "reports")
+    cited = F.concat(F.lit(" 10 CFR 50.73(a)(2)("), status, F.lit(") and CFT 50. 73 (a) (2)(v"), word(key % 3), F.lit("), again 10 CFR 50.73(a)(2)("), status, F.lit(")."))
+    body = F.translate(F.coalesce("text", F.lit("")), "0123456789%", "")
+    return materialize(proxy.table(spark, sf_dir, "documents").select("doc_id", F.concat(body, F.lit("\n"), power, mode, dated, F.lit("."), found, lost, more, cited).alias("text")), "reports")
 
 
-@query("report_fields", """SELECT * FROM (SELECT o_orderkey AS doc_id, 'power_level' AS field, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 101 AS VARCHAR) END AS value FROM orders UNION ALL SELECT o_orderkey, 'operating_mode', CAST(o_orderkey % 5 + 1 AS VARCHAR) FROM orders
-UNION ALL SELECT o_orderkey, 'event_date', CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM orders UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_orderkey % 7 = 0 THEN 'supplement-expected' ELSE 'final' END FROM orders
-UNION ALL SELECT o_orderkey, 'ssff', CASE WHEN o_orderkey % 6 = 0 THEN 'Y' ELSE 'not stated' END FROM orders UNION ALL SELECT o_orderkey, 'discovery', CASE o_orderkey % 4 WHEN 0 THEN 'surveillance test' WHEN 1 THEN 'inspection' WHEN 2 THEN 'operability test' ELSE 'normal operation' END FROM orders) WHERE value IS NOT NULL""")
+@query("report_fields", f"""SELECT * FROM (SELECT doc_id, 'power_level' AS field, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id % 101 AS VARCHAR) END AS value FROM documents UNION ALL SELECT doc_id, 'operating_mode', CAST(doc_id % 5 + 1 AS VARCHAR) FROM documents
+UNION ALL SELECT doc_id, 'event_date', CASE WHEN doc_id % 5 < 4 THEN strftime({_DAY}, '%Y-%m-%d') END FROM documents UNION ALL SELECT doc_id, 'status', CASE WHEN doc_id % 7 = 0 THEN 'supplement-expected' ELSE 'final' END FROM documents
+UNION ALL SELECT doc_id, 'ssff', CASE WHEN doc_id % 6 = 0 THEN 'Y' ELSE 'not stated' END FROM documents UNION ALL SELECT doc_id, 'discovery', CASE doc_id % 4 WHEN 0 THEN 'surveillance test' WHEN 1 THEN 'inspection' WHEN 2 THEN 'operability test' ELSE 'normal operation' END FROM documents) WHERE value IS NOT NULL""")
 def report_fields(spark, sf_dir):
     return records.report_fields(_reports(spark, sf_dir))
 
 
-@query("regex_citations", """SELECT DISTINCT doc_id, value FROM (SELECT o_orderkey AS doc_id, '10 CFR 50.73(a)(2)(' || o_orderstatus || ')' AS value FROM orders UNION ALL SELECT o_orderkey, '10 CFR 50.73(a)(2)(v' || o_orderkey % 3 || ')' FROM orders)""")
+@query("regex_citations", """SELECT DISTINCT doc_id, value FROM (SELECT doc_id, '10 CFR 50.73(a)(2)(' || ['F', 'O', 'P'][1 + doc_id % 3] || ')' AS value FROM documents UNION ALL SELECT doc_id, '10 CFR 50.73(a)(2)(v' || doc_id % 3 || ')' FROM documents)""")
 def regex_citations(spark, sf_dir):
     return _reports(spark, sf_dir).select("doc_id", F.explode(text.reported_under(F.col("text"))).alias("value"))
 
 
+#: The lines of the block of failures by the remainder of the document's id: two whole rows, one and a rest, a short row, no end, nothing, a code alone.
+_BLOCKS = ("B BJ P G080 Yes\nX BK V N/A no", "E BD RLY C770 n trailing", "C BN y", "D BN P W120 y", "n/a", "TBD")
+_ROWS = ("B/BJ/P/G080/Y+X/BK/V//N", "E/BD/RLY/C770/N", "C/BN///Y", "", "", "TBD////")
+
+
+@query("form_fields", f"""WITH b AS (SELECT doc_id, {list(_ROWS)}[1 + doc_id % 6] AS rows FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 'Pump ' || doc_id || ' failed' ELSE 'Listed ' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 5 + 1 AS VARCHAR) ELSE '3' END AS operating_mode,
+CAST(CASE doc_id % 3 WHEN 2 THEN 11 ELSE doc_id % 101 END AS INT) AS power_level, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'supplement-expected' ELSE 'final' END AS status, CASE WHEN doc_id % 8 = 0 THEN '2021-03-04' ELSE strftime({_DAY}, '%Y-%m-%d') END AS event_date,
+CASE WHEN doc_id % 9 = 0 THEN '10 CFR 50.73(a)(2)(iv)' ELSE '' END AS reported_under, rows AS failures, CASE WHEN rows = '' THEN 'TBD' ELSE split_part(rows, '/', 1) END AS cause_code FROM b""")
+def form_fields(spark, sf_dir):
+    """Whole forms around each document's text: fields stand in one region or another, and the header says other things than the prose."""
+    key, word = F.col("doc_id"), lambda c: c.cast("string")
+    d = F.date_add(F.lit("2020-01-01").cast("date"), (key % 1500).cast("int"))
+    t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    cover = F.when(key % 4 < 3, t("Dear reader\nSubject: LER 2024-001, \"Pump ", word(key), "\nfailed\"\n\n")).otherwise("Dear reader\n\n")
+    block = t("13. Complete One Line for each Component Failure Described\nCause System Component Manufacturer Reportable to IRIS\n", F.get(F.array(*[F.lit(b) for b in _BLOCKS]), (key % 6).cast("int")), "\n", F.when(key % 6 != 3, "\n 14. Supplemental\n").otherwise("15. other\n"))
+    header = t("NRC FORM 366\nPower Level: 11 %\n(OPCON) 3 [x] 10 CFR 50.73(a)(2)(i)\n", block, F.when(key % 5 == 0, "Expected Submission Date 01 02 2025\n").otherwise(""))
+    abstract = t("16. Abstract (limit)\n", F.when(key % 3 == 1, t("It ran at ", word(key % 101), " percent power.\n")).otherwise("It ran.\n"))
+    body = F.translate(F.coalesce("text", F.lit("")), "0123456789%", "")
+    dated = F.when(key % 8 != 0, t("On ", F.date_format(d, "MMMM d, yyyy"), " it began.")).otherwise("")
+    narrative = t("NRC FORM 366A\n", body, "\n", dated, F.when(key % 2 == 0, t(" Reactor Mode: ", word(key % 5 + 1))).otherwise(""), F.when(key % 3 == 0, t(" Power Level: ", word(key % 101), " %")).otherwise(""), F.when(key % 7 == 0, " A supplemental LER will be submitted.").otherwise(""), F.when(key % 9 == 0, " under 10 CFR 50.73(a)(2)(iv)").otherwise(""))
+    made = proxy.table(spark, sf_dir, "documents").select("doc_id", t(cover, header, abstract, narrative).alias("text"), t("LER 9 for North, Unit 2, Listed ", word(key)).alias("listed"), F.lit("3/4/21").alias("sheet"))
+    got = forms.form_fields(materialize(made, "forms"), listed_title="listed", listed_date="sheet").select("doc_id", "form.*")
+    row = lambda x: F.concat_ws("/", *[F.coalesce(x[c], F.lit("")) for c in ("cause", "system", "component", "manufacturer", "reportable")])
+    return got.select("doc_id", "title", "operating_mode", "power_level", "status", "event_date", F.array_join("reported_under", ",").alias("reported_under"), F.array_join(F.transform("block_13", row), "+").alias("failures"), "cause_code")
+
+
 _FURNITURE = "(?i)" + "|".join(text.FURNITURE_LINES).replace("'", "''")
 _NOTICE = " OR ".join(f"contains(lower(x), '{w}')" for w in text.NOTICE_WORDS)
 
@@ -212,3 +243,48 @@ def chunk_ablation_counts(spark, sf_dir):
     docs = proxy.table(spark, sf_dir, "documents")
     sizes = docs.agg(*[F.sum(F.size(text.chunks(F.col("text"), *v))).alias(k) for k, v in CHUNKS.items()])
     return sizes.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, CHUNKS)), F.array(*CHUNKS))).alias("config", "n_chunks"))
+
+
+MAKERS = (ablation.Maker("words", 256), ablation.Maker("pairs", 512, 2))
+ABLATION_KS = (1, 8)
+#: Words of an item by which the documents that hold it are told.
+HEAD = 12
+
+
+def _digested(source: str, key: str, maker: ablation.Maker) -> str:
+    """SQL of unit vectors by digests: rows of ``source`` (key, w)."""
+    run = "lower(w[k])" if maker.run == 1 else "lower(w[k]) || ' ' || lower(w[k + 1])"
+    return f"""SELECT {key}, place, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM (SELECT {key}, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {maker.width} AS place, CAST(sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS n
+ FROM (SELECT {key}, md5({run}) AS h FROM (SELECT {key}, w, unnest(range(1, len(w) + {2 - maker.run})) AS k FROM {source})) GROUP BY ALL)"""
+
+
+def _ablation_sql() -> str:
+    split = "list_filter(string_split_regex(trim(coalesce(text, '')), '\\s+'), lambda x: x <> '')".replace("\\\\", "\\")
+    cut = lambda size, overlap: f"SELECT doc_id, i AS chunk_ix, w[1 + i * {size - overlap} : i * {size - overlap} + {size}] AS w FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(w) - {overlap}) / {size - overlap}) AS BIGINT)) END)) AS i FROM d)"
+    parts = [f"d AS (SELECT doc_id, {split} AS w FROM documents)", f"q AS (SELECT item_id, {split} AS w FROM benchmark)", *[f"c_{name} AS ({cut(*size)})" for name, size in CHUNKS.items()]]
+    parts += [f"q_{m.name} AS ({_digested('q', 'item_id', m)})" for m in MAKERS]
+    scored = " UNION ALL ".join(
+        f"SELECT '{name}' AS config, '{m.name}' AS maker, a.item_id, v.doc_id, v.chunk_ix, sum(a.x * v.x) AS score FROM ({_digested(f'c_{name}', 'doc_id, chunk_ix', m)}) v JOIN q_{m.name} a USING (place) GROUP BY ALL" for name in CHUNKS for m in MAKERS
+    )
+    parts += [f"s AS ({scored})", "al AS (SELECT config, maker, item_id, doc_id, chunk_ix, 0.0 AS score FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS config, doc_id, chunk_ix FROM c_{n}" for n in CHUNKS) + f") CROSS JOIN (VALUES {', '.join(f'({m.name!r})' for m in MAKERS)}) m(maker) CROSS JOIN (SELECT item_id FROM benchmark))"]
+    parts += ["f AS (SELECT config, maker, item_id, doc_id, chunk_ix, round(sum(score), 6) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM al) GROUP BY ALL)", "r AS (SELECT *, row_number() OVER (PARTITION BY config, maker, item_id ORDER BY score DESC, doc_id, chunk_ix) AS rank FROM f)"]
+    parts += [f"t AS (SELECT item_id, doc_id FROM q JOIN d ON len(q.w) > 0 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(q.w[1:{HEAD}], ' ') || ' '))", f"ks(k) AS (VALUES {', '.join(f'({k})' for k in ABLATION_KS)})"]
+    parts += ["h AS (SELECT config, maker, item_id, k, count(DISTINCT r.doc_id) FILTER (WHERE rank <= k AND t.doc_id IS NOT NULL) AS hit FROM r LEFT JOIN t USING (item_id, doc_id), ks GROUP BY ALL)", "w AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1)"]
+    return "WITH " + ", ".join(parts) + " SELECT config, maker, CASE WHEN coalesce(n, 0) > 1 THEN 'cross-doc' WHEN n = 1 THEN 'lookup' ELSE 'negative' END AS bucket, CAST(k AS BIGINT) AS k, count(*) AS n, avg(CASE WHEN n > 0 THEN CAST(hit AS DOUBLE) / n ELSE 0.0 END) AS recall FROM h LEFT JOIN w USING (item_id) GROUP BY config, maker, bucket, k"
+
+
+@query("ablation_grid", _ablation_sql())
+def ablation_grid(spark, sf_dir):
+    """Three ways of cutting, two of making vectors: do benchmark items find the documents that hold their first twelve words?"""
+    docs = proxy.table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = proxy.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
+    hits = ablation.search(ablation.chunk_table(docs, CHUNKS, MAKERS), items, MAKERS, max(ABLATION_KS))
+    words = lambda c: F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    heads = items.select("question", F.slice(words(F.col("text")), 1, HEAD).alias("head")).where("size(head) > 0").select("question", "head", F.xxhash64("head").alias("hash"))
+    sizes = [r["n"] for r in heads.select(F.size("head").alias("n")).distinct().collect()]  # at most HEAD numbers
+    windows = lambda w: F.flatten(F.array(F.array().cast("array<bigint>"), *[F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k, n=n: F.xxhash64(F.slice(w, k, n)))).otherwise(F.array().cast("array<bigint>")) for n in sizes]))
+    held = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(windows(F.col("w")))).alias("hash"))
+    found = held.join(heads.select("question", "hash"), "hash").groupBy("question").agg(F.collect_set("doc_id").alias("docs"))
+    wanted = items.join(found, "question", "left").select("question", F.coalesce("docs", F.array().cast("array<bigint>")).alias("docs"))
+    bucket = F.when(F.size("docs") > 1, "cross-doc").when(F.size("docs") == 1, "lookup").otherwise("negative")
+    return ablation.recall_by_bucket(hits, wanted.withColumn("bucket", bucket), ABLATION_KS)

@@ -100,7 +100,7 @@ def normalize_stub_keys(rows: DataFrame, plants: DataFrame) -> DataFrame:
 def report_fields(reports: DataFrame) -> DataFrame:
     """(doc_id, field, value) of the fields found in a report's text."""
     c = F.col("text")
-    fields = {"power_level": text.power_level(c).cast("string"), "operating_mode": text.operating_mode(c), "event_date": text.event_date(c, c, F.lit(None).cast("string")), "status": text.report_status(c), "ssff": text.functional_failure(c), "discovery": text.discovery(c)}
+    fields = {"power_level": text.power_level(c).cast("string"), "operating_mode": text.operating_mode(c), "event_date": text.event_date(c, c, F.lit(None).cast("string")), "status": text.report_status(c, c), "ssff": text.functional_failure(c), "discovery": text.discovery(c)}
     rows = reports.where("text IS NOT NULL").select("doc_id", F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()]).alias("f"))
     return rows.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.field", "f.value").where("value IS NOT NULL")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from causeway.functions import fuzzy, text
 from causeway.operators import facets
 from causeway.operators.facets import FacetQuery, Filter
-from causeway.sources import records
+from causeway.sources import forms, records
 
 
 def one(spark, column):
@@ -135,3 +135,17 @@ def test_short_rows_and_upserts(spark):
     assert got == [[("B", None, None, None, "N")], [("B", "BJ", None, None, "N")], [("X", "BN", None, None, None)]]
     old, new = spark.createDataFrame([(1, "o", 0), (2, "o", 0)], "k int, v string, at int"), spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, v string, at int")
     assert sorted((r.k, r.v) for r in records.upsert(old, new, ["k"], F.desc("at")).collect()) == [(1, "b"), (2, "o")]
+
+
+def test_block_of_failures(spark):
+    """A line that begins the block belongs to what is before it; the next block's line ends it only after a first line."""
+    named = "Complete One Line for EACH Component Failure x"
+    cases = {
+        f"a\n{named}\nB BJ\n  14. next\nz": ["B BJ"], f"{named}\n14. kept\nmore\n14.": ["14. kept", "more"], f"{named}\n\n14.": [""], f"{named}\nB\nno end": [], "14. only\nnothing": [],
+        f"{named}\n{named}\nB\n14.\n{named}\nC\n14.": [named, "B"], named: [], "": [], None: [],
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "id int, t string")
+    got = {r.id: r.f for r in rows.select("id", forms.failure_lines(F.col("t")).alias("f")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    form = forms.form_fields(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
+    assert all(r.form.block_13 == [] and r.form.cause_code == "TBD" and r.form.status == "final" and r.form.power_level is None for r in form)
