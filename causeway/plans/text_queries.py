@@ -282,7 +282,9 @@ def ablation_grid(spark, sf_dir):
     words = lambda c: F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
     heads = items.select("question", F.slice(words(F.col("text")), 1, HEAD).alias("head")).where("size(head) > 0").select("question", "head", F.xxhash64("head").alias("hash"))
     sizes = [r["n"] for r in heads.select(F.size("head").alias("n")).distinct().collect()]  # at most HEAD numbers
-    windows = lambda w: F.flatten(F.array(F.array().cast("array<bigint>"), *[F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k, n=n: F.xxhash64(F.slice(w, k, n)))).otherwise(F.array().cast("array<bigint>")) for n in sizes]))
+    nothing = F.array().cast("array<bigint>")
+    of = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k: F.xxhash64(F.slice(w, k, n)))).otherwise(nothing)
+    windows = lambda w: F.flatten(F.array(nothing, *[of(w, n) for n in sizes]))
     held = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(windows(F.col("w")))).alias("hash"))
     found = held.join(heads.select("question", "hash"), "hash").groupBy("question").agg(F.collect_set("doc_id").alias("docs"))
     wanted = items.join(found, "question", "left").select("question", F.coalesce("docs", F.array().cast("array<bigint>")).alias("docs"))
