@@ -32,14 +32,14 @@ def entity_outcomes(entity_events: DataFrame, worst: DataFrame, *keys: str) -> D
 
 
 def stats(counts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n_events, n_classified, mass, expected_severity, small_sample, modal) from entity outcome counts."""
+    """(keys, n_events, n_classified, mass, modal, expected_severity, small_sample, coverage) from entity outcome counts."""
     keys = keys or ("entity",)
     classed = F.col("outcome").isNotNull()
     mass = F.sum(F.when(classed, F.col("n") * severity(F.col("outcome"))).otherwise(0))
     n_classified = F.sum(F.when(classed, F.col("n")).otherwise(0))
     modal = F.max_by("outcome", F.when(classed, F.struct(F.col("n"), weight(F.col("outcome")))))
     out = counts.groupBy(*keys).agg(F.sum("n").alias("n_events"), n_classified.alias("n_classified"), mass.cast("bigint").alias("mass"), modal.alias("modal"))
-    return out.withColumn("expected_severity", F.when(F.col("n_classified") == 0, 0.0).otherwise(F.col("mass") / F.col("n_classified"))).withColumn("small_sample", F.col("n_classified") <= SMALL_SAMPLE)
+    return out.withColumn("expected_severity", F.when(F.col("n_classified") == 0, 0.0).otherwise(F.col("mass") / F.col("n_classified"))).withColumns({"small_sample": F.col("n_classified") <= SMALL_SAMPLE, "coverage": F.col("n_classified") / F.col("n_events")})
 
 
 def distribution(entity_events: DataFrame, worst: DataFrame) -> DataFrame:

@@ -95,6 +95,11 @@ def recall_at(hits: DataFrame, truth: DataFrame, ks: tuple[int, ...]) -> DataFra
     return counts.select("query_id", "n_true", each.alias("e")).select("query_id", "e.k", F.when(F.col("n_true") > 0, F.col("e.found") / F.col("n_true")).alias("recall"))
 
 
+def score_ranges(first_scores: DataFrame) -> DataFrame:
+    """(negative, n, lowest, highest) of the first scores of questions with and without an answer."""
+    return first_scores.groupBy("negative").agg(F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+
+
 def refusal_curve(first_scores: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(threshold, neg_refused, pos_retained) from (negative, score) of each query's first hit; one pass for all thresholds."""
     share = lambda hit, which: F.avg(F.when(which, F.when(hit, 1.0).otherwise(0.0)))

@@ -99,6 +99,12 @@ def vector_refusal_curve(spark, sf_dir):
     return vectors.refusal_curve(_hits(spark, sf_dir, 1).join(own, "query_id").select("negative", "score"), THRESHOLDS)
 
 
+@query("vector_score_ranges", _SCORED + " SELECT own % 2 = 1 AS negative, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM r WHERE rank = 1 GROUP BY 1")
+def vector_score_ranges(spark, sf_dir):
+    own = proxy.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2 == 1).alias("negative"))
+    return vectors.score_ranges(_hits(spark, sf_dir, 1).join(own, "query_id").select("negative", "score"))
+
+
 _SETS = "WITH pred AS (SELECT DISTINCT l_returnflag AS type, l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_tax >= 0.02), gold AS (SELECT DISTINCT l_returnflag AS type, l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 10)"
 _PRF = 'CAST(tp AS DOUBLE) / pred AS p, CAST(tp AS DOUBLE) / "true" AS r, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * (CAST(tp AS DOUBLE) / pred) * (CAST(tp AS DOUBLE) / "true") / (CAST(tp AS DOUBLE) / pred + CAST(tp AS DOUBLE) / "true") END AS f1'
 

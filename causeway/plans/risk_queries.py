@@ -66,9 +66,13 @@ st AS (SELECT entity_type, entity, count(*) AS n_events, count(worst) AS n_class
 
 
 def entity_events(spark, sf_dir):
-    one = lambda df, kind, name: df.select(F.lit(kind).alias("entity_type"), F.col(name).alias("entity"), "event_key")
+    """(entity_type, entity, event_key); systems and components of a line come from one reading of it."""
+    li, part = proxy.table(spark, sf_dir, "lineitem"), proxy.table(spark, sf_dir, "part")
+    kind = lambda name, c: F.struct(F.lit(name).alias("entity_type"), F.col(c).alias("entity"))
+    both = F.explode(F.array(kind("System", "p_brand"), kind("Component", "p_name")))
+    parts = li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("event_key"), both.alias("e")).select("e.*", "event_key").distinct()
     causes = proxy.causes(spark, sf_dir).where(F.col("category") != proxy.PROVISIONAL)
-    return one(proxy.systems(spark, sf_dir), "System", "system").unionAll(one(proxy.components(spark, sf_dir), "Component", "component")).unionAll(one(causes, "Cause", "category"))
+    return parts.unionAll(causes.select(F.lit("Cause").alias("entity_type"), F.col("category").alias("entity"), "event_key"))
 
 
 def _stats(spark, sf_dir):
@@ -76,7 +80,7 @@ def _stats(spark, sf_dir):
     return counts, risk.stats(counts, "entity_type", "entity")
 
 
-@query("entity_stats_all", proxy.SQL + _ENT + "SELECT *, CASE WHEN n_classified = 0 THEN 0.0 ELSE CAST(mass AS DOUBLE) / n_classified END AS expected_severity, n_classified <= 5 AS small_sample FROM st")
+@query("entity_stats_all", proxy.SQL + _ENT + "SELECT *, CASE WHEN n_classified = 0 THEN 0.0 ELSE CAST(mass AS DOUBLE) / n_classified END AS expected_severity, n_classified <= 5 AS small_sample, CAST(n_classified AS DOUBLE) / n_events AS coverage FROM st")
 def entity_stats_all(spark, sf_dir):
     return _stats(spark, sf_dir)[1].drop("modal")
 
