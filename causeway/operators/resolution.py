@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import fuzzy, text
+from causeway.sources.records import file_order
 
 # Acronyms, names and codes met in reports and absent from the dimension.
 SYSTEM_ACRONYMS = {"CS": "BM"}
@@ -26,7 +27,7 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     """(kind, code, name, acronyms, pos) of the coded dimension, trimmed, in file order."""
     rows = spark.read.option("header", True).csv(path)
     known = F.filter(F.transform(F.split(F.coalesce("acronyms", F.lit("")), r"\|"), lambda a: F.upper(F.trim(a))), lambda a: a != "")
-    return rows.select(F.trim("type").alias("kind"), F.trim("eiis_code").alias("code"), F.col("canonical_name").alias("name"), known.alias("acronyms"), F.monotonically_increasing_id().alias("pos"))
+    return rows.select(F.trim("type").alias("kind"), F.trim("eiis_code").alias("code"), F.col("canonical_name").alias("name"), known.alias("acronyms"), file_order().alias("pos"))
 
 
 def _named(values: dict[str, str], key: Column) -> Column:

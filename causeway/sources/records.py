@@ -71,9 +71,14 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("accession"), F.col("value").alias("text"))
 
 
+def file_order() -> F.Column:
+    """Where a row of a reader stands: by file, then by part of the file, then within the part, so the order is that of the lines of each file."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_accessions(spark: SparkSession, path: str) -> DataFrame:
     """Distinct lines in the order of their first appearance."""
-    lines = spark.read.text(path).select(F.trim("value").alias("accession"), F.monotonically_increasing_id().alias("pos")).where("accession <> ''")
+    lines = spark.read.text(path).select(F.trim("value").alias("accession"), file_order().alias("pos")).where("accession <> ''")
     return lines.groupBy("accession").agg(F.min("pos").alias("pos"))
 
 
@@ -159,7 +164,7 @@ def latest_filings(rows: DataFrame) -> DataFrame:
 
 def read_sheet_dates(spark: SparkSession, path: str) -> DataFrame:
     """(accession, event_date) of a listing with dates as m/d/y; the last readable date of an accession counts."""
-    rows = spark.read.option("header", True).csv(path).withColumn("pos", F.monotonically_increasing_id())
+    rows = spark.read.option("header", True).csv(path).withColumn("pos", file_order())
     date = text.slash_date(F.regexp_extract(F.trim("event_date"), r"^(\d{1,2}/\d{1,2}/\d{2,4})", 1))
     dated = rows.select("accession", date.alias("event_date"), "pos").where("accession <> '' AND event_date IS NOT NULL")
     return dated.groupBy("accession").agg(F.max_by("event_date", "pos").alias("event_date"))

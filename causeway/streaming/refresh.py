@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from causeway.operators.storage import remove
 from causeway.sources.records import overwrite
 
 
@@ -17,7 +18,7 @@ def event_trend(events: DataFrame, late: str = "10 minutes", width: str = "1 hou
 def keep_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep (entity, outcome, n) under ``path``/<batch>, one version per batch; an event contributes once, so counts only add up.
 
-    A batch that is retried writes the same version again, from the version before it.
+    A batch that is retried writes the same version again, from the version before it; versions before that one are removed.
     """
     spark = stream.sparkSession
 
@@ -26,6 +27,8 @@ def keep_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         if number:
             fresh = latest_counts(spark, path, number).unionByName(fresh).groupBy("entity", "outcome").agg(F.sum("n").alias("n"))
         overwrite(fresh, f"{path}/{number}", yes=True)
+        if number > 1:  # the one before is what a retry of this batch starts from
+            remove(spark, f"{path}/{number - 2}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

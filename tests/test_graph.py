@@ -179,10 +179,11 @@ def test_sinks(spark, tmp_path):
 def test_stream_counts(spark, tmp_path):
     source, out = str(tmp_path / "src"), str(tmp_path / "out")
     schema = "entity string, outcome string"
-    for k in range(2):
+    for k in range(4):
         spark.createDataFrame([("s", "x"), ("s", "y")], schema).write.mode("append").parquet(source)
         refresh.keep_counts(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp")).awaitTermination()
         assert {(r.outcome, r.n) for r in refresh.latest_counts(spark, out, k + 1).collect()} == {("x", k + 1), ("y", k + 1)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["2", "3"]  # older versions are gone
 
 
 def test_intents(spark, tmp_path):

@@ -7,6 +7,18 @@ def test_sheet_dates(spark, tmp_path):
     assert [tuple(r) for r in records.read_sheet_dates(spark, f"{tmp_path}/s.csv").collect()] == [("A", "2023-03-04")]
 
 
+def test_order_is_that_of_files_and_lines(spark, tmp_path):
+    """Files are read largest first and cut into parts, whose numbers say nothing of their order."""
+    (tmp_path / "a.txt").write_text("x1\n \nx2\nx1\n")
+    (tmp_path / "b.txt").write_text("\n".join(f"y{k}" for k in range(4000)) + "\nx2\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    got = [r.accession for r in records.read_accessions(spark, f"{tmp_path}/*.txt").orderBy("pos").collect()]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == ["x1", "x2", *[f"y{k}" for k in range(4000)]]
+
+
 def test_latest_filings(spark):
     rows = [(1, "x", "A", 0), (2, "y", "A", 0), (3, "x", "B", 1), (4, "z", "A", 0), (5, "x", "C", 1), (6, "", "D", 0), (7, "w", None, 0)]
     got = records.latest_filings(spark.createDataFrame(rows, "pos long, report string, accession string, revision long"))
