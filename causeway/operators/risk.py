@@ -99,6 +99,13 @@ def coded(causes: DataFrame, provisional: str) -> DataFrame:
     return causes.where(F.col("category") != provisional).groupBy("event_key").agg(F.min("category").alias("cause"))
 
 
+def event_chains(events: DataFrame, entity_events: DataFrame, cause_of: DataFrame, worst: DataFrame) -> DataFrame:
+    """(event_key, entities, cause, worst) of every event: what transitions are summed from. Entities are sorted and may be none."""
+    entities = entity_events.groupBy("event_key").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
+    rows = events.select("event_key").distinct().join(entities, "event_key", "left").join(cause_of.select("event_key", "cause"), "event_key", "left").join(worst.select("event_key", "worst"), "event_key", "left")
+    return rows.select("event_key", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), "cause", "worst")
+
+
 def transitions(rows: DataFrame, source: str, target: str) -> DataFrame:
     """(source, target, n, total, p) from distinct (event_key, source, target)."""
     counts = rows.select("event_key", source, target).distinct().groupBy(source, target).agg(F.count("*").alias("n"))

@@ -134,6 +134,13 @@ co AS (SELECT *, CAST(sum(n) OVER (PARTITION BY cause) AS BIGINT) AS total FROM
 _SYS = _EC.format(name="system", tab="sys")
 
 
+@query("per_event_chains", proxy.SQL + """SELECT event_key, coalesce((SELECT string_agg(system, ',' ORDER BY system) FROM sys WHERE sys.event_key = ev.event_key), '') AS entities, CASE WHEN category <> 'NOT SPECIFIED' THEN category END AS cause, worst FROM ev LEFT JOIN worst USING (event_key)""")
+def per_event_chains(spark, sf_dir):
+    systems = proxy.systems(spark, sf_dir).withColumnRenamed("system", "entity")
+    made = risk.event_chains(proxy.events(spark, sf_dir), systems, risk.coded(proxy.causes(spark, sf_dir), proxy.PROVISIONAL), risk.worst_outcomes(proxy.consequences(spark, sf_dir)))
+    return made.withColumn("entities", F.array_join("entities", ","))
+
+
 @query("transitions_entity_cause", proxy.SQL + _SYS + 'SELECT entity AS "from", cause AS "to", n, total, CAST(n AS DOUBLE) / total AS p FROM ec')
 def transitions_entity_cause(spark, sf_dir):
     cause = risk.coded(proxy.causes(spark, sf_dir), proxy.PROVISIONAL)
