@@ -7,7 +7,7 @@ that a code gives are matched by it, the first of each side; others by their nam
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import fuzzy, text
 from causeway.operators.evaluation import prf
+from causeway.operators.storage import materialize
 from causeway.plans.shipping import ship
 
 # Types whose nodes have names and no codes.
@@ -22,6 +23,8 @@ NAMED = ("FailureMode", "Consequence", "CorrectiveAction", "RegulatoryReference"
 CODED = ("System", "Component")
 #: Least score of two names.
 CUTOFF = 85.0
+#: Nodes of a record, of both sides, that are aligned in one pass.
+HELD = 256
 # The fields of a record that are compared.
 IDENTITY_FIELDS = ("event_date", "report_date", "operating_mode", "power_level", "status", "revision", "ens_number", "ens_date", "ens_time")
 
@@ -31,63 +34,126 @@ def by_name(kind: Column, code: Column) -> Column:
     return kind.isin(*NAMED) | (kind.isin(*CODED) & code.isNull())
 
 
-def _greedy(pairs: DataFrame) -> DataFrame:
-    """(record, pred, gold): best score first, then the first predicted, then the first curated node; each node once.
+def _best_first(pairs: Iterable[tuple[float, list, list]]) -> list[tuple[int, int]]:
+    """(pred, gold) of one record and type: best score first, then the first predicted, then the first curated node; each node once.
 
-    ``pairs``: (record, type, score, preds, golds), two names with the places of their nodes. Pairs stream through a task record by
-    record in the order of their scores, so copies of a name make no pairs of nodes and memory holds what a record has used.
+    ``pairs``: (score, preds, golds), two names with the places of their nodes, in the order of their scores. Copies of a name make no
+    pairs of nodes, and what is held is what has been used.
     """
-    ship(pairs.sparkSession)
+    used_pred: set = set()
+    used_gold: set = set()
+    out = []
+    for _, tied in itertools.groupby(pairs, key=lambda r: r[0]):
+        classes = [(sorted(p), sorted(g)) for _, p, g in tied]
+        wanted: dict = {}
+        for k, (preds, _) in enumerate(classes):
+            for p in preds:
+                wanted.setdefault(p, []).append(k)
+        ahead = [0] * len(classes)
+        for p in sorted(wanted):
+            if p in used_pred:
+                continue
+            best = None
+            for k in wanted[p]:
+                golds = classes[k][1]
+                while ahead[k] < len(golds) and golds[ahead[k]] in used_gold:
+                    ahead[k] += 1
+                if ahead[k] < len(golds) and (best is None or golds[ahead[k]] < best):
+                    best = golds[ahead[k]]
+            if best is not None:
+                used_pred.add(p)
+                used_gold.add(best)
+                out.append((p, best))
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+
+
+def _matches(found: Iterator[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batches of (record, pred, gold)."""
+    while some := list(itertools.islice(found, 1 << 14)):
+        record, pred, gold = zip(*some, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(record, kind), pa.array(pred, pa.int64()), pa.array(gold, pa.int64())], ["record", "pred", "gold"])
+
+
+def _kind(df: DataFrame) -> tuple[pa.DataType, str]:
+    name = df.schema["record"].dataType.simpleString()
+    return (pa.int64() if name == "bigint" else pa.string()), f"record {name}, pred long, gold long"
+
+
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """(record, pred, gold) of ``pairs`` (record, type, score, preds, golds), which stream through a task record by record."""
     ordered = pairs.repartition("record", "type").sortWithinPartitions("record", "type", F.desc("score")).select("record", "type", "score", "preds", "golds")
+    kind, schema = _kind(ordered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
-        for (record, _), own in itertools.groupby(rows, key=lambda r: r[:2]):
-            used_pred: set = set()
-            used_gold: set = set()
-            out = []
-            for _, tied in itertools.groupby(own, key=lambda r: r[2]):
-                classes = [(sorted(p), sorted(g)) for *_, p, g in tied]
-                wanted: dict = {}
-                for k, (preds, _) in enumerate(classes):
-                    for p in preds:
-                        wanted.setdefault(p, []).append(k)
-                ahead = [0] * len(classes)
-                for p in sorted(wanted):
-                    if p in used_pred:
-                        continue
-                    best = None
-                    for k in wanted[p]:
-                        golds = classes[k][1]
-                        while ahead[k] < len(golds) and golds[ahead[k]] in used_gold:
-                            ahead[k] += 1
-                        if ahead[k] < len(golds) and (best is None or golds[ahead[k]] < best):
-                            best = golds[ahead[k]]
-                    if best is not None:
-                        used_pred.add(p)
-                        used_gold.add(best)
-                        out.append((p, best))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([record] * len(out), kind), pa.array([p for p, _ in out], pa.int64()), pa.array([g for _, g in out], pa.int64())], ["record", "pred", "gold"])
-
-    kind = pa.int64() if ordered.schema["record"].dataType.simpleString() == "bigint" else pa.string()
-    return ordered.mapInArrow(run, f"record {ordered.schema['record'].dataType.simpleString()}, pred long, gold long")
-
-
-def align(pred: DataFrame, gold: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """(record, pred, gold): places of nodes matched one to one; ``record`` is a text or a whole number."""
-    key = text.tolerant_key(F.col("match_key"))
-    sides = [df.select("record", F.col("pos").cast("bigint").alias("pos"), "type", key.alias("key"), F.lower("display_name").alias("name"), F.coalesce(by_name(F.col("type"), F.col("eiis_code")), F.lit(False)).alias("named")) for df in (pred, gold)]
-    first = [df.where("NOT named AND key IS NOT NULL").groupBy("record", "key").agg(F.min("pos").alias(name)) for df, name in zip(sides, ("pred", "gold"), strict=True)]
+        groups = itertools.groupby(_rows(batches), key=lambda r: r[:2])
+        return _matches(((record, p, g) for (record, _), own in groups for p, g in _best_first(r[2:] for r in own)), kind)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _of_record(rows: list[tuple], cutoff: float) -> Iterator[tuple[int, int]]:
+    """(pred, gold) of one record's ``rows`` (type, text, curated, pos); a row without a type goes by its key."""
+    sides: dict = {}
+    for kind, text_, curated, pos in rows:
+        sides.setdefault(kind, ({}, {}))[curated].setdefault(text_, []).append(pos)
+    for kind, (preds, golds) in sides.items():
+        if kind is None:
+            yield from ((min(own), min(golds[key])) for key, own in preds.items() if key in golds)
+            continue
+        scored = [(fuzzy.token_set_ratio(a, b), p, g) for a, p in preds.items() for b, g in golds.items()]
+        yield from _best_first(sorted((s for s in scored if s[0] >= cutoff), key=lambda s: -s[0]))
+
+
+def _small(nodes: DataFrame, cutoff: float, held: int) -> DataFrame:
+    """(record, pred, gold) of records of at most ``held`` nodes, and a row without places for every larger one."""
+    ordered = nodes.repartition("record").sortWithinPartitions("record").select("record", "type", "text", "curated", "pos")
+    kind, schema = _kind(ordered)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for record, own in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+            some = [r[1:] for r in itertools.islice(own, held + 1)]
+            if len(some) > held:
+                yield record, None, None
+            else:
+                yield from ((record, p, g) for p, g in _of_record(some, cutoff))
+
+    return ordered.mapInArrow(lambda batches: _matches(found(batches), kind), schema)
+
+
+def _large(nodes: DataFrame, cutoff: float) -> DataFrame:
+    """(record, pred, gold) by joins: keys, and names by their grams."""
+    sides = [nodes.where(F.col("curated") == c) for c in (0, 1)]
+    first = [df.where("type IS NULL").groupBy("record", F.col("text").alias("key")).agg(F.min("pos").alias(name)) for df, name in zip(sides, ("pred", "gold"), strict=True)]
     exact = first[0].join(first[1], ["record", "key"]).select("record", "pred", "gold")
-    named = [df.where("named") for df in sides]
-    shared = fuzzy.candidates(*[df.select("record", "type", "name") for df in named], ["record", "type"], cutoff)
-    close = fuzzy.scored(shared, "token_set", cutoff)
+    named = [df.where("type IS NOT NULL").select("record", "type", F.col("text").alias("name"), "pos") for df in sides]
+    close = fuzzy.scored(fuzzy.candidates(*[df.select("record", "type", "name") for df in named], ["record", "type"], cutoff), "token_set", cutoff)
     places = [df.groupBy("record", "type", F.col("name").alias(c)).agg(F.collect_list("pos").alias(p)) for df, c, p in zip(named, ("a", "b"), ("preds", "golds"), strict=True)]
     pairs = close.join(places[0], ["record", "type", "a"]).join(places[1], ["record", "type", "b"])
     return exact.unionAll(_greedy(pairs))
 
 
+def align(pred: DataFrame, gold: DataFrame, cutoff: float = CUTOFF, held: int = HELD) -> DataFrame:
+    """(record, pred, gold): places of nodes matched one to one; ``record`` is a text or a whole number.
+
+    Records of at most ``held`` nodes on both sides pass through a task each as a whole, so one shuffle aligns them; the nodes of larger ones are joined.
+    """
+    ship(pred.sparkSession)
+    named = F.coalesce(by_name(F.col("type"), F.col("eiis_code")), F.lit(False))
+    text_ = F.when(named, F.lower("display_name")).otherwise(text.tolerant_key(F.col("match_key")))
+    sides = [df.select("record", F.when(named, F.col("type")).alias("type"), text_.alias("text"), F.lit(c).alias("curated"), F.col("pos").cast("bigint").alias("pos")) for c, df in enumerate((pred, gold))]
+    nodes = sides[0].unionAll(sides[1]).where("record IS NOT NULL AND pos IS NOT NULL AND text IS NOT NULL AND (type IS NULL OR trim(text) <> '')")
+    found = materialize(_small(nodes, cutoff, held), "aligned")
+    small = found.where("pred IS NOT NULL")
+    large = found.where("pred IS NULL").select("record")
+    if large.isEmpty():
+        return small
+    return small.unionAll(materialize(_large(nodes.join(large, "record", "left_semi"), cutoff), "aligned"))
+
+
 def differences(pred: DataFrame, gold: DataFrame, *columns: str) -> DataFrame:
     """(columns, side) of the rows one side alone has, as bags: ``missed`` are curated, ``spurious`` extracted. One pass over both."""
     both = pred.select(*columns, F.lit(1).alias("n")).unionAll(gold.select(*columns, F.lit(-1).alias("n")))

@@ -48,8 +48,9 @@ PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantit
 def records(spark, sf_dir):
     """(extracted, curated) nodes."""
     li, part = proxy.table(spark, sf_dir, "lineitem"), proxy.table(spark, sf_dir, "part")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PLACE)).cast("bigint")
-    lines = li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("record"), place.alias("pos"), "l_returnflag", "l_linestatus", "l_quantity", "l_suppkey", "l_tax", F.col("p_brand").alias("brand"), F.concat("p_name", F.lit(" "), "p_type").alias("name"))
+    place = F.row_number().over(Window.partitionBy("record").orderBy(*PLACE)).cast("bigint")
+    joined = li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("record"), *PLACE, "l_linestatus", F.col("p_brand").alias("brand"), F.concat("p_name", F.lit(" "), "p_type").alias("name"))
+    lines = joined.select("record", place.alias("pos"), "l_returnflag", "l_linestatus", "l_quantity", "l_suppkey", "l_tax", "brand", "name")
     kind = F.when(F.col("l_returnflag") == "R", "System").when(F.col("l_returnflag") == "N", "CorrectiveAction").otherwise("Consequence")
     coded = F.col("l_returnflag") == "R"
 

@@ -106,3 +106,15 @@ def test_nothing_on_one_side(spark):
     one = spark.createDataFrame([(1, 0, "FailureMode", "FailureMode:x", "x y", None, False)], NODE.format("long"))
     assert alignment.align(one, one.limit(0)).count() == alignment.align(one.limit(0), one).count() == 0
     assert alignment.align(one, one.withColumn("display_name", F.lit(None).cast("string"))).count() == 0
+
+
+def test_small_records_make_no_grams(spark, monkeypatch):
+    """Names of small records are compared in one pass; those of larger records are joined, with the same matches."""
+    draw = random.Random(7)
+    words = "pump valve breaker failed tripped stuck open closed".split()
+    rows = [(r, p, "FailureMode", f"FailureMode:{p}", " ".join(draw.sample(words, 3)), None, False) for r in range(12) for p in range(1 + 3 * r)]
+    pred, gold = (spark.createDataFrame(rows[k:], NODE.format("long")).cache() for k in (0, 5))
+    wide = sorted(map(tuple, alignment.align(pred, gold, held=20).collect()))
+    monkeypatch.setattr(alignment.fuzzy, "candidates", lambda *_: 1 / 0)
+    assert sorted(map(tuple, alignment.align(pred, gold).collect())) == wide
+    check(pred, gold)
