@@ -1,7 +1,7 @@
 """Exact vector search: a stated set of queries against all rows, in blocks.
 
-Queries are collected a bounded block at a time; every task multiplies its rows with the block and keeps its own top k for each
-query, so what is shuffled is tasks x queries x k rows.
+Queries are collected a bounded block at a time; every task multiplies its rows with the block, a bounded tile of scores at a time, and
+keeps its own top k for each query, so what is shuffled is tasks x queries x k rows. A block is bounded with what is kept for it.
 """
 
 from __future__ import annotations
@@ -14,10 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from causeway.operators.vector_store import matrix
-
-#: Numbers of a query block, at most.
-BLOCK_NUMBERS = 4 << 20
+from causeway.operators.vector_store import BLOCK_NUMBERS, Best, matrix
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, exclude_self: bool = False) -> DataFrame:
@@ -27,7 +24,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, exclude_
     """
     queries = queries.where("embedding IS NOT NULL")
     n, width = queries.count(), queries.select(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
-    blocks = max(1, -(-n * width // BLOCK_NUMBERS))
+    blocks = max(1, -(-n * (width + 3 * k) // BLOCK_NUMBERS))
     out = None
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").toArrow()
@@ -36,28 +33,19 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6, exclude_
 
         def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             wanted, q = shipped.value
-            best = None
+            best = Best(len(wanted), k)
             for batch in batches:
-                if not batch.num_rows or not len(wanted):
-                    continue
-                vec, label = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-                x = matrix(batch.column(1))
-                score = np.round(q @ x.T, digits)
-                if exclude_self:
-                    score[wanted[:, None] == vec[None, :]] = -np.inf
-                vec, label = np.broadcast_to(vec, score.shape), np.broadcast_to(label, score.shape)
-                if best is not None:
-                    score, vec, label = (np.concatenate([a, c], axis=1) for a, c in zip(best, (score, vec, label), strict=True))
-                order = np.lexsort((vec, -score), axis=1)[:, :k]
-                best = tuple(np.take_along_axis(a, order, axis=1) for a in (score, vec, label))
-            if best is not None:
-                score, vec, label = best
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wanted, score.shape[1])), pa.array(vec.ravel()), pa.array(label.ravel().astype(np.int64)), pa.array(score.ravel())], ["query_id", "vec_id", "label", "score"])
+                if batch.num_rows and len(wanted):
+                    label = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                    best.search(wanted, q, np.arange(len(wanted)), batch.column(0).to_numpy(), label, matrix(batch.column(1)), digits, exclude_self)
+            some = np.isfinite(best.score)
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wanted, some.sum(axis=1))), pa.array(best.ids[some]), pa.array(best.label[some]), pa.array(best.score[some])], ["query_id", "vec_id", "label", "score"])
 
         one = rows.select("vec_id", "embedding", "label").where("embedding IS NOT NULL").mapInArrow(search, "query_id long, vec_id long, label long, score double")
         out = one if out is None else out.unionAll(one)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = out.where("score > double('-Infinity')").withColumn("rank", F.row_number().over(order).cast("bigint"))
+    ranked = out.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "label", "score")
 
 
