@@ -149,3 +149,10 @@ def test_block_of_failures(spark):
     assert [got[k] for k in range(len(cases))] == list(cases.values())
     form = forms.form_fields(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
     assert all(r.form.block_13 == [] and r.form.cause_code == "TBD" and r.form.status == "final" and r.form.power_level is None for r in form)
+
+
+def test_furniture_ends_lines_at_newlines_and_words_as_in_sql(spark):
+    """A letter beyond ASCII ends a word of the furniture, a carriage return ends no line, and blanks of all scripts are trimmed."""
+    rows = [(1, "noñez a\nb"), (2, "I\r\nb"), (3, " 　12 \nb"), (4, "year_x\nb")]
+    made = spark.createDataFrame(rows, "k long, t string").select("k", text.prose_lines(F.col("t")).alias("p"))
+    assert {r.k: r.p for r in made.collect()} == {1: ["b"], 2: ["I\r", "b"], 3: ["b"], 4: ["year_x", "b"]}
