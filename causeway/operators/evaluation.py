@@ -24,8 +24,8 @@ def prf(tp: Column, pred: Column, true: Column) -> tuple[Column, Column, Column]
 
 
 def compare_sets(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
-    """(by, tp, pred, true, p, r, f1) of two distinct tables with equal columns; one full pass over their union."""
-    both = pred.distinct().withColumn("_p", F.lit(1)).withColumn("_g", F.lit(0)).unionByName(gold.distinct().withColumn("_p", F.lit(0)).withColumn("_g", F.lit(1)))
+    """(by, tp, pred, true, p, r, f1) of two tables with equal columns, whose repeated rows count once; one aggregation over their union."""
+    both = pred.withColumn("_p", F.lit(1)).withColumn("_g", F.lit(0)).unionByName(gold.withColumn("_p", F.lit(0)).withColumn("_g", F.lit(1)))
     rows = both.groupBy(*pred.columns).agg(F.max("_p").alias("_p"), F.max("_g").alias("_g"))
     counts = rows.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_g")).alias("tp"), F.sum("_p").alias("pred"), F.sum("_g").alias("true"))
     p, r, f = prf(F.col("tp"), F.col("pred"), F.col("true"))
