@@ -230,3 +230,23 @@ def test_components_of_all_lines_against_union_find(spark, sf_dir):
         sizes[top(x)] = sizes.get(top(x), 0) + 1
     got = {r.component: r["size"] for r in catalogue.QUERIES["whole_components"](spark, sf_dir).collect()}
     assert got == sizes and sum(got.values()) == len({r.l_orderkey for r in lines}) + len({r.l_partkey for r in lines})
+
+
+def test_spines_of_small_and_large_reports(spark, monkeypatch):
+    """Small reports need no contraction of all; larger ones are contracted, with the same rows."""
+    nodes = [(f"r{k}", f"n{i:02d}", "System" if i else "LER", None) for k in range(1, 8) for i in range(3 * k)]
+    edges = [(f"r{k}", f"n{i:02d}", f"n{i + k:02d}") for k in range(1, 8) for i in range(3 * k)]
+    made = spark.createDataFrame(nodes, "ler_number string, gkey string, type string, stub boolean"), spark.createDataFrame(edges, "ler_number string, src string, dst string")
+    rows = lambda **held: sorted(map(tuple, assemble.spines(*made, **held).collect()))
+    both = rows(held=20)
+    monkeypatch.setattr(graph, "labels", lambda _: 1 / 0)
+    assert rows() == both and [r for r in both if r[0] == "r2"] == [("r2", "n00", 3, 2, True), ("r2", "n01", 3, 2, False)]
+
+
+def test_declared_templates_store_nothing(spark, sf_dir, monkeypatch):
+    """Templates over all reports compute the parts they name; the graph is not written for them."""
+    monkeypatch.setattr(graph_store, "write_graph", lambda *_: 1 / 0)
+    monkeypatch.setattr(engine_queries, "_stored", {})
+    assert catalogue.QUERIES["engine_cause_distribution"](spark, sf_dir).count() == 5
+    plan = catalogue.QUERIES["engine_weak_program_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
