@@ -250,3 +250,31 @@ def test_declared_templates_store_nothing(spark, sf_dir, monkeypatch):
     assert catalogue.QUERIES["engine_cause_distribution"](spark, sf_dir).count() == 5
     plan = catalogue.QUERIES["engine_weak_program_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_reach_is_the_same_in_one_pass_and_in_rounds(spark):
+    ship(spark)
+    draw = random.Random(5)
+    pairs = [(f"d{draw.randrange(12)}", draw.randrange(9), draw.randrange(9)) for _ in range(150)]
+    edges = spark.createDataFrame([*pairs, (None, 1, 2), ("d1", None, 3)], "doc string, src int, dst int")
+    starts = spark.createDataFrame([*[(f"d{k}", k % 9) for k in range(10)], (None, 1)], "doc string, node int")
+    want = {(None, 1)}
+    for k in range(10):
+        waiting = [k % 9]
+        while waiting:
+            node = waiting.pop()
+            if (f"d{k}", node) not in want:
+                want.add((f"d{k}", node))
+                waiting += [dst for doc, src, dst in pairs if doc == f"d{k}" and src == node]
+    for held in (graph.HELD, 12, 0):
+        got = [(r.doc, r.node) for r in graph.reached(edges, starts, held=held).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_consequences_read_no_edges_and_ends_only_relations_of_their_type(spark, sf_dir):
+    e = engine_queries.declared(spark, sf_dir)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_suppkey" not in plan(e.consequences()) and "p_brand" not in plan(e.consequences())
+    assert "s_suppkey" not in plan(assemble.ends(e.edges, "Component")) and "o_custkey" not in plan(assemble.ends(e.edges, "Component"))
+    by_edges = retrieval.Engine(spark, e.reports, e.nodes, e.edges, classify=e.classify)
+    assert e.consequences().exceptAll(by_edges.consequences()).isEmpty() and by_edges.consequences().exceptAll(e.consequences()).isEmpty()
