@@ -278,3 +278,40 @@ def test_consequences_read_no_edges_and_ends_only_relations_of_their_type(spark,
     assert "s_suppkey" not in plan(assemble.ends(e.edges, "Component")) and "o_custkey" not in plan(assemble.ends(e.edges, "Component"))
     by_edges = retrieval.Engine(spark, e.reports, e.nodes, e.edges, classify=e.classify)
     assert e.consequences().exceptAll(by_edges.consequences()).isEmpty() and by_edges.consequences().exceptAll(e.consequences()).isEmpty()
+
+
+def test_consequence_places_order_as_their_names(spark):
+    from causeway.plans import engine_queries as q
+
+    numbers = [None, 0, 5, -5, 50, 55, 100, 60, 10, 1, -1, -10, -100, 2147483647, -2147483648]
+    rows = spark.createDataFrame([(o, n) for o in q._CLASSES for n in numbers], "o string, n int")
+    placed = rows.select(F.concat_ws("|", "o", F.col("n").cast("string")).alias("text"), q._placed(F.col("o"), F.col("n")).alias("place")).select("*", q._name(F.col("place")).alias("back")).collect()
+    assert all(r.text == r.back for r in placed)
+    assert [r.text for r in sorted(placed, key=lambda r: r.place)] == sorted(r.text for r in placed)
+
+
+def test_reached_over_many_batches(spark):
+    """Documents across batches, large ones among small ones, nulls and circles, with rows of other documents' names."""
+    edges = [(f"d{i}", f"n{j}", f"n{j + 1}") for i in range(40) for j in range(i)] + [("d7", "n7", "n0"), ("d8", None, "x"), ("d8", "n8", None), (None, "n0", "n1")]
+    starts = [(f"d{i}", "n2") for i in range(40)] + [(None, "n0")]
+    want = {(f"d{i}", f"n{j}") for i in range(40) for j in range(2, max(i, 2) + 1)} | {("d7", "n0"), ("d7", "n1"), ("d8", None), (None, "n0")}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for held in (4096, 20, 3):
+            got = graph.reached(spark.createDataFrame(edges, "doc string, src string, dst string"), spark.createDataFrame(starts, "doc string, node string"), None, held)
+            assert {(r.doc, r.node) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_edges_of_a_few_hubs_are_chosen_before_they_are_dealt_out(spark):
+    from causeway.operators import assemble
+
+    edges = spark.range(100).select(F.concat(F.lit("LER:"), "id").alias("src"), F.lit("INVOLVES").alias("rel"), F.concat(F.lit("System:"), F.col("id") % 10).alias("dst"), F.col("id").cast("string").alias("ler_number")).repartition("ler_number").distinct()
+    chosen = assemble.touching(edges, spark.createDataFrame([("System:3",)], "gkey string"))
+    assert {r.ler_number for r in chosen.collect()} == {str(i) for i in range(3, 100, 10)}
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("Filter")
+    many = spark.range(assemble.NAMED + 1).select(F.concat(F.lit("System:"), "id").alias("gkey"))
+    assert assemble.touching(edges, many).count() == 100
