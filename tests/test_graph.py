@@ -315,3 +315,21 @@ def test_edges_of_a_few_hubs_are_chosen_before_they_are_dealt_out(spark):
     assert plan.index("RepartitionByExpression") < plan.index("Filter")
     many = spark.range(assemble.NAMED + 1).select(F.concat(F.lit("System:"), "id").alias("gkey"))
     assert assemble.touching(edges, many).count() == 100
+
+
+def test_documents_stay_whole_where_both_sides_are_dealt_by_them(spark):
+    """Many edges and few starts, each dealt by document already: partitions of either side are joined by its own size."""
+    rows = spark.range(0, 40_000, 1, 4).select((F.col("id") % 4_000).alias("doc"), F.floor(F.col("id") / 4_000).alias("n"))
+    edges = rows.repartition("doc").distinct().select("doc", F.col("n").alias("src"), (F.col("n") + 1).alias("dst"))
+    starts = rows.repartition("doc").groupBy("doc").agg(F.min("n").alias("node"))
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "40k")
+    try:
+        assert graph.reached(edges, starts).count() == 44_000
+        nodes = starts.select(F.col("doc").cast("string").alias("k"), "node").repartition("k").distinct().select(F.col("k").alias("ler_number"), F.col("node").alias("gkey"), F.lit("System").alias("type"), F.lit(False).alias("stub"))
+        more = nodes.unionAll(nodes.select("ler_number", F.col("gkey") + 1, "type", "stub"))
+        drawn = rows.select(F.col("doc").cast("string").alias("k"), "n").repartition("k").distinct().select(F.col("k").alias("ler_number"), F.col("n").alias("src"), (F.col("n") + 1).alias("dst"))
+        assert assemble.spines(more, drawn).count() == 4_000
+    finally:
+        spark.conf.set(least, before)
