@@ -333,3 +333,19 @@ def test_documents_stay_whole_where_both_sides_are_dealt_by_them(spark):
         assert assemble.spines(more, drawn).count() == 4_000
     finally:
         spark.conf.set(least, before)
+
+
+def test_templates_of_all_kinds_store_no_graph(spark, sf_dir, monkeypatch):
+    """A vocabulary, a clarification, a neighbourhood and a chain are read from the graph as declared."""
+    monkeypatch.setattr(graph_store, "write_graph", lambda *_: 1 / 0)
+    for name in ("engine_vocabulary", "engine_clarify", "engine_subgraph_cause", "engine_failure_chain"):
+        assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("near", [3, 70])
+def test_next_hop_is_asked_for_where_the_first_leaves_room(spark, near):
+    nodes = spark.createDataFrame([("Cause:x", "Cause", "A")], "gkey string, type string, cause_code string")
+    edges = spark.createDataFrame([(f"LER:{k}", "HAS_CAUSE", "Cause:x", str(k)) for k in range(near)] + [(f"LER:{k}", "INVOLVES", "System:a", str(k)) for k in range(near)], "src string, rel string, dst string, ler_number string")
+    got = retrieval.Engine(spark, None, nodes, edges).ask(retrieval.QuerySpec("subgraph", {"cause_code": "A"})).rows
+    want = graph.neighbourhood(edges, "Cause:x").orderBy("hop", "neighbor", "rel").limit(60).collect()
+    assert got.collect() == want and len(want) == min(near + 1, 60)
